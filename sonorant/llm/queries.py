@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from sonorant.llm.mixing import op7_mixing
 from sonorant.llm.packing import op5_packing
 from sonorant.llm.quality import op4_quality
 from sonorant.llm.tokens import op6_token_files
 
-QUERIES = {f.__name__: f for f in (op4_quality, op5_packing, op6_token_files)}
+QUERIES = {f.__name__: f for f in (op4_quality, op5_packing, op6_token_files, op7_mixing)}
 
 ORACLE: dict[str, str] = {}
