@@ -6,8 +6,9 @@ from sonorant.llm.mixing import op7_mixing
 from sonorant.llm.packing import op5_packing
 from sonorant.llm.quality import op4_quality
 from sonorant.llm.resharding import op9_resharding
+from sonorant.llm.secrets import op3_secrets
 from sonorant.llm.tokens import op6_token_files
 
-QUERIES = {f.__name__: f for f in (op4_quality, op5_packing, op6_token_files, op7_mixing, op9_resharding)}
+QUERIES = {f.__name__: f for f in (op3_secrets, op4_quality, op5_packing, op6_token_files, op7_mixing, op9_resharding)}
 
 ORACLE: dict[str, str] = {}
