@@ -5,11 +5,12 @@ from __future__ import annotations
 from sonorant.llm.licenses import op10_licenses
 from sonorant.llm.mixing import op7_mixing
 from sonorant.llm.packing import op5_packing
+from sonorant.llm.pii import op1_pii
 from sonorant.llm.quality import op4_quality
 from sonorant.llm.resharding import op9_resharding
 from sonorant.llm.secrets import op3_secrets
 from sonorant.llm.tokens import op6_token_files
 
-QUERIES = {f.__name__: f for f in (op3_secrets, op4_quality, op5_packing, op6_token_files, op7_mixing, op9_resharding, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_secrets, op4_quality, op5_packing, op6_token_files, op7_mixing, op9_resharding, op10_licenses)}
 
 ORACLE: dict[str, str] = {}
