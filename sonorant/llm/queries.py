@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sonorant.llm.embeddings import op2_embedding_links
 from sonorant.llm.jaccard import op8_jaccard_join
 from sonorant.llm.licenses import op10_licenses
 from sonorant.llm.mixing import op7_mixing
@@ -12,6 +13,6 @@ from sonorant.llm.resharding import op9_resharding
 from sonorant.llm.secrets import op3_secrets
 from sonorant.llm.tokens import op6_token_files
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_secrets, op4_quality, op5_packing, op6_token_files, op7_mixing, op8_jaccard_join, op9_resharding, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_embedding_links, op3_secrets, op4_quality, op5_packing, op6_token_files, op7_mixing, op8_jaccard_join, op9_resharding, op10_licenses)}
 
 ORACLE: dict[str, str] = {}
