@@ -7,7 +7,9 @@ directions. Vectors join on the caps that they share, and each pair is verified
 shares only, so it counts once.
 
 Expected recall: a cap of height 3 / sqrt(d) takes 0.00135 of the sphere, and two vectors at cosine 0.9 share one with
-probability 0.0007 or more; over 128 * 128 caps that is 11 shared caps on average, and more for closer pairs."""
+probability 0.0007 or more; over 128 * 128 caps that is 11 shared caps on average, and more for closer pairs. Products with
+two codewords vary more than with one random direction, so some vectors exceed few or no caps; such a vector lowers its own
+height to that of its FEWEST best caps. Close vectors have close heights and still meet."""
 
 from __future__ import annotations
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from sonorant.llm.common import materialize, n_partitions, read_table
 from sonorant.llm.components import components
 
-COSINE, SIZE, HEIGHT, SEED = 0.9, 128, 3.0, 11
+COSINE, SIZE, HEIGHT, FEWEST, SEED = 0.9, 128, 3.0, 32, 11
 #: Vectors of a cap that one task compares with one another.
 TILE = 1024
 
@@ -46,8 +48,12 @@ def caps(x: np.ndarray, size: int = SIZE, height: float = HEIGHT, seed: int = SE
     # Directions are (c1, c2) / sqrt(2); the inner product has a spread of 1 / sqrt(d).
     least = min(height / np.sqrt(d), 0.8) * np.sqrt(2)
     a, b = x[:, : d // 2] @ first, x[:, d // 2 :] @ second
+    # The best sums come from the best products of each half.
+    best = [-np.sort(-v, 1)[:, :FEWEST] for v in (a, b)]
+    sums = (best[0][:, :, None] + best[1][:, None, :]).reshape(len(x), -1)
+    least = np.minimum(least, -np.partition(-sums, FEWEST - 1, 1)[:, FEWEST - 1])[:, None] - 1e-12
     row, i = np.nonzero(a + b.max(1, keepdims=True) >= least)
-    fits = a[row, i][:, None] + b[row] >= least
+    fits = a[row, i][:, None] + b[row] >= least[row]
     k, j = np.nonzero(fits)
     return row[k], i[k] * size + j
 
@@ -96,15 +102,15 @@ def cap_rows(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(emit, "cap long, cid long, w long, vector binary, others binary")
 
 
-def first_shared(a: list[np.ndarray], b: list[np.ndarray], cap: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Of the pairs a[i], b[j] of sorted cap lists that all hold `cap`, those that share no smaller one."""
-    width = max([1, *(len(x) for x in a), *(len(x) for x in b)])
-    pad = lambda lists, fill: np.stack([np.r_[x[x < cap], np.full(width - int((x < cap).sum()), fill)] for x in lists])
-    pa_, pb = pad(a, -1), pad(b, -2)
-    keep = np.empty(len(i), bool)
-    for s in range(0, len(i), 20_000):
-        keep[s : s + 20_000] = ~(pa_[i[s : s + 20_000], :, None] == pb[j[s : s + 20_000], None, :]).any((1, 2))
-    return keep
+def first_shared(lists: list[np.ndarray], cap: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of the pairs i, j of sorted cap lists that all hold `cap`, those that share no smaller one."""
+    smaller = [x[: np.searchsorted(x, cap)] for x in lists]
+    if len(i) > 4 * len(lists):  # many pairs: products of the lists' incidence rows
+        known, place = np.unique(np.concatenate(smaller), return_inverse=True)
+        rows = np.zeros((len(lists), len(known)), np.float32)
+        rows[np.repeat(np.arange(len(lists)), [len(x) for x in smaller]), place] = 1
+        return (rows @ rows.T)[i, j] == 0
+    return np.array([not len(np.intersect1d(smaller[a], smaller[b], True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
 
 
 def tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,33 +134,29 @@ def tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = [np.frombuffer(others[int(k)].as_py(), "<i8") for k in rows]
         c, ids, weight = chunk[rows], cid[rows], w[rows]
         across = x[rows[0]] != y[rows[0]]
-        n, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
+        n, root, links = np.zeros(len(rows), np.int64), np.arange(len(rows)), []
         for lo in range(0, len(rows), TILE):
             near = v[lo : lo + TILE] @ v.T >= COSINE
             i, j = np.nonzero(near)
             i = i + lo
             fit = (i < j) & ((c[i] != c[j]) | (not across))
             i, j = i[fit], j[fit]
-            # A link joins its ends in whatever cap it is seen; it counts in the first one.
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                ra, rb = find(a), find(b)
-                if ra != rb:
-                    root[max(ra, rb)] = min(ra, rb)
-            if len(i):
-                once = first_shared(lists, lists, int(cap[rows[0]]), i, j)
-                np.add.at(n, i[once], weight[j[once]])
-                np.add.at(n, j[once], weight[i[once]])
-        for k in range(len(rows)):
-            r = find(k)
-            if n[k] or r != k:
-                out.append((int(ids[k]), int(ids[r]), int(n[k])))
+            links.append((i, j))
+        i, j = (np.concatenate(v) for v in zip(*links, strict=True))
+        if not len(i):
+            continue
+        while True:  # a link joins its ends in whatever cap it is seen; it counts in the first one
+            before = root.copy()
+            np.minimum.at(root, i, root[j])
+            np.minimum.at(root, j, root[i])
+            root = root[root]
+            if (root == before).all():
+                break
+        once = first_shared(lists, int(cap[rows[0]]), i, j)
+        np.add.at(n, i[once], weight[j[once]])
+        np.add.at(n, j[once], weight[i[once]])
+        for k in np.flatnonzero((n > 0) | (root != np.arange(len(rows)))).tolist():
+            out.append((int(ids[k]), int(ids[root[k]]), int(n[k])))
     if out:
         a, b, m = zip(*out, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.int64())], ["cid", "root", "n"])
