@@ -14,6 +14,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ class Encoder:
     The tokenizer splits at white space before anything else, so a text's ids are those of its pieces between spaces and
     line feeds, one after the other; pieces repeat, so their ids are kept. Two generations of kept pieces bound the memory."""
 
-    KEPT = 250_000
+    KEPT = 400_000
 
     def __init__(self, path: str):
         import os
@@ -81,9 +82,15 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder for a worker process: its kept pieces serve all of its tasks."""
+    return Encoder(path)
+
+
 def document_ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids with the end id) of each row of batches of doc_id, text."""
-    encode, end = Encoder(path), np.array([END_ID], "<u4").tobytes()
+    encode, end = encoder(path), np.array([END_ID], "<u4").tobytes()
     for batch in batches:
         ids = batch.column("doc_id")
         texts = batch.column("text")
