@@ -406,11 +406,13 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each component: the one of the smallest id stays, and of rows that repeat that
-    id, the first by text."""
-    kept = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    out = docs.join(kept.withColumnRenamed("doc_id", "k_id"), F.col("doc_id").eqNullSafe(F.col("k_id"))).drop("k_id")
-    return out
+    """The documents of docs whose id is their component's, in the columns that they came with. Rows of equal id and text
+    become one row; rows that share an id and differ in text are told apart by it and each stay."""
+    kept = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("k_id")).agg(F.count("*").alias("rows"))
+    kept = materialize(kept, "kept-ids")
+    # The ids are one narrow side: hashed in memory, so the texts are moved once and not sorted.
+    out = docs.join(kept.select("k_id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
+    return out if kept.where("rows > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

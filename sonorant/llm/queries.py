@@ -15,4 +15,14 @@ from sonorant.llm.tokens import op6_token_files
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_embedding_links, op3_secrets, op4_quality, op5_packing, op6_token_files, op7_mixing, op8_jaccard_join, op9_resharding, op10_licenses)}
 
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
 ORACLE: dict[str, str] = {}
