@@ -21,31 +21,34 @@ SYMBOLS = r"[#*$%&|<>]"
 
 
 class Rule(NamedTuple):
-    """A document passes while low <= measure <= high. `measure` is a SQL expression over the columns that `measures` gives."""
+    """A document passes while low <= share / base <= high, both of them measures (see `verdict`)."""
 
     name: str
-    measure: str
+    share: str
+    base: str
     low: float
     high: float
 
 
 #: The production table. Bounds lie outside what clean prose of the four languages shows.
 RULES = (
-    Rule("mean_word_chars", "word_chars / n_words", 1.5, 15.0),
-    Rule("symbols_per_word", "n_symbols / n_words", 0.0, 0.2),
-    Rule("stop_word_share", "n_stop_words / n_words", 0.01, 1.0),
-    Rule("repeated_line_share", "n_dup_lines / greatest(n_lines, 1)", 0.0, 0.5),
+    Rule("mean_word_chars", "word_chars", "n_words", 1.5, 15.0),
+    Rule("symbols_per_word", "n_symbols", "n_words", 0.0, 0.2),
+    Rule("stop_word_share", "n_stop_words", "n_words", 0.01, 1.0),
+    Rule("repeated_line_share", "n_dup_lines", "n_lines", 0.0, 0.5),
 )
 
 
+def let(x: Column, body) -> Column:
+    """body of x, with x evaluated once."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def repeated_words(w: Column) -> Column:
     """Words covered by 3-word windows whose words stand in the text twice or more. Windows are compared by a 64-bit hash,
     sorted within the row: O(n log n) for a text of n words, and no shuffle."""
     hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
-    def let(x: Column, body) -> Column:
-        return F.get(F.transform(F.array(x), body), F.lit(0))
-
     def by_sort(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return let(pairs, lambda s: F.sort_array(F.transform(F.filter(s, lambda e, k: (F.get(s, k - 1)["h"] == e["h"]) | (F.get(s, k + 1)["h"] == e["h"])), lambda e: e["i"])))
@@ -63,41 +66,47 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) >= 4, covering).otherwise(F.lit(0)).cast("long")
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """docs with added columns n_words, word_chars, n_symbols, n_stop_words, n_lines, n_dup_lines, n_repeat_words (long)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """One struct for a text: n_words, word_chars, n_symbols, n_stop_words, n_lines, n_dup_lines, n_repeat_words (long),
+    base_failed, failed_rules (names, in table order), kept. Words, lines and measures are bound once each, so the struct
+    can stand in a filter, which the optimizer may copy, as well as in a projection."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
-    out = docs.withColumns({"__words": words(F.col("text")), "__lines": lines})
-    w = F.col("__words")
-    return out.withColumns({
-        "n_words": F.size(w).cast("long"),
-        "word_chars": F.length(F.array_join(w, "")).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-        "n_stop_words": F.size(F.filter(w, lambda x: x.isin(sorted(set(STOP_WORDS))))).cast("long"),
-        "n_lines": F.size("__lines").cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_repeat_words": repeated_words(w),
-    }).drop("__words", "__lines")
+    stop = sorted(set(STOP_WORDS))
+
+    def measured(w: Column, lines: Column) -> Column:
+        return F.struct(*(x.cast("long").alias(n) for n, x in {
+            "n_words": F.size(w),
+            "word_chars": F.length(F.array_join(w, "")),
+            "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)),
+            "n_stop_words": F.size(F.filter(w, lambda x: x.isin(stop))),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": repeated_words(w),
+        }.items()))
+
+    def judged(m: Column) -> Column:
+        shares = [m[r.share] / F.greatest(m[r.base], F.lit(1)) for r in rules]
+        failed = F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(~x.between(r.low, r.high), F.lit(r.name)) for r, x in zip(rules, shares, strict=True))))
+        base = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        return let(F.when(m["n_words"] == 0, F.array().cast("array<string>")).otherwise(failed), lambda f: F.struct(m.alias("m"), base.alias("base_failed"), f.alias("failed_rules"), (~base & (F.size(f) == 0)).alias("kept")))
+
+    return let(words(text), lambda w: let(lines, lambda x: let(measured(w, x), judged)))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs (any columns, `text` among them) with the columns of `measures`, base_failed, failed_rules (names, in table
-    order) and kept.
+    """docs (any columns, `text` among them) with the fields of `verdict` as columns.
 
-    Null, empty and blank texts: no words, all measures 0, base_failed. Ratios over nothing count as 0. Repeated rows are
-    judged alike, each on its own; an empty table gives an empty table. Columns of the input with the names of added ones
-    are replaced."""
-    out = measures(docs)
-    n = "n_words"
-    base = (F.col(n) < 50) | (100 * F.col("n_repeat_words") > 50 * F.col(n))
-    fails = [F.when(F.expr(f"coalesce({r.measure}, 0D) NOT BETWEEN {r.low}D AND {r.high}D"), F.lit(r.name)) for r in rules]
-    failed = F.when(F.col(n) == 0, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*fails)) if fails else F.array().cast("array<string>"))
-    return out.withColumns({"base_failed": base, "failed_rules": failed}).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    Null, empty and blank texts: no words, all measures 0, base_failed, no failed rules. Repeated rows are judged alike, each
+    on its own; an empty table gives an empty table. Columns of the input with the names of added ones are replaced."""
+    names = ("n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
+    out = docs.drop(*names, "base_failed", "failed_rules", "kept").withColumn("__q", verdict(F.col("text"), rules))
+    return out.select("*", *(F.col(f"__q.m.{n}").alias(n) for n in names), "__q.base_failed", "__q.failed_rules", "__q.kept").drop("__q")
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return judge(docs, rules).where("kept").select(*docs.columns)
+    return docs.where(verdict(F.col("text"), rules)["kept"])
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
