@@ -1,4 +1,6 @@
 """The query catalogue: name -> (spark, sf_dir) -> DataFrame, and the same queries as DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from sonorant.queries import events, reading, speech  # noqa: F401  registers the queries
+from sonorant.queries.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
