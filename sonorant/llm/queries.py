@@ -6,6 +6,7 @@ from sonorant.llm.embeddings import op2_embedding_links
 from sonorant.llm.jaccard import op8_jaccard_join
 from sonorant.llm.licenses import op10_licenses
 from sonorant.llm.mixing import op7_mixing
+from sonorant.llm.oracle import OP2, OP4, OP8
 from sonorant.llm.packing import op5_packing
 from sonorant.llm.pii import op1_pii
 from sonorant.llm.quality import op4_quality
@@ -25,4 +26,4 @@ def pipeline(spark, sf_dir):
 
 QUERIES["pipeline"] = pipeline
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_embedding_links": OP2, "op4_quality": OP4, "op8_jaccard_join": OP8}

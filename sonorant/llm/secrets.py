@@ -86,7 +86,8 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataF
     unseen = texts.join(todo.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("one"))).where(F.col("blob") == F.unhex(F.sha2("text", 256)))
     none = F.expr("filter(array(named_struct('start', 0, 'rank', 0, 'stop', 0, 'kind', '')), x -> false)")
     found = F.flatten(F.array(*(F.when(F.array_contains("todo", r.tag), spans(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules))))
-    unseen.select("blob", F.col("todo").alias("scanned"), found.alias("findings")).write.mode("append").option("compression", "zstd").parquet(ledger)
+    # A path that repeats id and text brings its blob again; the ledger takes it once.
+    unseen.select("blob", F.col("todo").alias("scanned"), found.alias("findings")).dropDuplicates(["blob"]).write.mode("append").option("compression", "zstd").parquet(ledger)
     ours = spark.read.schema(LEDGER).parquet(ledger).select("blob", F.filter("findings", lambda x: x["kind"].isin([r.kind for r in rules])).alias("findings")).where(F.size("findings") > 0)
     ours = ours.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
     return paths.join(ours, "blob", "left").select("doc_id", "blob", F.coalesce("findings", none).alias("findings"))
