@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,15 +12,13 @@ def let(x: Column, body) -> Column:
     return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
-def nfkc(text: Column) -> Column:
-    """Unicode compatibility form. Spark has no such function: an Arrow UDF, only for texts that hold more than ASCII."""
-    import pandas as pd
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFKC")
 
-    @F.pandas_udf("string")
-    def form(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFKC")
 
-    return form(text)
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility form. Spark has no such function: an Arrow UDF, only for texts that hold more than ASCII."""
+    return F.pandas_udf(_nfkc, "string", F.PandasUDFType.SCALAR)(text)
 
 
 def normalize(text: Column, compatibility: bool = False) -> Column:
