@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonorant.functions import align, text
-from sonorant.operators import dataset, reading
+from sonorant.operators import dataset, reading, wordops
 from sonorant.queries.registry import query, rounded
 from sonorant.sources import views
 
@@ -106,3 +106,19 @@ def provider_language_division(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS size, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM documents GROUP BY lang")
 def language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(dataset.language_mix(views.table(spark, sf_dir, "documents").select("lang", F.col("n_chars").alias("size"))))
+
+
+def scored_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordops.score(views.pairs(spark, sf_dir), "hi")
+
+
+@query()
+def reading_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mistakes and words read of each text; tests hold the operations against cases for each rule."""
+    t = wordops.totals(scored_readings(spark, sf_dir))
+    return t.select("doc_id", "mistakes", "correct", F.array_join(F.transform("mistake_places", lambda x: x.cast("string")), ",").alias("places"))
+
+
+@query()
+def mistake_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordops.mistake_profile(scored_readings(spark, sf_dir), ["lang"])
