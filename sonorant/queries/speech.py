@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonorant.functions import align, text
-from sonorant.operators import dataset, reading, wordops
+from sonorant.operators import dataset, ladder, reading, wordops
 from sonorant.queries.registry import query, rounded
 from sonorant.sources import views
 
@@ -122,3 +122,12 @@ def reading_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def mistake_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordops.mistake_profile(scored_readings(spark, sf_dir), ["lang"])
+
+
+@query()
+def forgiven_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rates after verdicts that forgive every other segment; tests hold them against a plain rescoring."""
+    p = views.pairs(spark, sf_dir).select("doc_id", "r", "h")
+    verdicts = p.select("doc_id", F.explode(F.sequence(F.lit(0), F.size("r"))).cast("long").alias("segment")).withColumn("equivalent", (F.col("segment") + F.col("doc_id")) % 2 == 0)
+    f = ladder.forgiven_wer(p, verdicts, "doc_id")
+    return rounded(f.select("doc_id", "forgiven", "segments", F.col("llm_wer.value").alias("llm_wer"), F.col("llm_cer.value").alias("llm_cer")))
