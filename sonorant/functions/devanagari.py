@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 VIRAMA, NUKTA, ANUSVARA, CHANDRABINDU = "्", "़", "ं", "ँ"
 
 #: Characters without a sound, and the stops of each class nasal.
-INVISIBLE = "‍‌​⁠﻿­"
+INVISIBLE = "\u200d\u200c\u200b\u2060\ufeff\u00ad"
 NASAL_CLASSES = {"ङ": "कखगघ", "ञ": "चछजझ", "ण": "टठडढ", "न": "तथदध", "म": "पफबभ"}
 
 #: Romanised consonants, and vowels as (letter, sign).

@@ -14,7 +14,7 @@ def read_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(accepted rows id, text; rejected rows id, line, reason) of a CSV with a header that has `id` and `text` or
     `transcript`, in any case and with spaces around. Ids are reduced to file stems; lines count records from 2."""
     raw = spark.read.option("header", True).option("multiLine", True).option("ignoreLeadingWhiteSpace", True).csv(path)
-    names = {c.replace("﻿", "").strip().lower(): c for c in raw.columns}
+    names = {c.replace("\ufeff", "").strip().lower(): c for c in raw.columns}
     text = names.get("text", names.get("transcript"))
     if "id" not in names or text is None:
         raise ValueError("the table needs the columns id and text (or transcript)")

@@ -8,7 +8,7 @@ from sonorant.streaming import latency
 
 
 def test_truth_table(spark, tmp_path):
-    (tmp_path / "t.csv").write_text("﻿ ID ,Transcript\na.wav,\na.wav,one\na.mp3,two\n,three\nb,\"four, five\"\n", "utf-8")
+    (tmp_path / "t.csv").write_text("\ufeff ID ,Transcript\na.wav,\na.wav,one\na.mp3,two\n,three\nb,\"four, five\"\n", "utf-8")
     good, bad = truth.read_truth(spark, str(tmp_path / "t.csv"))
     assert sorted(map(tuple, good.collect())) == [("a", "one"), ("b", "four, five")]
     assert sorted((r.line, r.reason) for r in bad.collect()) == [(2, "empty_text"), (4, "duplicate_id"), (5, "empty_id")]
