@@ -128,16 +128,16 @@ def winners(values: DataFrame) -> DataFrame:
     return signed.groupBy("metric").agg(F.min_by("provider", F.struct("v", "provider")).alias("provider"))
 
 
-def clip_rows(results: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """One flat row for each result: durations and times to 3 places, metrics to 4; the real-time factor is null where either
+def clip_rows(results: DataFrame, metrics: Sequence[str], places: int = 3) -> DataFrame:
+    """One flat row for each result: durations and times to `places`, metrics to 4; the real-time factor is null where either
     part is null or 0."""
     latency, duration = F.col("latency_seconds"), F.col("duration_seconds")
     both = (F.coalesce(latency, F.lit(0.0)) != 0) & (F.coalesce(duration, F.lit(0.0)) != 0)
     cols = [F.round(value(m), 4).alias(m) for m in metrics]
     errors = [F.try_element_at("metrics", F.lit(m))["error"].alias(f"{m}_error") for m in metrics]
     return results.select(
-        F.col("clip_id").alias("id"), "provider", "status", F.round(F.coalesce(duration, F.lit(0.0)), 3).alias("audio_duration_seconds"),
-        F.round(latency, 3).alias("latency_seconds"), F.round(F.when(both, latency / duration), 3).alias("rtf"), *cols, *errors,
+        F.col("clip_id").alias("id"), "provider", "status", F.round(F.coalesce(duration, F.lit(0.0)), places).alias("audio_duration_seconds"),
+        F.round(latency, places).alias("latency_seconds"), F.round(F.when(both, latency / duration), places).alias("rtf"), *cols, *errors,
     )
 
 

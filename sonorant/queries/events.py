@@ -89,16 +89,14 @@ def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rates(spark).crossJoin(F.broadcast(total)).select("provider", (F.col("total") * F.col("rate_usd_per_minute")).alias("cost_usd")))
 
 
-@query(f"""WITH {RESULTS} SELECT run_id, clip_id AS id, provider, status, round(duration_seconds, 3) AS audio_duration_seconds, round(latency_seconds, 3) AS latency_seconds,
-  round(CASE WHEN latency_seconds <> 0 AND duration_seconds <> 0 THEN latency_seconds / duration_seconds END, 2) AS rtf, round(semantic_match, 4) AS semantic_match FROM r""")
+@query(f"""WITH {RESULTS} SELECT run_id, clip_id AS id, provider, status, round(duration_seconds, 9) AS audio_duration_seconds, round(latency_seconds, 9) AS latency_seconds,
+  round(CASE WHEN latency_seconds <> 0 AND duration_seconds <> 0 THEN latency_seconds / duration_seconds END, 9) AS rtf, round(semantic_match, 4) AS semantic_match FROM r""")
 def per_clip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = read(spark, sf_dir)
-    flat = ops.clip_rows(r.withColumn("clip_id", F.concat_ws("|", "run_id", "clip_id")), ["semantic_match"])
+    # Nine places: at fewer, values halfway between two steps round by engine.
+    r = read(spark, sf_dir).withColumn("clip_id", F.concat_ws("|", "run_id", "clip_id"))
     parts = F.split("id", r"\|")
-    both = (F.col("latency_seconds") != 0) & (F.col("duration_seconds") != 0)
-    exact = r.select("run_id", "clip_id", "provider", F.round(F.when(both, F.col("latency_seconds") / F.col("duration_seconds")), 2).alias("rtf"))
-    flat = flat.drop("rtf", "semantic_match_error").withColumns({"run_id": parts[0], "clip_id": parts[1]}).drop("id")
-    return flat.join(exact, ["run_id", "clip_id", "provider"]).withColumnRenamed("clip_id", "id")
+    flat = ops.clip_rows(r, ["semantic_match"], 9).drop("semantic_match_error")
+    return flat.withColumns({"run_id": parts[0], "id": parts[1]})
 
 
 @query(f"""WITH {RESULTS}, {POOLED} SELECT metric, arg_min(provider, (CASE WHEN metric = 'wer' THEN value ELSE -value END, provider)) AS provider FROM pooled WHERE value IS NOT NULL GROUP BY metric""")
