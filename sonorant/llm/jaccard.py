@@ -3,8 +3,9 @@
 Rare-first prefix filtering. All shingles have one global order, rare ones first by an estimate from a fixed-size count
 sketch; any fixed order gives exact results, the sketch only makes prefixes selective. Two sets with similarity t share a
 shingle among the first |x| - ceil(t |x|) + 1 of each. Documents are joined on prefix shingles; length and positional filters
-apply at each shared shingle, a suffix filter (histograms of the sets over ranges of the hash space, whose differences bound
-the symmetric difference from below) before verification, and each remaining pair is verified once on the whole sets.
+apply at each shared shingle, then a suffix filter to each distinct pair (counts of the sets over ranges of the hash space, a
+byte for each four shingles, whose differences bound the symmetric difference from below), and each remaining pair is verified
+once on the whole sets.
 
 Equal sets are one class from the start, and classes that are already linked need no further test of each other: a large
 group on one prefix shingle is first chained (each class with the next by size), and only pairs that the chains leave in
@@ -28,7 +29,8 @@ SHINGLE, PERCENT = 5, 75
 SKETCH, SMALL = 1 << 20, 8
 #: Members of a large group that one task compares with one another.
 TILE = 512
-BINS = 32
+#: Ranges of the hash space that a set's members are counted in: a quarter of them, a power of two within these.
+LEAST_RANGES, MOST_RANGES = 32, 8192
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -36,7 +38,7 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 class WordHashes(dict):
     """64-bit hashes of words, kept for repeats; emptied when full, so its memory is bounded."""
 
-    KEPT = 400_000
+    KEPT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -95,6 +97,20 @@ def needed(x, y):
     return -(-PERCENT * (x + y) // (100 + PERCENT))
 
 
+def shape(s: np.ndarray) -> np.ndarray:
+    """Counts of a set's members by the top bits of their hash, at most 255 each."""
+    bits = int(np.log2(min(max(len(s) // 4, LEAST_RANGES), MOST_RANGES)))
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the symmetric difference of two sets, from their shapes: neighbouring ranges of the finer one are
+    added up first. Neither that nor the limit of 255 can raise the bound."""
+    width = min(len(a), len(b))
+    a, b = (x.reshape(width, -1).sum(1, dtype=np.int64) for x in (a, b))
+    return int(np.abs(a - b).sum())
+
+
 # --- fixed-size tables over all rows
 
 
@@ -128,20 +144,21 @@ def bucket(tokens: np.ndarray) -> np.ndarray:
 
 
 def first_pass(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, cls, n) of every document, and the sketch: how many shingles of all documents fall to each counter."""
-    schema = "doc_id long, cls long, n int, piece int, cells binary"
+    """(doc_id, cls, n, shape) of every document, and the sketch: how many shingles of all documents fall to each counter."""
+    schema = "doc_id long, cls long, n int, shape binary, piece int, cells binary"
+    names = ["doc_id", "cls", "n", "shape", "piece", "cells"]
 
     def read(batches):
         total, waiting, held = np.zeros(SKETCH, np.int64), [], 0
         rows: list[tuple] = []
 
         def heads():
-            ids, cls, n = zip(*rows, strict=True)
+            ids, cls, n, shapes = zip(*rows, strict=True)
             blank = pa.nulls(len(rows))
-            return pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in ids], pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), blank.cast(pa.int32()), blank.cast(pa.binary())], ["doc_id", "cls", "n", "piece", "cells"])
+            return pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in ids], pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(shapes, pa.binary()), blank.cast(pa.int32()), blank.cast(pa.binary())], names)
 
         for doc_id, s in sets_of(batches):
-            rows.append((doc_id, class_of(s), len(s)))
+            rows.append((doc_id, class_of(s), len(s), shape(s).tobytes()))
             waiting.append(bucket(s))
             held += len(s)
             if held > SKETCH:
@@ -156,10 +173,10 @@ def first_pass(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             total += np.bincount(np.concatenate(waiting), minlength=SKETCH)
         piece, cells = pieces_of(total)
         blank = pa.nulls(len(piece))
-        yield pa.RecordBatch.from_arrays([blank.cast(pa.int64()), blank.cast(pa.int64()), blank.cast(pa.int32()), piece, cells], ["doc_id", "cls", "n", "piece", "cells"])
+        yield pa.RecordBatch.from_arrays([blank.cast(pa.int64()), blank.cast(pa.int64()), blank.cast(pa.int32()), blank.cast(pa.binary()), piece, cells], names)
 
     both = materialize(docs.select("doc_id", "text").mapInArrow(read, schema), "shingle-classes")
-    return both.where("piece IS NULL").select("doc_id", "cls", "n"), gathered(both.where("piece IS NOT NULL").select("piece", "cells"), SKETCH, np.int64, np.add)
+    return both.where("piece IS NULL").select("doc_id", "cls", "n", "shape"), gathered(both.where("piece IS NOT NULL").select("piece", "cells"), SKETCH, np.int64, np.add)
 
 
 def levels(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,6 +273,14 @@ def groups(rows: DataFrame) -> DataFrame:
             i = np.flatnonzero((group[:-d] == group[d:]) & ((own[:-d] <= SMALL) | (d == 1))) if len(group) > d else np.empty(0, np.int64)
             i = i[pass_filters(n[i], at[i], n[i + d], at[i + d])]
             pairs.append((cls[i], cls[i + d], n[i], n[i + d]))
+        # Of a large group, the two members that have the shingle earliest lead: sets whose other shingles are as common, as
+        # those of an original are among its edited copies. Each other member is tried with both.
+        early = np.lexsort((cls, at, group))
+        for d in range(2):
+            lead = early[np.minimum(start + d, len(early) - 1)][group] if len(start) else np.empty(0, np.int64)
+            i = np.flatnonzero((own > SMALL) & (cls != cls[lead]))
+            i = i[pass_filters(n[i], at[i], n[lead[i]], at[lead[i]])]
+            pairs.append((cls[i], cls[lead[i]], n[i], n[lead[i]]))
         p = pair_batch(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
         k = len(p[0])
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int8)), *p, *(pa.nulls(k).cast(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names)
@@ -267,31 +292,45 @@ def groups(rows: DataFrame) -> DataFrame:
     return rows.repartition(n_partitions(rows.sparkSession), "token", "salt").mapInArrow(join, f"kind byte, {PAIR}, {MEMBER}")
 
 
-def second_candidates(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs within the members' groups whose classes are not connected yet. A group is cut into bands of set size (linked
-    sets lie in one band or neighbouring ones) and tiles of a bounded number of members."""
+def second_candidates(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs within the members' groups whose classes are not connected yet and whose shapes leave room for a link. A group is
+    cut into bands of set size (linked sets lie in one band or neighbouring ones) and tiles of a bounded number of members."""
     m = members.join(comps.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     open_ = m.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    m = m.join(open_, "token").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int"))
+    m = materialize(m.join(open_, "token"), "open-members")
+    shapes = classes.join(m.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("shape").alias("shape"))
+    m = m.join(shapes, "cls").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int"))
     both = m.withColumn("upper", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") - F.col("upper"))
     tiles = both.groupBy("token", "band").agg(F.count("*").alias("c")).select("token", "band", F.ceil(F.col("c") / TILE).cast("int").alias("k"))
     dealt = both.join(tiles, ["token", "band"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("token", "band", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "cls", "n", "at", "root", "upper", "chunk")
+    dealt = dealt.select("token", "band", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "cls", "n", "at", "root", "upper", "chunk", "shape")
 
     def compare(batches):
-        token, band, x, y, cls, n, at, root, upper, chunk = columns_of(batches, ["token", "band", "x", "y", "cls", "n", "at", "root", "upper", "chunk"])
+        token, band, x, y, cls, n, at, root, upper, chunk, shape = columns_of(batches, ["token", "band", "x", "y", "cls", "n", "at", "root", "upper", "chunk", "shape"])
         order = np.lexsort((y, x, band, token))
         token, band, x, y, cls, n, at, root, upper, chunk = (v[order] for v in (token, band, x, y, cls, n.astype(np.int64), at.astype(np.int64), root, upper, chunk))
+        shape = shape[order] if len(order) else shape
         cut = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (band[1:] != band[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(token) else []
         found, held = [], 0
         for s, e in zip(cut, [*cut[1:], len(token)], strict=True):
+            if e - s < 2:
+                continue
             c, g, u, r, q, w = cls[s:e], root[s:e], upper[s:e], n[s:e], at[s:e], chunk[s:e]
+            own = [np.frombuffer(v, np.uint8) for v in shape[s:e]]
+            width = min(map(len, own))
+            form = np.stack([v.reshape(width, -1).sum(1, dtype=np.int32) for v in own])
             for lo in range(0, e - s, TILE):
                 part = slice(lo, lo + TILE)
                 fit = (g[part, None] != g[None, :]) & (u[part, None] == 0) & ((u[None, :] == 1) | (c[part, None] < c[None, :])) & ((x[s] == y[s]) | (w[part, None] != w[None, :]))
                 fit &= pass_filters(r[part, None], q[part, None], r[None, :], q[None, :])
                 i, j = np.nonzero(fit)
-                found.append((c[part][i], c[j], r[part][i], r[j]))
+                i += lo
+                keep = np.empty(len(i), bool)
+                for b in range(0, len(i), 20_000):
+                    ib, jb = i[b : b + 20_000], j[b : b + 20_000]
+                    keep[b : b + 20_000] = np.abs(form[ib] - form[jb]).sum(1, dtype=np.int64) <= r[ib] + r[jb] - 2 * needed(r[ib], r[jb])
+                i, j = i[keep], j[keep]
+                found.append((c[i], c[j], r[i], r[j]))
                 held += len(i)
             if held > 500_000:
                 yield pa.RecordBatch.from_arrays(pair_batch(*(np.concatenate(v) for v in zip(*found, strict=True))), ["a", "b", "na", "nb"])
@@ -305,6 +344,23 @@ def second_candidates(members: DataFrame, comps: DataFrame) -> DataFrame:
 # --- verification
 
 
+def suffix_filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) whose shapes leave room for a link, each once."""
+    pairs = pairs.distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    shapes = classes.join(ends, "cls", "left_semi").groupBy("cls").agg(F.first("shape").alias("shape"))
+    both = pairs.join(shapes.select(F.col("cls").alias("a"), F.col("shape").alias("sa")), "a").join(shapes.select(F.col("cls").alias("b"), F.col("shape").alias("sb")), "b")
+
+    def test(batches):
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            room = na + nb - 2 * needed(na, nb)
+            far = [apart(np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(np.array(far, np.int64) <= room))
+
+    return materialize(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(test, PAIR), "pairs")
+
+
 def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, tokens) of the wanted classes (cls). One document of each class is read again; a bit table of a fixed size over
     their ids keeps the others' texts from being cut into shingles, and rows that pass it by chance are joined away."""
@@ -333,10 +389,6 @@ def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
     return materialize(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "shingle-sets")
 
 
-def histogram(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=BINS)
-
-
 def verified(pairs: DataFrame, sets: DataFrame, most: int = 20_000) -> DataFrame:
     """Of distinct pairs (a, b, na, nb), the links (a, b). Pairs meet at the least class next to one of them, so a group of
     alike sets is sent to one place once; places with many pairs are split."""
@@ -359,17 +411,10 @@ def verified(pairs: DataFrame, sets: DataFrame, most: int = 20_000) -> DataFrame
                     members.setdefault((home, salt), {})[a] = np.frombuffer(t.as_py(), np.uint64)
                 else:
                     asked.append((home, salt, a, other))
-        shapes: dict[int, np.ndarray] = {}
         out = []
         for home, salt, a, b in asked:
             x, y = members[home, salt][a], members[home, salt][b]
-            for c, s in ((a, x), (b, y)):
-                if c not in shapes:
-                    shapes[c] = histogram(s)
             need = needed(len(x), len(y))
-            # The suffix filter: sets differ by at least what their histograms differ by.
-            if np.abs(shapes[a] - shapes[b]).sum() > len(x) + len(y) - 2 * need:
-                continue
             both = np.concatenate([x, y])
             both.sort(kind="stable")
             if int((both[1:] == both[:-1]).sum()) >= need:
@@ -380,6 +425,11 @@ def verified(pairs: DataFrame, sets: DataFrame, most: int = 20_000) -> DataFrame
     return materialize(both.repartition(n_partitions(pairs.sparkSession), "home", "salt").mapInArrow(verify, "a long, b long"), "jaccard-links")
 
 
+def linked_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    return verified(pairs, whole_sets(docs, classes, wanted))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text; other columns are dropped) -> doc_id, n_shingles, component_id for each row.
 
@@ -389,15 +439,13 @@ def join(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     classes, counts = first_pass(docs)
     found = materialize(groups(prefix_rows(docs, counts)), "prefix-groups")
-    pairs = found.where("kind = 0").select("a", "b", "na", "nb").distinct()
-    members = found.where("kind = 1").select("token", "cls", "n", "at")
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).union(members.select("cls")).distinct()
-    sets = whole_sets(docs, classes, wanted)
-    links = verified(pairs, sets)
+    pairs = suffix_filtered(found.where("kind = 0").select("a", "b", "na", "nb"), classes)
+    links = linked_pairs(docs, classes, pairs)
     comps = components(links)
-    more = materialize(second_candidates(members, comps).distinct(), "second-pairs")
+    members = found.where("kind = 1").select("token", "cls", "n", "at")
+    more = materialize(second_candidates(members, comps, classes).distinct(), "second-pairs")
     if not more.isEmpty():
-        comps = components(links.unionByName(verified(more, sets)))
+        comps = components(links.unionByName(linked_pairs(docs, classes, more)))
     keyed = classes.join(comps.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("key", F.coalesce("root", "cls"))
     keyed = keyed.where("n > 0")
     least = keyed.groupBy("key").agg(F.min("doc_id").alias("component_id"))
