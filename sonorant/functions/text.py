@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sonorant.functions.align import distance
+
 
 def let(x: Column, body) -> Column:
     """body of x, with x evaluated once."""
@@ -38,16 +41,14 @@ def characters(normalized: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(normalized, r"(?U)\s", ""), ""), lambda x: x != "")
 
 
-def encoded(tokens: Column, alphabet: Column) -> Column:
-    """Tokens as one string, each by the code point of its place in `alphabet`: token distance becomes string distance.
-    Holds up to 20,000 distinct tokens for a row."""
-    place = lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(alphabet, x) + 19967), 4, "0")), "UTF-16BE")
-    return F.array_join(F.transform(tokens, place), "")
+def _distances(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    return pa.array([distance(r.as_py(), h.as_py()) if r.is_valid and h.is_valid else None for r, h in zip(ref, hyp, strict=True)], pa.int64())
 
 
 def edit_count(ref: Column, hyp: Column) -> Column:
-    """The least number of substitutions, deletions and insertions between token arrays, inside the JVM."""
-    return let(F.array_union(ref, hyp), lambda a: F.levenshtein(encoded(ref, a), encoded(hyp, a))).cast("long")
+    """The least number of substitutions, deletions and insertions between token arrays or strings, of any length and with any
+    number of distinct tokens."""
+    return F.arrow_udf(_distances, "long")(ref, hyp)
 
 
 def error_rate(errors: Column, length: Column) -> Column:

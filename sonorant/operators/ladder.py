@@ -54,7 +54,7 @@ def forgiven_wer(pairs: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
     fixed = F.flatten(F.transform(seg, lambda s, k: F.when(forgiven(s, k), s["ref"]).otherwise(s["hyp"])))
     a = a.withColumns({"fixed": fixed, "forgiven": F.size(F.filter(seg, forgiven)).cast("long"), "segments": F.size(F.filter(seg, lambda s: s["op"] != "equal")).cast("long")})
     chars = lambda c: F.array_join(c, "")
-    words, letters = edit_count(F.col("r"), F.col("fixed")), F.levenshtein(chars("r"), chars("fixed"))
+    words, letters = edit_count(F.col("r"), F.col("fixed")), edit_count(chars("r"), chars("fixed"))
     n, m = F.size("r"), F.length(chars("r"))
     return a.select(key, "forgiven", "segments", metric(error_rate(words, n), words, n).alias("llm_wer"), metric(error_rate(letters, m), letters, m).alias("llm_cer"))
 

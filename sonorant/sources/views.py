@@ -39,9 +39,9 @@ def latest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, r and h: reference and heard tokens, the first 12 of a text and a damaged copy of them."""
-    tokens = F.filter(F.split(F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 200)), "[^a-z]+"), lambda x: x != "")
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.slice(tokens, 1, 12).alias("r"))
+    """doc_id, lang, r and h: reference and heard tokens, all of a text and a damaged copy of them."""
+    tokens = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda x: x != "")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", tokens.alias("r"))
     damaged = F.transform("r", lambda x, i: F.when((i + 1 + F.col("doc_id")) % 7 == 0, None).when((i + 1 + F.col("doc_id")) % 5 == 0, F.concat(x, F.lit("x"))).otherwise(x))
     return d.withColumn("h", F.filter(damaged, lambda x: x.isNotNull()))
 
