@@ -29,7 +29,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(substr(coalesce(text, ''), 1, 300), '[^ -~]', '', 'g')), '[^a-z0-9_'' ]', ' ', 'g'), ' +', ' ', 'g')) AS normal FROM documents")
 def tokenize_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_text = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 300), "[^ -~]", "")
+    ascii_text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "")
     return views.table(spark, sf_dir, "documents").select("doc_id", text.normalize(ascii_text).alias("normal"))
 
 
