@@ -133,7 +133,7 @@ def test_license_phrases_and_templates(spark, edge, empty):
     rng = np.random.default_rng(5)
     pool = ["CC", "by", "General", "public", "LICENSE", "all", "rights", "reserved", "x", "é"]
     rows = [(2000 + k, "".join(x for w in rng.choice(pool, 30) for x in (w, rng.choice([" ", "-", ", ", "\n"])))) for k in range(100)]
-    rows += [(3000, "intro " + mit + " outro"), (3001, damaged), (3002, "unrelated " * 50), (3003, " ".join(words[:12]))]
+    rows += [(3000, "intro " + mit + " outro"), (3001, damaged), (3002, "unrelated " * 50), (3003, " ".join(words[:12])), (3004, "\u212a all rights reserved, by th\u0130s \u212a")]
     docs = edge.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
     out = licenses.scan(docs).collect()
     assert len(out) == docs.count()
@@ -146,6 +146,7 @@ def test_license_phrases_and_templates(spark, edge, empty):
     by = {r.doc_id: r for r in out}
     assert by[3000].labels == ["mit"] and by[3000].score == 1.0 and by[3001].labels == ["mit"] and 0.5 <= by[3001].score < 1
     assert by[3002].labels == by[3003].labels == []
+    assert by[3004].score == licenses.PHRASE_SCORE and by[3004].base_labels == ["reserved"]
     assert licenses.scan(empty).count() == 0
 
 
