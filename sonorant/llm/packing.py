@@ -16,7 +16,7 @@ from sonorant.llm.tokens import document_ids, vocabulary_path
 
 SEQUENCE, OPEN = 4096, 32
 #: Partitions whose left-over windows one task merges: at most GROUP * OPEN windows.
-GROUP = 64
+GROUP = 8
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 COLUMNS = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")])

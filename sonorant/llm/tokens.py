@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +28,9 @@ END_ID = 2
 MAGIC, FOOTER = b"SNRTIDS1", "<QQ8s"
 RECORD = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("tokens", "<u4")])
 
-#: Documents whose ids train the dictionary, bytes of each that it sees, and the dictionary's size.
-TRAIN_DOCS, TRAIN_BYTES, DICTIONARY_BYTES = 1000, 8192, 65536
-FILE_BYTES = 16 << 20
+#: Documents whose ids train the dictionary, characters of each that it sees, and the dictionary's size.
+TRAIN_DOCS, TRAIN_CHARS, DICTIONARY_BYTES = 1000, 4096, 65536
+FILE_BYTES = 8 << 20
 
 
 def vocabulary_path() -> str:
@@ -38,11 +39,21 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: ASCII marks that end a word without touching its ids, letters beyond which composition may matter, bytes of text cut at once.
+ENDS, COMBINING, SLICE = ".,;:!?)", re.compile("[\u0300-\U0010ffff]"), 8 << 20
+#: How the vocabulary spells bytes: printable ones of Latin-1 by themselves, the others by the next letters from U+0100 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in PRINTABLE)}
+
+
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes, by the tokenizers library.
+    """Ids of texts as little-endian unsigned 32-bit bytes, by the tokenizers library.
 
-    The tokenizer splits at white space before anything else, so a text's ids are those of its pieces between spaces and
-    line feeds, one after the other; pieces repeat, so their ids are kept. Two generations of kept pieces bound the memory."""
+    The tokenizer splits at white space before anything else, so a text's ids are those of its pieces between spaces and line
+    feeds, one after the other. Arrow cuts a slice of texts into pieces and numbers the distinct ones; only words that are not
+    known yet are encoded, all of a slice in one call, and numpy gathers the ids of all pieces. A piece is a word and the marks
+    that end it: marks are a token of their own, so words repeat more than pieces do. Two generations of known words bound the
+    memory: a word that returns moves to the younger one."""
 
     KEPT = 400_000
 
@@ -52,39 +63,92 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-
-        class Pieces(dict):
-            old: dict = {}
-
-            def __missing__(self, piece: str) -> bytes:
-                ids = self.old.get(piece)
-                if ids is None:
-                    ids = np.array(tok.encode_batch_fast([piece], add_special_tokens=False)[0].ids, "<u4").tobytes()
-                if len(piece) <= 64:
-                    if len(self) >= Encoder.KEPT:
-                        self.old = dict(self)
-                        self.clear()
-                    self[piece] = ids
-                return ids
-
-        self.pieces = Pieces()
-        self.combining = re.compile("[\u0300-\U0010ffff]")
-
-    def __call__(self, text: str | None) -> bytes:
-        """Null is empty: no ids."""
-        if not text:
-            return b""
-        # The tokenizer lower-cases; doing so for A to Z beforehand makes pieces repeat more. Not where a letter may first
-        # join a combining mark, nor where a special token's name could arise.
-        if "<|" not in text and (text.isascii() or not self.combining.search(text)):
-            text = text.lower() if text.isascii() else text.encode().lower().decode()
-        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @staticmethod
+    def parts(piece: str) -> tuple[str, str]:
+        """(word, end) with the ids of `piece` one after the other. The tokenizer lower-cases; doing so for A to Z beforehand
+        makes words repeat more. Not where a letter may first join a combining mark, nor where a special token's name stands
+        or could arise."""
+        if "<|" in piece or not piece.isascii() and COMBINING.search(piece):
+            return piece, ""
+        low = piece.lower() if piece.isascii() else piece.encode().lower().decode()
+        word = low.rstrip(ENDS)
+        if len(word) == len(low) or not word or not (word[-1].lower().isalpha() or "0" <= word[-1] <= "9"):
+            return low, ""
+        return word, low[len(word) :]
+
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. One of letters alone, none of which can be composed or lower-cased any further, passes the
+        tokenizer's steps before the model unchanged but for the spelling of its bytes, so the model is asked at once."""
+        out, rest = [], []
+        for w in words:
+            if w.isalpha() and (w.isascii() or not COMBINING.search(w)) and w == w.lower():
+                spelled = w if w.isascii() else w.encode().decode("latin-1").translate(BYTES)
+                out.append(np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes())
+            else:
+                rest.append(w)
+                out.append(None)
+        found = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
+        return [np.array(next(found).ids, "<u4").tobytes() if x is None else x for x in out]
+
+    def lookup(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of distinct pieces; pieces and words that an older slice had are moved up."""
+        young, old = self.young, self.old
+        known = [young.get(p) for p in pieces]
+        missed = [k for k, x in enumerate(known) if x is None]
+        pairs = {}
+        for k in missed:
+            p = pieces[k]
+            if (x := old.get(p)) is not None:
+                young[p] = known[k] = x
+            else:
+                pairs[k] = self.parts(p)
+        new = {x for pair in pairs.values() for x in pair if x not in young}
+        young.update((x, old[x]) for x in new if x in old)
+        new = [x for x in new if x not in old]
+        young.update(zip(new, self.word_ids(new), strict=True))
+        for k, (word, end) in pairs.items():
+            known[k] = young[word] + young[end]
+        young.update((pieces[k], known[k]) for k in pairs if pieces[k].isascii())
+        if len(young) >= self.KEPT:
+            self.old, self.young = young, {}
+        return known
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's ids end). Null is empty: no ids."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        known = self.lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        table = np.frombuffer(b"".join(known), "<u4")
+        length = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        own = length[codes]
+        stop = np.cumsum(own)
+        # Where an id stands in the table: its place here, less where its piece starts here, and where that starts there.
+        shift = (np.cumsum(length) - length)[codes] - (stop - own)
+        out = table[np.repeat(shift, own) + np.arange(stop[-1] if len(stop) else 0)]
+        return out, np.concatenate([[0], stop])[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each text's ids. Texts are taken in slices of SLICE bytes, or one longer text."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, "right")))
+            ids, stops = self.ids(texts.slice(at, end - at))
+            start = 0
+            for stop in stops.tolist():
+                yield ids[start:stop].tobytes()
+                start = stop
+            at = end
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One encoder for a worker process: its kept pieces serve all of its tasks."""
+    """One encoder for a worker process: its known words serve all of its tasks."""
     return Encoder(path)
 
 
@@ -92,23 +156,25 @@ def document_ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple
     """(doc_id, ids with the end id) of each row of batches of doc_id, text."""
     encode, end = encoder(path), np.array([END_ID], "<u4").tobytes()
     for batch in batches:
-        ids = batch.column("doc_id")
-        texts = batch.column("text")
-        for i in range(batch.num_rows):
-            yield ids[i].as_py(), encode(texts[i].as_py()) + end
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
+            yield doc_id, ids + end
 
 
 def train_dictionary(docs: DataFrame, path: str, n_docs: int = TRAIN_DOCS) -> bytes:
     """A dictionary from the ids of the n_docs documents with the least hash of their id: a bounded sample, as it shapes
-    the compression and not what is stored. Too few documents for training: the raw sample is the dictionary."""
+    the compression and not what is stored. The ids are chosen first, from that column alone; of the chosen documents only
+    TRAIN_CHARS characters leave their tasks. Too few documents for training: the raw sample is the
+    dictionary."""
     import zstandard
 
     def first(batches):
         for _, ids in document_ids(batches, path):
-            yield pa.RecordBatch.from_arrays([pa.array([ids[:TRAIN_BYTES]], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids], pa.binary())], ["ids"])
 
-    rows = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs).mapInArrow(first, "ids binary").collect()
-    samples = [bytes(r.ids) for r in rows]
+    order = (F.xxhash64("doc_id"), "doc_id")
+    chosen = docs.select("doc_id").orderBy(*order).limit(n_docs).distinct()
+    cut = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text"))
+    samples = [bytes(r.ids) for r in cut.orderBy(*order, "text").limit(n_docs).mapInArrow(first, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -168,9 +234,11 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None) -> DataFram
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     manifest = ordered.mapInArrow(writer(path, f"{folder}/files", dictionary), "part long, number long, name string, docs long, tokens long")
     manifest = materialize(manifest, "manifest")
-    # One row for each file: small, whatever the documents.
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    # Running sums over a task's files, and over tasks: the second has one row for each task that wrote.
+    up = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = manifest.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", up(Window.orderBy("part")).alias("before"))
+    within = manifest.withColumn("start", up(Window.partitionBy("part").orderBy("number")))
+    return within.join(tasks, "part").withColumn("start", F.col("start") + F.col("before")).drop("before")
 
 
 def read_file(content: bytes, dictionary: bytes) -> Iterator[tuple[int | None, bytes]]:

@@ -1,6 +1,8 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 from sonorant.llm import packing, tokens
@@ -15,8 +17,18 @@ def plain_ids(texts):
 def test_encoder_equals_the_tokenizer():
     encode = tokens.Encoder(tokens.vocabulary_path())
     odd = ["It's  The\tEnd\n\nof.. it", "É́H̱ Straße x y", "<|endoftext|> <|ENDOFTEXT|> a<|startoftext|>b", "İstanbul ΣΑΣ", "\x1c\x85 a\x0bb", "漢字 テスト 123,456.78", " ", "'S 'LL don'T"]
-    for t, want in zip(odd, plain_ids(odd), strict=True):
-        assert encode(t) == want[:-1].tobytes(), t
+    odd += [None, "", "Word. (word), WORD!? x.y. foo-. it's. a.'s end:; 5. 12) é. É! ß, .,. ... J\u030c. J\u030c <|a. ª. ²! ⅷ."]
+    rng = np.random.default_rng(3)
+    pool = ["Haus", "haus", "É", "e", "\u0301", ".", ",", ")", "'s", "'", "<|", "|>", "endoftext", "1", "漢", " ", " ", "\n", "\t", "-", "ı", "İ", "K", "Σ"]
+    odd += ["".join(rng.choice(pool, rng.integers(1, 30))) for _ in range(3000)]
+    odd += ["".join(map(chr, range(k, k + 8))) for k in range(0x21, 0x300, 8)] + [f"a{chr(k)}b {chr(k)}" for k in range(0x21, 0x590)]
+    want = [x[:-1].tobytes() for x in plain_ids(odd)]
+    for kept, size in ((500_000, 8 << 20), (50, 200)):  # known words must be forgotten and slices cut without effect
+        encode.KEPT = kept
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(tokens, "SLICE", size)
+            assert list(encode(pa.array(odd))) == want == [x for k in (0, 5) for x in encode(pa.array(odd)[k : 5 if k == 0 else None])]
+    assert list(encode(pa.array([], pa.string()))) == []
 
 
 def test_files_round_trip(spark, edge, empty):
