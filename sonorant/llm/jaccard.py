@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose sets of 5-word shingles are alike.
 
-Rare-first prefix filtering. All shingles have one global order, rare ones first by an estimate from a fixed-size count
-sketch; any fixed order gives exact results, the sketch only makes prefixes selective. Two sets with similarity t share a
+Rare-first prefix filtering. All shingles have one global order, rare ones first by an estimate from a count sketch of a fixed
+size; any fixed order gives exact results, the sketch only makes prefixes selective. Two sets with similarity t share a
 shingle among the first |x| - ceil(t |x|) + 1 of each. Documents are joined on prefix shingles; length and positional filters
 apply at each shared shingle, then a suffix filter to each distinct pair (counts of the sets over ranges of the hash space, a
 byte for each four shingles, whose differences bound the symmetric difference from below), and each remaining pair is verified
@@ -25,12 +25,15 @@ from sonorant.llm.common import materialize, n_partitions, read_table
 from sonorant.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
-#: Counters of the sketch (fixed, so its broadcast is), and the size up to which a group's pairs are all tried at once.
-SKETCH, SMALL = 1 << 20, 8
+#: Counters of the sketch (fixed, so its broadcast is), of how many single shingles one is counted, shingles counted at once, and
+#: the size up to which a group's pairs are all tried at once.
+SKETCH, SAMPLED, COUNTED, SMALL = 1 << 24, 64, 1 << 22, 8
 #: Members of a large group that one task compares with one another.
 TILE = 512
 #: Ranges of the hash space that a set's members are counted in: a quarter of them, a power of two within these.
 LEAST_RANGES, MOST_RANGES = 32, 8192
+#: Up to how many ids are looked up by a broadcast join instead of a bit table, and the least bytes of sets in a part of a home.
+FEW_IDS, PART_BYTES = 200_000, 1 << 16
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -111,90 +114,91 @@ def apart(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.abs(a - b).sum())
 
 
-# --- fixed-size tables over all rows
-
-
-def gathered(parts: DataFrame, width: int, dtype, combine) -> np.ndarray:
-    """The combination of all rows' (piece int, cells binary): a table of a fixed size, so the driver may hold it."""
-
-    def add(key, rows):
-        total = None
-        for x in rows.column("cells"):
-            cells = np.frombuffer(x.as_py(), dtype)
-            total = cells.copy() if total is None else combine(total, cells)
-        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros(width, dtype)
-    for r in parts.groupBy("piece").applyInArrow(add, "piece int, cells binary").collect():
-        cells = np.frombuffer(bytes(r.cells), dtype)
-        out[r.piece * len(cells) : (r.piece + 1) * len(cells)] = cells
-    return out
-
-
-def pieces_of(table: np.ndarray, n: int = 16) -> tuple[pa.Array, pa.Array]:
-    cells = table.reshape(n, -1)
-    return pa.array(range(n), pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary())
-
-
 # --- the order
 
 
 def bucket(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(44)).astype(np.int64)
-
-
-def first_pass(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, cls, n, shape) of every document, and the sketch: how many shingles of all documents fall to each counter."""
-    schema = "doc_id long, cls long, n int, shape binary, piece int, cells binary"
-    names = ["doc_id", "cls", "n", "shape", "piece", "cells"]
+    return (tokens >> np.uint64(40)).astype(np.int32)
+
+
+def counters(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, repeats, singles) of some sets' shingles, one after the other: the count of each shingle that comes twice or
+    more, and one of SAMPLED of the others, picked at random for each occurrence, so that a shingle that comes once in each of
+    many tasks is seen too."""
+    tokens = np.sort(tokens)
+    start = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.empty(0, np.int64)
+    size = np.diff(np.r_[start, len(tokens)])
+    many = size > 1
+    once = tokens[start[~many]]
+    place = np.arange(len(once), dtype=np.uint64)
+    once = once[((once * MIX[3] ^ place * MIX[0]) >> np.uint64(40)) % np.uint64(SAMPLED) == 0]
+    repeats = np.r_[size[many], np.zeros(len(once), np.int64)]
+    return bucket(np.r_[tokens[start[many]], once]), repeats, np.r_[np.zeros(int(many.sum()), np.int64), np.ones(len(once), np.int64)]
+
+
+def first_pass(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cls, n, shape) of every document, and (bucket, repeats, singles): the sketch's counters that are not 0. Of equal
+    sets that a task counts together one is counted."""
+    schema = "doc_id long, cls long, n int, shape binary, bucket int, repeats long, singles long"
+    names = ["doc_id", "cls", "n", "shape", "bucket", "repeats", "singles"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
+
+    def batch(first: int, columns: list) -> pa.RecordBatch:
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.array(columns[k - first], t) if 0 <= k - first < len(columns) else pa.nulls(n, t) for k, t in enumerate(kinds)], names)
 
     def read(batches):
-        total, waiting, held = np.zeros(SKETCH, np.int64), [], 0
-        rows: list[tuple] = []
-
-        def heads():
-            ids, cls, n, shapes = zip(*rows, strict=True)
-            blank = pa.nulls(len(rows))
-            return pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in ids], pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(shapes, pa.binary()), blank.cast(pa.int32()), blank.cast(pa.binary())], names)
-
+        waiting, held, seen, rows = [], 0, set(), []
         for doc_id, s in sets_of(batches):
-            rows.append((doc_id, class_of(s), len(s), shape(s).tobytes()))
-            waiting.append(bucket(s))
-            held += len(s)
-            if held > SKETCH:
-                total += np.bincount(np.concatenate(waiting), minlength=SKETCH)
+            cls = class_of(s)
+            rows.append((doc_id.as_py(), cls, len(s), shape(s).tobytes()))
+            if cls not in seen:
+                seen.add(cls)
+                waiting.append(s)
+                held += len(s)
+            if held > COUNTED:
+                yield batch(4, counters(np.concatenate(waiting)))
                 waiting, held = [], 0
-            if len(rows) >= 10_000:
-                yield heads()
+                seen.clear()
+            if len(rows) >= 5000:
+                yield batch(0, list(zip(*rows, strict=True)))
                 rows.clear()
         if rows:
-            yield heads()
+            yield batch(0, list(zip(*rows, strict=True)))
         if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=SKETCH)
-        piece, cells = pieces_of(total)
-        blank = pa.nulls(len(piece))
-        yield pa.RecordBatch.from_arrays([blank.cast(pa.int64()), blank.cast(pa.int64()), blank.cast(pa.int32()), blank.cast(pa.binary()), piece, cells], names)
+            yield batch(4, counters(np.concatenate(waiting)))
 
     both = materialize(docs.select("doc_id", "text").mapInArrow(read, schema), "shingle-classes")
-    return both.where("piece IS NULL").select("doc_id", "cls", "n", "shape"), gathered(both.where("piece IS NOT NULL").select("piece", "cells"), SKETCH, np.int64, np.add)
+    sketch = both.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("repeats").alias("repeats"), F.sum("singles").alias("singles"))
+    return both.where("bucket IS NULL").select("doc_id", "cls", "n", "shape"), sketch
+
 
+def usual(mean: float, weight: int) -> float:
+    """What counters whose shingles are all rare stay below: the mean, chance around it, and a little more."""
+    return mean + 3 * (weight * mean) ** 0.5 + 8
 
-def levels(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each counter its rareness level, the logarithm of what it exceeds the common run of counters by, and into how many
-    parts a group on a shingle of it is split."""
-    mean = counts.mean()
-    usual = mean + 3 * np.sqrt(mean) + 1
-    level = np.minimum(255, np.ceil(5 * np.log2(np.maximum(counts / usual, 1)))).astype(np.uint8)
-    return level, np.where(level > 0, -(-counts // (8 * TILE)), 1).astype(np.int64)
+
+def levels(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each counter its rareness level, five times the logarithm of what it exceeds the usual by, and into how many parts a
+    group on a shingle of each level is split. Counters beyond the usual come to the driver: SKETCH of them at most."""
+    sketch = materialize(sketch, "sketch")
+    total = sketch.agg(F.coalesce(F.sum("repeats"), F.lit(0)).alias("repeats"), F.coalesce(F.sum("singles"), F.lit(0)).alias("singles")).first()
+    least = usual(total.repeats / SKETCH, 1), usual(SAMPLED * total.singles / SKETCH, SAMPLED)
+    over = sketch.where((F.col("repeats") > least[0]) | (SAMPLED * F.col("singles") > least[1])).toArrow()
+    repeats, singles = (over.column(c).to_numpy() for c in ("repeats", "singles"))
+    excess = np.maximum(repeats / least[0], SAMPLED * singles / least[1])
+    level = np.zeros(SKETCH, np.uint8)
+    level[over.column("bucket").to_numpy()] = np.minimum(255, np.ceil(5 * np.log2(excess)))
+    return level, np.ceil(min(least) * 2 ** (np.arange(256) / 5) / (8 * TILE)).astype(np.int64)
 
 
 # --- groups on prefix shingles
 
 
-def prefix_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(token, cls, n, at, salt, hot) for each prefix shingle of each document. Shingles of a high level are hot: their groups
+def prefix_rows(docs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(token, cls, n, at, salt, hot) for each prefix shingle of each document. Groups on shingles of a high level are hot: they
     are dealt in parts, of which each token takes others."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels(counts))
+    shared = docs.sparkSession.sparkContext.broadcast(levels(sketch))
 
     def emit(batches):
         level, parts = shared.value
@@ -205,9 +209,9 @@ def prefix_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             token = np.concatenate(tokens)
             c = np.repeat(np.array(cls, np.int64), lengths)
             at = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            b = bucket(token)
-            salt = ((c.view(np.uint64) * MIX[2] ^ token * MIX[3]) >> np.uint64(40)).astype(np.int64) % parts[b]
-            columns = [token.view(np.int64), c, np.repeat(np.array(n, np.int32), lengths), at.astype(np.int32), salt.astype(np.int32), level[b] > 0]
+            own = parts[level[bucket(token)]]
+            salt = ((c.view(np.uint64) * MIX[2] ^ token * MIX[3]) >> np.uint64(40)).astype(np.int64) % own
+            columns = [token.view(np.int64), c, np.repeat(np.array(n, np.int32), lengths), at.astype(np.int32), salt.astype(np.int32), own > 1]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["token", "cls", "n", "at", "salt", "hot"])
 
         for _, s in sets_of(batches):
@@ -366,63 +370,70 @@ def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
     their ids keeps the others' texts from being cut into shingles, and rows that pass it by chance are joined away."""
     cells = 1 << 21
     ids = classes.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select(F.xxhash64("doc_id").alias("h"))
-
-    def mark(batches):
-        bits = np.zeros(cells, np.int32)
-        for b in batches:
-            h = b.column("h").to_numpy().view(np.uint64)
-            np.bitwise_or.at(bits, (h >> np.uint64(43)).astype(np.int64), np.left_shift(np.int32(1), (h & np.uint64(31)).astype(np.int32)))
-        yield pa.RecordBatch.from_arrays(list(pieces_of(bits)), ["piece", "cells"])
-
-    bits = docs.sparkSession.sparkContext.broadcast(gathered(ids.mapInArrow(mark, "piece int, cells binary"), cells, np.int32, np.bitwise_or))
+    ids = materialize(ids, "wanted-ids")
+    hashed = docs.select(F.xxhash64("doc_id").alias("h"), "text")
+    bits = None
+    if ids.count() <= FEW_IDS:
+        hashed = hashed.join(F.broadcast(ids.distinct()), "h", "left_semi")
+    else:
+        marked = ids.groupBy(F.shiftrightunsigned("h", 43).cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1, cast(h & 31 as int))")).alias("bits")).toArrow()
+        table = np.zeros(cells, np.int32)
+        table[marked.column("cell").to_numpy()] = marked.column("bits").to_numpy()
+        bits = docs.sparkSession.sparkContext.broadcast(table)
 
     def read(batches):
-        table, kept = bits.value, hashes()
+        kept = hashes()
         for b in batches:
-            h = b.column("h").to_numpy().view(np.uint64)
-            hit = np.flatnonzero((table[(h >> np.uint64(43)).astype(np.int64)] >> (h & np.uint64(31)).astype(np.int32)) & 1)
-            texts = b.column("text").take(pa.array(hit)).cast(pa.binary())
-            sets = [s for s in (shingles(t.as_py(), kept) for t in texts) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "tokens"])
-
-    sets = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(read, "cls long, tokens binary")
+            texts = b.column("text")
+            if bits is not None:
+                h = b.column("h").to_numpy().view(np.uint64)
+                texts = texts.take(pa.array(np.flatnonzero((bits.value[(h >> np.uint64(43)).astype(np.int64)] >> (h & np.uint64(31)).astype(np.int32)) & 1)))
+            for at in range(0, len(texts), 500):
+                sets = [s for s in (shingles(t.as_py(), kept) for t in texts.slice(at, 500).cast(pa.binary())) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "tokens"])
+
+    sets = hashed.mapInArrow(read, "cls long, tokens binary")
     return materialize(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "shingle-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, most: int = 20_000) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b, na, nb), the links (a, b). Pairs meet at the least class next to one of them, so a group of
-    alike sets is sent to one place once; places with many pairs are split."""
+    alike sets is sent to one place once; a place with more than half a task's share of all bytes is split, pair by pair. A task
+    reads place by place and holds the sets of one at a time."""
+    n = n_partitions(pairs.sparkSession)
     ends = pairs.select(F.col("a").alias("v"), F.col("b").alias("w")).union(pairs.select(F.col("b").alias("v"), F.col("a").alias("w")))
     label = ends.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("l"))
     placed = pairs.join(label.select(F.col("v").alias("a"), F.col("l").alias("la")), "a").join(label.select(F.col("v").alias("b"), F.col("l").alias("lb")), "b").withColumn("home", F.least("la", "lb"))
-    many = placed.groupBy("home").agg(F.ceil(F.count("*") / most).alias("parts")).where("parts > 1")
-    placed = placed.join(many, "home", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).select("home", "salt", "a", "b")
+    weight = F.sum(8 * (F.col("na").cast("long") + F.col("nb")))
+    share = max(PART_BYTES, (pairs.agg(weight.alias("w")).first().w or 0) // (2 * n))
+    many = placed.groupBy("home").agg(F.ceil(weight / share).alias("parts")).where("parts > 1")
+    placed = placed.join(many, "home", "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int")).select("home", "salt", "a", "b")
     placed = materialize(placed, "placed-pairs")
     used = placed.select("home", "salt", F.col("a").alias("cls")).union(placed.select("home", "salt", F.col("b").alias("cls"))).distinct()
     sent = used.join(sets, "cls").select("home", "salt", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
     both = sent.unionByName(placed.withColumn("tokens", F.lit(None).cast("binary")))
 
     def verify(batches):
-        members, asked = {}, []
+        place, members, out = None, {}, []
         for batch in batches:
-            tokens, b = batch.column("tokens"), batch.column("b")
-            for home, salt, a, other, t in zip(*(batch.column(c).to_pylist() for c in ("home", "salt", "a")), b.to_pylist(), tokens, strict=True):
-                if other is None:
-                    members.setdefault((home, salt), {})[a] = np.frombuffer(t.as_py(), np.uint64)
-                else:
-                    asked.append((home, salt, a, other))
-        out = []
-        for home, salt, a, b in asked:
-            x, y = members[home, salt][a], members[home, salt][b]
-            need = needed(len(x), len(y))
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            if int((both[1:] == both[:-1]).sum()) >= need:
-                out.append((a, b))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-
-    return materialize(both.repartition(n_partitions(pairs.sparkSession), "home", "salt").mapInArrow(verify, "a long, b long"), "jaccard-links")
+            columns = [batch.column(c).to_pylist() for c in ("home", "salt", "a", "b")]
+            for home, salt, a, b, tokens in zip(*columns, batch.column("tokens"), strict=True):
+                if (home, salt) != place:
+                    place, members = (home, salt), {}
+                if b is None:  # sets come before the pairs of their place
+                    members[a] = np.frombuffer(tokens.as_py(), np.uint64)
+                    continue
+                x, y = members[a], members[b]
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                if int((both[1:] == both[:-1]).sum()) >= needed(len(x), len(y)):
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                out = []
+
+    dealt = both.repartition(n, "home", "salt").sortWithinPartitions("home", "salt", F.col("b").asc_nulls_first())
+    return materialize(dealt.mapInArrow(verify, "a long, b long"), "jaccard-links")
 
 
 def linked_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -437,8 +448,8 @@ def join(docs: DataFrame) -> DataFrame:
     component is their own id. Repeated rows have equal sets and so one component. Rows with a null id take part; a
     component's id is the smallest non-null one. An empty table gives an empty table."""
     docs = docs.select("doc_id", "text")
-    classes, counts = first_pass(docs)
-    found = materialize(groups(prefix_rows(docs, counts)), "prefix-groups")
+    classes, sketch = first_pass(docs)
+    found = materialize(groups(prefix_rows(docs, sketch)), "prefix-groups")
     pairs = suffix_filtered(found.where("kind = 0").select("a", "b", "na", "nb"), classes)
     links = linked_pairs(docs, classes, pairs)
     comps = components(links)
