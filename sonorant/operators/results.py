@@ -20,11 +20,13 @@ def value(metric: str) -> Column:
 
 
 def latest(results: DataFrame, keys: Sequence[str] = ("run_id", "clip_id", "provider"), version: str = "updated_at") -> DataFrame:
-    """The newest version of each key. max_by folds versions on the map side, so a key with many versions moves one row for
-    each task, where a window would move and sort them all."""
-    rest = [c for c in results.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.col(version)).alias("r")
-    return results.groupBy(*keys).agg(best).select(*keys, "r.*")
+    """The newest version of each key; versions of a key differ. The newest numbers are found by a hash aggregate over narrow
+    rows, combined before the shuffle, and the rows that have them are kept by a semi-join, so no row is sorted for its key."""
+    newest = results.groupBy(*(F.col(k).alias(f"k_{k}") for k in keys)).agg(F.max(version).alias("k_version"))
+    same = F.col(version) == F.col("k_version")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"k_{k}"))
+    return results.join(newest, same, "left_semi")
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
@@ -75,15 +77,26 @@ def pooled(rows: DataFrame, by: Sequence[str] = ("provider", "metric")) -> DataF
     return out.select(*by, F.coalesce("mean", rate).alias("value"), "metric_errors", "n")
 
 
+#: Of the rows of a group, about this share lies between the two guesses at a percentile.
+NEAR_RANK = 1e-3
+
+
 def nearest_rank(values: DataFrame, by: Sequence[str], column: str, shares: Sequence[tuple[str, float]] = (("p50", 0.50), ("p95", 0.95), ("p99", 0.99))) -> DataFrame:
     """Nearest-rank percentiles: of n ascending values the one at round_half_even(share * n + 0.5), at least the first and at
-    most the last. Equal values are counted first, so a group moves one row for each distinct value and task, and the
-    running count is a window over distinct values."""
-    counted = values.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("c"))
-    up = Window.partitionBy(*by).orderBy(column)
-    run = counted.withColumns({"upto": F.sum("c").over(up), "n": F.sum("c").over(Window.partitionBy(*by))})
-    rank = lambda f: F.greatest(F.lit(1), F.least(F.col("n"), F.bround(F.lit(f) * F.col("n") + 0.5, 0).cast("long")))
-    return run.groupBy(*by).agg(*(F.min(F.when(F.col("upto") >= rank(f), F.col(column))).alias(name) for name, f in shares))
+    most the last. Two guesses that enclose a rank come from a sketch of the group, which is combined before the shuffle; values
+    below them are only counted, and a window ranks the distinct values between them. Where the sketch's error bound were
+    broken the result would be null, not wrong."""
+    name = [n for n, _ in shares]
+    some = values.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("v"))
+    guesses = [F.lit(min(max(f + d, 0.0), 1.0)) for _, f in shares for d in (-NEAR_RANK / 2, NEAR_RANK / 2)]
+    enclosed = some.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("v", F.array(*guesses), F.lit(round(8 / NEAR_RANK))).alias("q"))
+    sides = F.array(*(F.struct(F.lit(n).alias("share"), F.greatest(F.lit(1), F.least(F.col("n"), F.bround(F.lit(f) * F.col("n") + 0.5, 0).cast("long"))).alias("k"), F.get("q", F.lit(2 * i)).alias("lo"), F.get("q", F.lit(2 * i + 1)).alias("hi")) for i, (n, f) in enumerate(shares)))
+    # Group by group a handful of bounds; a value below a rank's bounds counts at the lower one, so that it moves as a count.
+    placed = some.join(enclosed.select(*by, sides.alias("s")), list(by)).select(*by, "v", F.explode("s").alias("s")).where("v <= s.hi")
+    counted = placed.groupBy(*by, "s.share", "s.k", F.when(F.col("v") >= F.col("s.lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by, "share").orderBy(F.col("v").asc_nulls_first()))
+    found = counted.withColumn("upto", upto).where("upto >= k").groupBy(*by).pivot("share", name).agg(F.min("v"))
+    return enclosed.select(*by).join(found, list(by), "left")
 
 
 def provider_counts(results: DataFrame) -> DataFrame:
@@ -151,13 +164,21 @@ def band(wer: Column) -> Column:
 
 def sampling_plan(rows: DataFrame, rate: float, least: int, seed: int) -> DataFrame:
     """rows (key, band) with `selected`: in each band the first max(least, round_half_even(n * rate)) by md5 of the seed and the
-    key, at most n; a rate of 1 or more selects all. The order depends on seed and key alone, not on partitions."""
+    key, at most n; a rate of 1 or more selects all. The order depends on seed and key alone, not on partitions.
+
+    A band is never one task's: a histogram of the order's first four digits, 65,536 counts for a band, gives how many rows come
+    before each range, and ranks are counted within a range."""
     if rate >= 1:
         return rows.withColumn("selected", F.lit(True))
-    order = F.md5(F.concat(F.lit(f"{seed}|"), F.col("key")))
-    n = F.count("*").over(Window.partitionBy("band"))
+    placed = rows.withColumn("s_order", F.md5(F.concat(F.lit(f"{seed}|"), F.col("key")))).withColumn("s_range", F.substring("s_order", 1, 4))
+    ranges = placed.groupBy("band", "s_range").agg(F.count("*").alias("s_count"))
+    before = Window.partitionBy("band").orderBy("s_range").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.sum("s_count").over(Window.partitionBy("band"))
     k = F.least(n, F.greatest(F.lit(least), F.bround(n * F.lit(rate), 0).cast("long")))
-    return rows.withColumn("selected", F.row_number().over(Window.partitionBy("band").orderBy(order, "key")) <= k)
+    left = ranges.select(F.col("band").alias("s_band"), F.col("s_range").alias("s_of"), (k - F.coalesce(F.sum("s_count").over(before), F.lit(0))).alias("s_left"))
+    ranked = placed.withColumn("s_rank", F.row_number().over(Window.partitionBy("band", "s_range").orderBy("s_order", "key")))
+    out = ranked.join(left, F.col("band").eqNullSafe(F.col("s_band")) & (F.col("s_range") == F.col("s_of")))
+    return out.select(*rows.columns, (F.col("s_rank") <= F.col("s_left")).alias("selected"))
 
 
 def band_counts(plan: DataFrame) -> DataFrame:

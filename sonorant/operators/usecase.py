@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonorant.dims import TIER_SHARES
+from sonorant.dims import METRICS, TIER_SHARES
+
+#: Metrics of which less is better.
+ERROR_METRICS = {m[0] for m in METRICS if m[4]}
 
 #: The accuracy metric that each critical-field type counts for. Other types count for entities.
 GROUPS = {"number": "number_accuracy", "amount": "number_accuracy", "date": "date_accuracy", "time": "date_accuracy"}
@@ -23,24 +26,34 @@ def category_accuracy(fields: DataFrame, by: str = "provider") -> DataFrame:
     return fields.groupBy(by, "category").agg(F.avg(F.col("preserved").cast("double")).alias("accuracy"), F.count_if(~F.col("preserved")).cast("long").alias("lost"), F.count("*").alias("fields"))
 
 
-def plan_weights(plan: DataFrame) -> DataFrame:
-    """plan (metric, tier) with weight: a tier's share over its members, critical_fields at 0, then scaled to sum to 1."""
+def plan_weights(plan: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """plan (metric, tier, any `by`) with weight: a tier's share over its members, critical_fields at 0, then scaled to sum to 1
+    over the plan. A plan has a handful of rows."""
+    by = by or []
     share = F.create_map(*(F.lit(x) for t in TIER_SHARES for x in t))
     counts = F.col("metric") != "critical_fields"
-    members = F.sum(F.when(counts, 1).otherwise(0)).over(Window.partitionBy("tier"))
+    members = F.sum(F.when(counts, 1).otherwise(0)).over(Window.partitionBy(*by, "tier"))
     raw = plan.withColumn("w", F.when(counts, share[F.col("tier")] / members).otherwise(0.0))
-    # A plan has a handful of rows.
-    return raw.withColumn("weight", F.col("w") / F.sum("w").over(Window.partitionBy())).drop("w")
+    return raw.withColumn("weight", F.col("w") / F.sum("w").over(Window.partitionBy(*by))).drop("w")
+
+
+def goodness(metric: str, value: Column) -> Column:
+    """A metric's value where more is better: error metrics count as what is left of 1, at least 0."""
+    return F.greatest(F.lit(0.0), 1 - value) if metric in ERROR_METRICS else value
 
 
 def scores(values: DataFrame, plan: DataFrame, by: list[str]) -> DataFrame:
-    """values (by, metric, value) -> score, the weighted mean over the plan's metrics of positive weight that have a value,
-    0 over nothing, and missing, those that have none."""
-    keys = values.select(*by).distinct()
-    asked = keys.crossJoin(F.broadcast(plan.where("weight > 0").select("metric", "weight"))).join(values, [*by, "metric"], "left")
-    have = F.col("value").isNotNull()
-    out = asked.groupBy(*by).agg(F.sum(F.when(have, F.col("value") * F.col("weight"))).alias("a"), F.sum(F.when(have, F.col("weight"))).alias("b"), F.array_sort(F.collect_list(F.when(~have, F.col("metric")))).alias("missing"))
-    return out.select(*by, F.coalesce(F.col("a") / F.col("b"), F.lit(0.0)).alias("score"), F.array_join("missing", ",").alias("missing"))
+    """values (by, metric, value), one row for each metric -> score, the weighted mean of the goodness of the plan's metrics of
+    positive weight that have a value, 0 over nothing, and missing, those that have none. The plan is a handful of rows, so it
+    becomes columns of one aggregation."""
+    asked = sorted((r.metric, r.weight) for r in plan.where("weight > 0").select("metric", "weight").collect())
+    held = values.groupBy(*by).agg(*(F.max(F.when(F.col("metric") == m, F.col("value"))).alias(f"m_{k}") for k, (m, _) in enumerate(asked)))
+    total, weight = F.lit(0.0), F.lit(0.0)
+    for k, (m, w) in enumerate(asked):
+        have = F.col(f"m_{k}").isNotNull()
+        total, weight = total + F.when(have, goodness(m, F.col(f"m_{k}")) * w).otherwise(0.0), weight + F.when(have, w).otherwise(0.0)
+    missing = F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(F.col(f"m_{k}").isNull(), F.lit(m)) for k, (m, _) in enumerate(asked))))
+    return held.select(*by, F.when(weight > 0, total / weight).otherwise(0.0).alias("score"), F.array_join(missing, ",").alias("missing"))
 
 
 def worst_clip(rows: DataFrame) -> DataFrame:

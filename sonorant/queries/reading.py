@@ -73,12 +73,20 @@ def plan(spark: SparkSession) -> DataFrame:
 
 
 @query(f"""WITH {FIELDS}, v AS (SELECT provider, l_orderkey AS clip_id, category AS metric, avg(preserved::INT) AS value FROM f GROUP BY ALL),
-keys AS (SELECT DISTINCT provider, clip_id FROM v), plan(metric, weight) AS (VALUES ('number_accuracy', 0.3::DOUBLE), ('date_accuracy', 0.3), ('semantic_match', 0.25), ('wer', 0.075), ('cer', 0.075))
+e AS (SELECT l_returnflag AS provider, l_orderkey AS clip_id, avg(l_linenumber % 4) / 2 AS wer, CASE WHEN count(*) > 1 THEN avg(l_linenumber % 3) / 2 END AS cer FROM lineitem GROUP BY ALL),
+m AS (SELECT * FROM v UNION ALL SELECT provider, clip_id, 'wer', wer FROM e UNION ALL SELECT provider, clip_id, 'cer', cer FROM e WHERE cer IS NOT NULL),
+g AS (SELECT provider, clip_id, metric, CASE WHEN metric IN ('wer', 'cer') THEN greatest(0, 1 - value) ELSE value END AS value FROM m),
+keys AS (SELECT DISTINCT provider, clip_id FROM m), plan(metric, weight) AS (VALUES ('number_accuracy', 0.3::DOUBLE), ('date_accuracy', 0.3), ('semantic_match', 0.25), ('wer', 0.075), ('cer', 0.075))
 SELECT provider, clip_id, round(coalesce(sum(value * weight) / sum(CASE WHEN value IS NOT NULL THEN weight END), 0), 6) AS score, coalesce(string_agg(plan.metric, ',' ORDER BY plan.metric) FILTER (value IS NULL), '') AS missing
-FROM keys CROSS JOIN plan LEFT JOIN v USING (provider, clip_id, metric) GROUP BY provider, clip_id""")
+FROM keys CROSS JOIN plan LEFT JOIN g USING (provider, clip_id, metric) GROUP BY provider, clip_id""")
 def usecase_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = fields(spark, sf_dir).groupBy("provider", "clip_id", F.col("category").alias("metric")).agg(F.avg(F.col("preserved").cast("double")).alias("value"))
-    return rounded(usecase.scores(v, plan(spark), ["provider", "clip_id"]))
+    """Accuracies of fields, and error rates beyond 1 among the others, so that clipping shows."""
+    keys = ("provider", "clip_id")
+    v = fields(spark, sf_dir).groupBy(*keys, F.col("category").alias("metric")).agg(F.avg(F.col("preserved").cast("double")).alias("value"))
+    e = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("provider"), F.col("l_orderkey").alias("clip_id"))
+    e = e.agg((F.avg(F.col("l_linenumber") % 4) / 2).alias("wer"), F.when(F.count("*") > 1, F.avg(F.col("l_linenumber") % 3) / 2).alias("cer"))
+    errors = e.unpivot(list(keys), ["wer", "cer"], "metric", "value").where("value IS NOT NULL")
+    return rounded(usecase.scores(v.unionByName(errors), plan(spark), list(keys)))
 
 
 @query(f"""WITH {FIELDS}, v AS (SELECT provider, l_orderkey AS clip_id, avg(preserved::INT) AS score FROM f GROUP BY ALL)
@@ -95,10 +103,18 @@ def comparison_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(usecase.comparison(v, ["A", "N", "R"]))
 
 
-@query("""SELECT metric, tier, weight FROM (VALUES ('number_accuracy', 'primary', 0.3::DOUBLE), ('date_accuracy', 'primary', 0.3), ('critical_fields', 'secondary', 0.0),
-  ('semantic_match', 'secondary', 0.25), ('wer', 'baseline', 0.075), ('cer', 'baseline', 0.075)) t(metric, tier, weight) WHERE (SELECT count(*) FROM lineitem) > 0""")
+@query(f"""WITH {FIELDS}, c AS (SELECT provider, category AS metric, avg(preserved::INT) AS kept FROM f GROUP BY ALL),
+t AS (SELECT provider, metric, CASE WHEN kept < 0.8 THEN 'primary' ELSE 'secondary' END AS tier FROM c
+  UNION ALL SELECT DISTINCT provider, m, 'baseline' FROM c CROSS JOIN (VALUES ('wer'), ('cer')) b(m)
+  UNION ALL SELECT DISTINCT provider, 'critical_fields', 'secondary' FROM c),
+w AS (SELECT *, CASE WHEN metric = 'critical_fields' THEN 0 ELSE CASE tier WHEN 'primary' THEN 0.6 WHEN 'secondary' THEN 0.25 ELSE 0.15 END::DOUBLE
+  / count(*) FILTER (metric <> 'critical_fields') OVER (PARTITION BY provider, tier) END AS raw FROM t)
+SELECT provider, metric, tier, round(raw / sum(raw) OVER (PARTITION BY provider), 6) AS weight FROM w""")
 def usecase_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(plan(spark).join(views.table(spark, sf_dir, "lineitem").limit(1).select(F.lit(1).alias("one"))).drop("one"))
+    """Each provider's own plan: its weak kinds of field are primary, its strong ones secondary."""
+    c = usecase.category_accuracy(fields(spark, sf_dir)).select("provider", F.col("category").alias("metric"), F.when(F.col("accuracy") < 0.8, "primary").otherwise("secondary").alias("tier"))
+    more = F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(t).alias("tier")) for m, t in (("wer", "baseline"), ("cer", "baseline"), ("critical_fields", "secondary"))))
+    return rounded(usecase.plan_weights(c.unionByName(c.select("provider").distinct().select("provider", F.explode(more).alias("x")).select("provider", "x.*")), ["provider"]))
 
 
 # --- emissions

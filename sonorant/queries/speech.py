@@ -10,16 +10,18 @@ from sonorant.operators import dataset, ladder, reading, wordops
 from sonorant.queries.registry import query, rounded
 from sonorant.sources import views
 
-PAIRS = """t AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(substr(coalesce(text, ''), 1, 200)), '[^a-z]+'), lambda x: x <> '')[1:12] AS r FROM documents),
-w AS (SELECT doc_id, lang, r, list_filter(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN (i + doc_id) % 7 = 0 THEN NULL WHEN (i + doc_id) % 5 = 0 THEN r[i] || 'x' ELSE r[i] END), lambda x: x IS NOT NULL) AS h FROM t)"""
-#: One row of the edit table for each reference token.
-DISTANCE = f"""WITH RECURSIVE {PAIRS}, dp(doc_id, i, row) AS (
-  SELECT doc_id, 0, range(0, len(h) + 1) FROM w
+PAIRS = """t AS (SELECT {key}, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x <> '') AS r FROM {table}),
+w AS (SELECT *, list_filter(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN (i + {n}) % 7 = 0 THEN NULL WHEN (i + {n}) % 5 = 0 THEN r[i] || 'x' ELSE r[i] END), lambda x: x IS NOT NULL) AS h FROM t)"""
+TURNS = PAIRS.format(key="conv_id, turn, role", table="conversations", n="turn")
+PAIRS = PAIRS.format(key="doc_id, lang", table="documents", n="doc_id")
+#: One row of the edit table for each reference token, over whole turns of conversations; texts of documents are too long for it.
+DISTANCE = f"""WITH RECURSIVE {TURNS}, dp(conv_id, turn, i, row) AS (
+  SELECT conv_id, turn, 0, range(0, len(h) + 1) FROM w
   UNION ALL
-  SELECT dp.doc_id, dp.i + 1, list_transform(range(0, len(w.h) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda k:
+  SELECT dp.conv_id, dp.turn, dp.i + 1, list_transform(range(0, len(w.h) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda k:
     (j - k) + CASE WHEN k = 0 THEN dp.i + 1 ELSE least(dp.row[k + 1] + 1, dp.row[k] + CASE WHEN w.r[dp.i + 1] = w.h[k] THEN 0 ELSE 1 END) END)))
-  FROM dp JOIN w USING (doc_id) WHERE dp.i < len(w.r)
-), d AS (SELECT w.doc_id, w.lang, dp.row[len(w.h) + 1]::BIGINT AS errors, len(w.r)::BIGINT AS length FROM dp JOIN w USING (doc_id) WHERE dp.i = len(w.r))"""
+  FROM dp JOIN w USING (conv_id, turn) WHERE dp.i < len(w.r)
+), d AS (SELECT w.*, dp.row[len(w.h) + 1]::BIGINT AS errors, len(w.r)::BIGINT AS length FROM dp JOIN w USING (conv_id, turn) WHERE dp.i = len(w.r))"""
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,23 +29,49 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "lang", text.edit_count(F.col("r"), F.col("h")).alias("errors"), F.size("r").cast("long").alias("length"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(substr(coalesce(text, ''), 1, 300), '[^ -~]', '', 'g')), '[^a-z0-9_'' ]', ' ', 'g'), ' +', ' ', 'g')) AS normal FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g')), '[^a-z0-9_'' ]', ' ', 'g'), ' +', ' ', 'g')) AS normal FROM documents")
 def tokenize_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     ascii_text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "")
     return views.table(spark, sf_dir, "documents").select("doc_id", text.normalize(ascii_text).alias("normal"))
 
 
-@query(DISTANCE + " SELECT doc_id, errors, length, round(CASE WHEN length > 0 THEN errors / length WHEN errors > 0 THEN 1 ELSE 0 END, 6) AS wer FROM d")
+@query()
 def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rates over whole texts, too long for SQL; tests hold them against the whole edit table."""
     return rounded(scored(spark, sf_dir).select("doc_id", "errors", "length", text.error_rate(F.col("errors"), F.col("length")).alias("wer")))
 
 
-@query(DISTANCE + " SELECT lang, sum(errors)::BIGINT AS errors, sum(length)::BIGINT AS length, round(sum(errors) / nullif(sum(length), 0), 6) AS wer FROM d GROUP BY lang")
+@query()
 def wer_pooled_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = scored(spark, sf_dir).groupBy("lang").agg(F.sum("errors").alias("errors"), F.sum("length").alias("length"))
     return rounded(by.withColumn("wer", F.when(F.col("length") > 0, F.col("errors") / F.col("length"))))
 
 
+def scored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = views.turns(spark, sf_dir)
+    chars = [F.array_join(c, "") for c in ("r", "h")]
+    return t.select("conv_id", "turn", "role", text.edit_count(F.col("r"), F.col("h")).alias("word_errors"), F.size("r").cast("long").alias("word_length"), F.levenshtein(*chars).cast("long").alias("char_errors"), F.length(chars[0]).cast("long").alias("char_length"))
+
+
+@query(DISTANCE + " SELECT conv_id, turn, errors, length, round(CASE WHEN length > 0 THEN errors / length WHEN errors > 0 THEN 1 ELSE 0 END, 6) AS wer FROM d")
+def turn_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored_turns(spark, sf_dir).select("conv_id", "turn", F.col("word_errors").alias("errors"), F.col("word_length").alias("length"))
+    return rounded(s.withColumn("wer", text.error_rate(F.col("errors"), F.col("length"))))
+
+
+@query(f"""WITH {TURNS}, c AS (SELECT conv_id, turn, array_to_string(r, '') AS a, array_to_string(h, '') AS b FROM w)
+SELECT conv_id, turn, levenshtein(a, b) AS errors, length(a) AS length, round(CASE WHEN length(a) > 0 THEN levenshtein(a, b) / length(a) WHEN length(b) > 0 THEN 1 ELSE 0 END, 6) AS cer FROM c""")
+def turn_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored_turns(spark, sf_dir).select("conv_id", "turn", F.col("char_errors").alias("errors"), F.col("char_length").alias("length"))
+    return rounded(s.withColumn("cer", text.error_rate(F.col("errors"), F.col("length"))))
+
+
+@query(DISTANCE + """, e AS (SELECT *, levenshtein(array_to_string(r, ''), array_to_string(h, '')) AS ce, length(array_to_string(r, '')) AS cl FROM d)
+SELECT role, count(*) AS samples, round(sum(errors) / greatest(sum(length), 1), 6) AS wer, round(sum(ce) / greatest(sum(cl), 1), 6) AS cer, round(avg((errors = 0)::INT), 6) AS exact FROM e GROUP BY role""")
+def turn_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reading.level_benchmark(scored_turns(spark, sf_dir).withColumn("exact", F.col("word_errors") == 0), "role"))
+
+
 @query()
 def edit_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit counts by kind and segments; tests hold their sums against the distance."""
@@ -53,8 +81,9 @@ def edit_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("doc_id", "alignment.sub", "alignment.del", "alignment.ins", F.array_join(shown, " | ").alias("differing"))
 
 
-@query(DISTANCE + ", e AS (SELECT d.*, r, h FROM d JOIN w USING (doc_id)) SELECT lang, count(*) AS samples, round(sum(errors) / greatest(sum(length), 1), 6) AS wer, round(avg((errors = 0)::INT), 6) AS exact FROM e GROUP BY lang")
+@query()
 def level_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled rates over whole texts; `turn_benchmark` is the same with character rates and with SQL."""
     s = scored(spark, sf_dir).select("lang", F.col("errors").alias("word_errors"), F.col("length").alias("word_length"), F.lit(0).alias("char_errors"), F.lit(0).alias("char_length"), (F.col("errors") == 0).alias("exact"))
     return rounded(reading.level_benchmark(s, "lang").drop("cer"))
 

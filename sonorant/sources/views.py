@@ -38,20 +38,27 @@ def latest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(results(spark, sf_dir))
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, r and h: reference and heard tokens, all of a text and a damaged copy of them."""
+def damaged(texts: DataFrame, n: str) -> DataFrame:
+    """texts (text, n, others) with r and h in place of text: all tokens of the text, and a damaged copy of them."""
     tokens = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda x: x != "")
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", tokens.alias("r"))
-    damaged = F.transform("r", lambda x, i: F.when((i + 1 + F.col("doc_id")) % 7 == 0, None).when((i + 1 + F.col("doc_id")) % 5 == 0, F.concat(x, F.lit("x"))).otherwise(x))
-    return d.withColumn("h", F.filter(damaged, lambda x: x.isNotNull()))
+    heard = F.transform("r", lambda x, i: F.when((i + 1 + F.col(n)) % 7 == 0, None).when((i + 1 + F.col(n)) % 5 == 0, F.concat(x, F.lit("x"))).otherwise(x))
+    return texts.withColumn("r", tokens).withColumn("h", F.filter(heard, lambda x: x.isNotNull())).drop("text")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, r and h of whole documents."""
+    return damaged(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, role, r and h of whole turns of conversations."""
+    return damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "turn")
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """utterance, seq, arrival, audio_end, is_final, text: a transcription stream from events."""
-    from pyspark.sql import Window
-
     e = table(spark, sf_dir, "events").withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
-    arrival = (F.col("micros") - F.min("micros").over(Window.partitionBy("user_id"))) / 1e6
+    begun = e.groupBy("user_id").agg(F.min("micros").alias("begun"))
     end = F.col("arrival") - F.col("value") / 100 + F.when(F.col("event_id") % 10 == 0, 10.0).otherwise(0.0)
-    out = e.withColumn("arrival", arrival).withColumn("audio_end", end)
+    out = e.join(begun, "user_id").withColumn("arrival", (F.col("micros") - F.col("begun")) / 1e6).withColumn("audio_end", end)
     return out.select(F.col("user_id").alias("utterance"), F.col("event_id").alias("seq"), "arrival", "audio_end", F.col("event_type").isin("purchase", "signup").alias("is_final"), F.concat(F.lit("w"), (F.col("event_id") % 50).cast("string")).alias("text"))
