@@ -18,9 +18,10 @@ PAIRS = PAIRS.format(key="doc_id, lang", table="documents", n="doc_id")
 DISTANCE = f"""WITH RECURSIVE {TURNS}, dp(conv_id, turn, i, row) AS (
   SELECT conv_id, turn, 0, range(0, len(h) + 1) FROM w
   UNION ALL
-  SELECT dp.conv_id, dp.turn, dp.i + 1, list_transform(range(0, len(w.h) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda k:
-    (j - k) + CASE WHEN k = 0 THEN dp.i + 1 ELSE least(dp.row[k + 1] + 1, dp.row[k] + CASE WHEN w.r[dp.i + 1] = w.h[k] THEN 0 ELSE 1 END) END)))
-  FROM dp JOIN w USING (conv_id, turn) WHERE dp.i < len(w.r)
+  SELECT conv_id, turn, i, list_transform(range(0, len(x)), lambda j: j + list_min(x[1 : j + 1])) FROM (
+    SELECT dp.conv_id, dp.turn, dp.i + 1 AS i, list_transform(range(0, len(w.h) + 1), lambda k:
+      CASE WHEN k = 0 THEN dp.i + 1 ELSE least(dp.row[k + 1] + 1, dp.row[k] + CASE WHEN w.r[dp.i + 1] = w.h[k] THEN 0 ELSE 1 END) END - k) AS x
+    FROM dp JOIN w USING (conv_id, turn) WHERE dp.i < len(w.r))
 ), d AS (SELECT w.*, dp.row[len(w.h) + 1]::BIGINT AS errors, len(w.r)::BIGINT AS length FROM dp JOIN w USING (conv_id, turn) WHERE dp.i = len(w.r))"""
 
 

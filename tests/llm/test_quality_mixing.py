@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sonorant.llm import mixing, quality
 
@@ -44,8 +45,71 @@ def test_splitting_tree_is_exact():
     assert (out.sum(0) == quotas).all() and (out >= 0).all() and np.ptp(out.sum(1)) <= 1
 
 
+def test_units_keep_the_quotas():
+    quotas = np.array([4 * 10**9 + 7, 3, 10**12, 0])
+    cuts = mixing.cuts_of(quotas, 8, np.random.default_rng(1))
+    assert (cuts[-1] == quotas).all() and (np.diff(cuts, axis=0) >= 0).all()
+    share = np.diff(np.vstack([np.zeros(4, np.int64), cuts]), axis=0).sum(1)
+    assert np.ptp(share) < 1e-4 * share.mean()
+    assert mixing.cuts_of(np.array([9, 4]), 2, np.random.default_rng(1))[-1].tolist() == [9, 4]
+
+
+def test_permutations_of_large_sources_stay_within_a_long():
+    row = mixing.plan([mixing.Source("a", 10**13, 10**9)], 256, 4, 1, 3)[0]
+    n, a, c = row[3], row[6], row[7]
+    assert n > 3.04e9 and all(x * (n - 1) + y < 2**63 for x, y in zip(a, c, strict=True))
+
+
+def by_words(docs, block, shards, seed):
+    """The mix word by word: (taken of each row, words of each shard and row)."""
+    sources = sorted({d["source"] for d in docs}, key=lambda s: (s is None, s or ""))
+    own = [[d for d in docs if d["source"] == s] for s in sources]
+    plan = mixing.plan([mixing.Source(s, sum(d["size"] for d in x), len(x)) for s, x in zip(sources, own, strict=True)], block, shards, seed, 3)
+    taken, dealt = Counter(), Counter()
+    for x, (_, words, target, n, full, part, a, c, cuts) in zip(own, plan, strict=True):
+        buckets = len(x) // mixing.BUCKET + 1
+        stream = [d["k"] for d in sorted(x, key=lambda d: (d["key"] % buckets, d["key"], d["doc_id"] is not None, d["doc_id"] or 0, d["size"])) for _ in range(d["size"])]
+        assert len(stream) == words and abs(full * words + part - target) <= 0.5
+        for epoch in range(full + 1):
+            left = words if epoch < full else part
+            for rank, b in sorted(((a[epoch] * b + c[epoch]) % n, b) for b in range(n)):
+                got = stream[b * block : (b + 1) * block][:left]
+                left -= len(got)
+                taken.update(got)
+                dealt.update((sum(cut <= epoch * n + rank for cut in cuts), k) for k in got)
+    return taken, dealt
+
+
+def test_query_against_brute_force(spark, edge, tmp_path):
+    more = [(100 + k, " ".join(["w"] * (k * 37 % 211)), f"src{k * k % 5}") for k in range(300)]
+    docs = edge.select("doc_id", "text", "source").union(spark.createDataFrame(more, "doc_id long, text string, source string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    keyed = docs.select("doc_id", "source", F.xxhash64("doc_id", F.lit(mixing.SEED)).alias("key"), "text").collect()
+    rows = [{"k": k, "doc_id": r.doc_id, "source": r.source, "key": r.key, "size": plain(r.text)[0]} for k, r in enumerate(keyed)]
+    taken, dealt = by_words(rows, mixing.BLOCK_WORDS, mixing.SHARDS, mixing.SEED)
+    shards = {}
+    for shard, k in dealt:
+        shards.setdefault(k, set()).add(shard)
+    shown = lambda x: sorted(x, key=str)
+    want = shown((r["doc_id"], r["size"], taken[r["k"]], ",".join(map(str, sorted(shards.get(r["k"], ()))))) for r in rows)
+    out = mixing.op7_mixing(spark, str(tmp_path)).collect()
+    assert shown((r.doc_id, r["size"], r.taken, r.shards or "") for r in out) == want
+
+
+def test_shards_are_whole_and_shuffled(spark, tmp_path):
+    docs = spark.createDataFrame([(k, " ".join(["w"] * 40), f"s{k % 3}") for k in range(2000)], "doc_id long, text string, source string")
+    mix = mixing.mix(mixing.with_sizes(docs), block=16, shards=4)
+    out = mixing.write_shards(mix, f"file://{tmp_path}/shards")
+    want = sorted(map(str, mix.where("row IS NOT NULL").select("row", F.explode("draws").alias("d")).select("row", "d.*").select(*sorted(out.columns)).collect()))
+    assert sorted(map(str, out.select(*sorted(out.columns)).collect())) == want
+    held = {r.shard: r.n for r in out.groupBy("shard").agg(F.count_distinct("row.k", "epoch", "block").alias("n")).collect()}
+    assert len(held) == 4 and max(held.values()) - min(held.values()) <= 3
+    sources = [r.k for r in out.where("shard = 0").select("row.k").limit(300).collect()]
+    assert 60 < sum(a != b for a, b in zip(sources, sources[1:], strict=False))  # not source by source
+
+
 def test_mix_takes_its_targets_and_bounds(spark, edge, empty):
-    out = mixing.mix(edge, block=16, shards=5).collect()
+    out = mixing.mix(mixing.with_sizes(edge), block=16, shards=5).collect()
     assert len(out) == edge.count()
     by = {}
     for r in out:
@@ -56,7 +120,9 @@ def test_mix_takes_its_targets_and_bounds(spark, edge, empty):
         t[3] += r["size"]
     for target, got, size, own in by.values():
         assert abs(target - got) <= 1 and size == own
-    again = mixing.mix(edge.repartition(2), block=16, shards=5)
+    again = mixing.mix(mixing.with_sizes(edge.repartition(2)), block=16, shards=5)
     assert sorted(map(str, again.collect())) == sorted(map(str, out))
-    assert mixing.mix(empty).count() == 0
+    assert mixing.mix(mixing.with_sizes(empty)).count() == 0
     assert mixing.mixed(edge).columns == edge.columns
+    clash = edge.withColumns({c: F.lit(1) for c in ("p_k", "p_n", "b_n", "s_start", "p_at", "row", "draws", "whole")})
+    assert mixing.mixed(clash).columns == clash.columns and mixing.mix(mixing.with_sizes(clash)).count() == edge.count()
