@@ -37,7 +37,9 @@ RULES = (
     Rule("forge", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
 )
 
-LEDGER = "blob binary, scanned array<string>, findings array<struct<start:int,rank:int,stop:int,kind:string>>"
+#: A finding carries the tag of the rule version that made it, so a rule's older findings never count for a newer one.
+LEDGER = "blob binary, scanned array<string>, findings array<struct<start:int,rank:int,stop:int,kind:string,tag:string>>"
+NO_FINDING = "filter(array(named_struct('start', 0, 'rank', 0, 'stop', 0, 'kind', '', 'tag', '')), x -> false)"
 
 
 def let(x: Column, body) -> Column:
@@ -46,19 +48,19 @@ def let(x: Column, body) -> Column:
 
 
 def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """array<struct<start, rank, stop, kind>> of a rule's matches in code points, stop exclusive. Matches and the pieces
+    """array<struct<start, rank, stop, kind, tag>> of a rule's matches in code points, stop exclusive. Matches and the pieces
     between them alternate, so running sums of their lengths give the places."""
 
     def places(found: Column) -> Column:
         pieces = F.split(text, rule.pattern, -1)
         tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
         parts = F.arrays_zip(found.alias("m"), tested.alias("g"), F.transform(F.slice(pieces, 1, F.size(found)), F.length).alias("gap"))
-        row = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (at + x["gap"] + F.length(x["m"])).alias("stop"), F.lit(rule.kind).alias("kind"), F.length(x["g"]).alias("n"))
-        start = F.struct(F.lit(0).alias("at"), F.expr("filter(array(named_struct('start', 0, 'rank', 0, 'stop', 0, 'kind', '', 'n', 0)), x -> false)").alias("out"))
+        row = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (at + x["gap"] + F.length(x["m"])).alias("stop"), F.lit(rule.kind).alias("kind"), F.lit(rule.tag).alias("tag"), F.length(x["g"]).alias("n"))
+        start = F.struct(F.lit(0).alias("at"), F.expr("filter(array(named_struct('start', 0, 'rank', 0, 'stop', 0, 'kind', '', 'tag', '', 'n', 0)), x -> false)").alias("out"))
         all_ = F.aggregate(parts, start, lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(row(a["at"], x))).alias("out")), lambda a: a["out"])
-        return F.transform(F.filter(all_, lambda x: x["n"] >= rule.least), lambda x: F.struct(x["start"], x["rank"], x["stop"], x["kind"]))
+        return F.transform(F.filter(all_, lambda x: x["n"] >= rule.least), lambda x: F.struct(x["start"], x["rank"], x["stop"], x["kind"], x["tag"]))
 
-    none = F.expr("filter(array(named_struct('start', 0, 'rank', 0, 'stop', 0, 'kind', '')), x -> false)")
+    none = F.expr(NO_FINDING)
     return let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, none).otherwise(places(m)))
 
 
@@ -84,13 +86,16 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataF
     todo = held.join(done, "blob", "left").select("blob", F.col("doc_id").alias("one"), F.array_except(F.array(*map(F.lit, tags)), F.coalesce("done", F.array().cast("array<string>"))).alias("todo")).where(F.size("todo") > 0)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     unseen = texts.join(todo.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("one"))).where(F.col("blob") == F.unhex(F.sha2("text", 256)))
-    none = F.expr("filter(array(named_struct('start', 0, 'rank', 0, 'stop', 0, 'kind', '')), x -> false)")
+    none = F.expr(NO_FINDING)
     found = F.flatten(F.array(*(F.when(F.array_contains("todo", r.tag), spans(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules))))
     # A path that repeats id and text brings its blob again; the ledger takes it once.
     unseen.select("blob", F.col("todo").alias("scanned"), found.alias("findings")).dropDuplicates(["blob"]).write.mode("append").option("compression", "zstd").parquet(ledger)
-    ours = spark.read.schema(LEDGER).parquet(ledger).select("blob", F.filter("findings", lambda x: x["kind"].isin([r.kind for r in rules])).alias("findings")).where(F.size("findings") > 0)
-    ours = ours.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
-    return paths.join(ours, "blob", "left").select("doc_id", "blob", F.coalesce("findings", none).alias("findings"))
+    # Findings of these rule versions only; their place among the rules is this run's, whatever it was when they were made.
+    rank = (F.array_position(F.array(*map(F.lit, tags)), F.col("x.tag")) - 1).cast("int")
+    own = spark.read.schema(LEDGER).parquet(ledger).select("blob", F.explode("findings").alias("x")).where(F.col("x.tag").isin(tags)).select("blob", F.struct("x.start", rank.alias("rank"), "x.stop", "x.kind").alias("x"))
+    ours = own.groupBy("blob").agg(F.sort_array(F.collect_set("x")).alias("findings"))
+    empty = F.expr("filter(array(named_struct('start', 0, 'rank', 0, 'stop', 0, 'kind', '')), x -> false)")
+    return paths.join(ours, "blob", "left").select("doc_id", "blob", F.coalesce("findings", empty).alias("findings"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,22 @@ def test_secret_spans_and_ledger(spark, edge, empty):
     assert secrets.scan(empty, new_folder(spark, "ledger")).count() == 0
 
 
+def test_a_rule_changed_leaves_no_old_findings_and_no_text_is_scanned_twice(spark):
+    docs = spark.createDataFrame([(k, f"x {'ab' * (12 + 8 * k)} token=abcdefgh{k % 4}") for k in range(12)], "doc_id long, text string")
+    shown = lambda df: sorted((r.doc_id, [(x.kind, x.start, x.stop) for x in r.findings]) for r in df.collect())
+    ledger = new_folder(spark, "ledger")
+    assert any(x[0] == "hex" and x[2] - x[1] < 64 for _, f in shown(secrets.scan(docs, ledger)) for x in f)
+    newer = (secrets.RULES[2]._replace(version=2, pattern="[0-9a-f]{64,}", least=64), *secrets.RULES[:2], *secrets.RULES[3:])
+    both = shown(secrets.scan(docs, ledger, newer))
+    assert all(x[0] != "hex" or x[2] - x[1] >= 64 for _, f in both for x in f)
+    assert both == shown(secrets.scan(docs, new_folder(spark, "ledger"), newer))
+    # Half of the paths first, then all: the same findings as at once, and a row for each blob.
+    halves = new_folder(spark, "ledger")
+    secrets.scan(docs.where("doc_id % 2 = 0"), halves, newer).count()
+    assert shown(secrets.scan(docs, halves, newer)) == both and spark.read.parquet(halves).count() == 12
+    assert shown(secrets.scan(docs, halves)) == shown(secrets.scan(docs, ledger))
+
+
 def plain_license(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))
     places = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
