@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from sonorant.llm.common import n_partitions, new_folder, read_table
 
 OLD_SHARDS, NEW_SHARDS, BLOCKS = 32, 40, 256
+#: What stands for a null old shard.
+NONE = -1
 
 
 def least_moves(supply: list[int], demand: list[int], cost=lambda i, j: int(i != j)) -> dict[tuple[int, int], int]:
@@ -82,7 +84,13 @@ def deal(blocks: dict[tuple[int, int], int], flow: dict[tuple[int, int], int], s
         for k, (size, _) in enumerate(held[a][:: max(1, len(held[a]) // 64)]):  # or an exchange
             at = bisect_left(held[b], (size - gap // 2,))
             moves += [(abs(gap - 2 * (size - held[b][x][0])), k * max(1, len(held[a]) // 64), x) for x in (at - 1, at) if 0 <= x < len(held[b])]
-        best = min(moves, key=lambda x: (x[0], x[1]), default=None)
+        # Of the moves that at least halve the gap, one that brings most bytes home or takes fewest away; else what closes it most.
+        def added(move, a=a, b=b):
+            out, back = held[a][move[1]], held[b][move[2]] if move[2] is not None else None
+            cost = out[0] * ((out[1][0] != b) - (out[1][0] != a))
+            return cost + (back[0] * ((back[1][0] != a) - (back[1][0] != b)) if back else 0)
+
+        best = min(moves, key=lambda x: (x[0] > gap // 2, added(x) if x[0] <= gap // 2 else x[0], x[0], x[1]), default=None)
         if best is None or best[0] >= gap:
             break
         out = held[a].pop(best[1])
@@ -97,21 +105,29 @@ def deal(blocks: dict[tuple[int, int], int], flow: dict[tuple[int, int], int], s
 
 
 def reshard(docs: DataFrame, folder: str, new_shards: int = NEW_SHARDS, old_shards: int = OLD_SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """Write docs (doc_id, text, any others) under `folder` as shard=N folders, sizes near equal, and return them as read
-    from there, with size (UTF-8 bytes and 16), old_shard, shard and slot (gapless from 0 in the shard).
-
-    An old shard is the column old_shard if there is one, else a hash of doc_id. Only shards that gain or lose a block are
-    written; where all of an old shard stays, its files stand (with the default layout each shard changes). Null texts have
-    16 bytes; rows with equal ids are documents of their own and fall into one block; an empty table gives an empty folder
-    table. Other input columns with the names of added ones are replaced. The driver holds the sizes of
-    old_shards * blocks blocks, whatever the data."""
+    """docs (doc_id, text, any others) in shards of near equal sizes: all rows, with size (UTF-8 bytes and 16), old_shard, shard
+    and slot (gapless from 0 in the shard).
+
+    An old shard is the column old_shard if there is one, else a hash of doc_id. Shards that gain or lose a block are written
+    under `folder` as shard=N folders and read back; the rows of shards that keep all their blocks and gain none are returned as
+    they came, from where they stand (with the default layout each shard changes). A null old_shard is a row that has no shard
+    yet: it moves wherever it is needed. Null texts have 16 bytes; rows with equal ids are documents of their own and fall into
+    one block; an empty table gives an empty table. Input columns with the names of added ones are replaced, others may have any
+    name. The driver holds the sizes of old_shards * blocks blocks, whatever the data."""
     spark = docs.sparkSession
-    old = F.col("old_shard").cast("int") if "old_shard" in docs.columns else F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)).cast("int")
-    given = docs.drop("size", "block", "shard", "slot", "sub")
-    marked = given.withColumns({"old_shard": old, "block": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(blocks)).cast("int"), "size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16})
-    found = marked.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("docs")).collect()
-    sizes = {(r.old_shard, r.block): r.bytes for r in found}
-    count = {(r.old_shard, r.block): r.docs for r in found}
+    given = docs.drop("size", "shard", "slot")
+    known = "old_shard" in given.columns
+    old = F.col("old_shard").cast("int") if known else F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)).cast("int")
+    rest = [c for c in given.columns if c != "old_shard"]
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("size")
+    marked = given.select(F.struct(*rest).alias("r_doc"), old.alias("old_shard"), F.coalesce(old, F.lit(NONE)).alias("r_old"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(blocks)).cast("int").alias("r_block"), size)
+    found = marked.groupBy("r_old", "r_block").agg(F.sum("size").alias("bytes"), F.count("*").alias("docs")).collect()
+    # Old shards by number, those without one last; a new shard of an old one's number keeps what it can.
+    numbers = sorted({r.r_old for r in found if r.r_old != NONE})
+    place = {n: n for n in range(max([n + 1 for n in numbers] + [0]))}
+    place[NONE] = max(len(place), new_shards)
+    sizes = {(place[r.r_old], r.r_block): r.bytes for r in found}
+    count = {(place[r.r_old], r.r_block): r.docs for r in found}
     supply = [0] * (max([i for i, _ in sizes], default=0) + 1)
     for (i, _), b in sizes.items():
         supply[i] += b
@@ -119,18 +135,25 @@ def reshard(docs: DataFrame, folder: str, new_shards: int = NEW_SHARDS, old_shar
     demand = [total * (j + 1) // new_shards - total * j // new_shards for j in range(new_shards)]
     to = deal(sizes, least_moves(supply, demand), new_shards)
     first: dict[int, int] = defaultdict(int)
+    back = {v: k for k, v in place.items()}
     rows = []
     for key in sorted(to):
-        rows.append((*key, to[key], first[to[key]]))
+        rows.append((back[key[0]], key[1], to[key], first[to[key]]))
         first[to[key]] += count[key]
-    changed = {j for (i, _), j in to.items() if i != j} | {i for (i, _), j in to.items() if i != j}
-    places = spark.createDataFrame([r for r in rows if r[2] in changed or "old_shard" not in docs.columns], "old_shard int, block int, shard int, first long")
+    changed = {x for (i, _), j in to.items() if i != j for x in (i, j)} if known else set(range(new_shards))
+    # old_shards * blocks rows, as many as the driver has just held.
+    places = spark.createDataFrame([(*r, r[2] in changed) for r in rows], "r_old int, r_block int, shard int, r_first long, r_new boolean")
     parts = -(-n_partitions(spark) // new_shards) * 2
-    placed = marked.join(F.broadcast(places), ["old_shard", "block"]).withColumn("sub", F.pmod(F.xxhash64("old_shard", "block"), F.lit(parts)))
-    own = Window.partitionBy("shard", "sub", "old_shard", "block").orderBy("doc_id", "size")
-    placed = placed.repartition(parts * new_shards, "shard", "sub").withColumn("slot", F.col("first") + F.row_number().over(own) - 1).drop("first", "sub", "block")
-    placed.write.partitionBy("shard").option("compression", "zstd").parquet(folder)
-    return spark.read.schema(placed.schema).parquet(folder)
+    placed = marked.join(F.broadcast(places), ["r_old", "r_block"]).withColumn("r_sub", F.pmod(F.xxhash64("r_old", "r_block"), F.lit(parts)))
+    own = Window.partitionBy("shard", "r_sub", "r_old", "r_block").orderBy("r_doc.doc_id", "size")
+    slot = F.col("r_first") + F.row_number().over(own) - 1
+    columns = [*(F.col(f"r_doc.`{c}`") for c in rest), "size", "old_shard", "shard", slot.alias("slot")]
+    out = placed.where("r_new").repartition(parts * new_shards, "shard", "r_sub").select(*columns)
+    out.write.partitionBy("shard").option("compression", "zstd").parquet(folder)
+    written = spark.read.schema(out.schema).parquet(folder)
+    if changed >= set(range(new_shards)):
+        return written
+    return written.unionByName(placed.where("NOT r_new").select(*columns))
 
 
 def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:

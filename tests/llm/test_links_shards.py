@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -157,8 +159,66 @@ def test_reshard(spark, edge, empty):
     assert resharding.reshard(empty, new_folder(spark, "shards")).count() == 0
 
 
-def test_unchanged_shards_are_not_written(spark):
+def layout(out, docs):
+    """Every row once, slots gapless, sizes near equal; the bytes that moved."""
+    got = out.collect()
+    assert sorted(map(str, ((r.doc_id, r.text, r.old_shard) for r in got))) == sorted(map(str, ((r.doc_id, r.text, r.old_shard) for r in docs.collect())))
+    slots, held = {}, {}
+    for r in got:
+        assert r["size"] == len((r.text or "").encode()) + 16
+        slots.setdefault(r.shard, []).append(r.slot)
+        held[r.shard] = held.get(r.shard, 0) + r["size"]
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    return held, sum(r["size"] for r in got if r.shard != r.old_shard)
+
+
+def test_unchanged_shards_are_kept_and_not_written(spark, tmp_path):
     rows = [(k, "x" * 84, k % 4) for k in range(4000)]
     rows += [(k, "x" * 84, 4) for k in range(4000, 4200)] + [(k, "x" * 84, 5) for k in range(4200, 6000)]
-    out = resharding.reshard(spark.createDataFrame(rows, "doc_id long, text string, old_shard int"), new_folder(spark, "shards"), 6, blocks=64)
-    assert {r.shard for r in out.select("shard").distinct().collect()} == {4, 5}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old_shard int")
+    out = resharding.reshard(docs, f"file://{tmp_path}/out", 6, blocks=64)
+    held, _ = layout(out, docs)
+    assert out.count() == 6000 and len(held) == 6 and max(held.values()) - min(held.values()) < 20_000
+    assert {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {"shard=4", "shard=5"}
+
+
+def test_reshard_nulls_and_clashing_names(spark, edge, tmp_path):
+    clash = edge.withColumns({c: F.lit(1) for c in ("first", "sub", "block", "slot", "r_old", "r_first", "old_shard", "bytes")}).withColumn("old_shard", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("int") % 3))
+    out = resharding.reshard(clash, f"file://{tmp_path}/out", 4, blocks=8)
+    held, _ = layout(out, clash)
+    assert {"first", "sub", "block", "r_old", "bytes"} <= set(out.columns) and set(held) <= {0, 1, 2, 3}
+
+
+def test_moved_bytes_are_near_the_flow():
+    rng = np.random.default_rng(8)
+    for spread in (0.0, 1.0):
+        blocks = {(i, k): int(1e6 * rng.lognormal(0, spread)) + 1 for i in range(32) for k in range(256)}
+        supply = [sum(b for (i, _), b in blocks.items() if i == n) for n in range(32)]
+        total = sum(supply)
+        demand = [total * (j + 1) // 40 - total * j // 40 for j in range(40)]
+        flow = resharding.least_moves(supply, demand)
+        to = resharding.deal(blocks, flow, 40)
+        moved, least = sum(blocks[x] for x, j in to.items() if x[0] != j), sum(v for (i, j), v in flow.items() if i != j)
+        assert moved <= 1.02 * least
+        held = [sum(blocks[x] for x, j in to.items() if j == n) for n in range(40)]
+        assert max(held) - min(held) < 0.02 * total / 40
+
+
+def test_query_against_plain_layout(spark, edge, tmp_path):
+    edge.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = edge.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(resharding.OLD_SHARDS)).alias("i"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(resharding.BLOCKS)).alias("b")).collect()
+    size = lambda r: len((r.text or "").encode()) + 16
+    blocks, members = {}, {}
+    for r in docs:
+        blocks[r.i, r.b] = blocks.get((r.i, r.b), 0) + size(r)
+        members.setdefault((r.i, r.b), []).append(r)
+    supply = [sum(v for (i, _), v in blocks.items() if i == n) for n in range(max(i for i, _ in blocks) + 1)]
+    total = sum(supply)
+    to = resharding.deal(blocks, resharding.least_moves(supply, [total * (j + 1) // 40 - total * j // 40 for j in range(40)]), 40)
+    want, used = [], {}
+    for key in sorted(to):
+        for r in sorted(members[key], key=lambda r: (r.doc_id is not None, r.doc_id or 0, size(r))):
+            want.append((r.doc_id, size(r), zlib.crc32((r.text or "").encode()), "bytes", to[key], used.setdefault(to[key], 0), None))
+            used[to[key]] += 1
+    names = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    assert sorted(map(str, (tuple(r[n] for n in names) for r in resharding.op9_resharding(spark, str(tmp_path)).collect()))) == sorted(map(str, want))
