@@ -6,23 +6,28 @@ so a window without either has nothing to give and is not decoded."""
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonorant.llm import tagger
-from sonorant.llm.common import read_table
+from sonorant.llm.common import read_table, shared_dir
 from sonorant.llm.tagger import KINDS, Tagger
 
 WINDOW, BATCH = 128, 256
 #: Labelled examples for training, their characters, and training steps.
 EXAMPLES, LENGTH, STEPS = 6000, 64, 500
+#: To be raised when `labelled` or the training changes.
+VERSION = 1
 
 ANCHOR = re.compile(r"[0-9@]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -175,6 +180,25 @@ def trained(examples: int = EXAMPLES, steps: int = STEPS) -> Tagger:
     return tagger.train(np.stack([tagger.encode(t) for t in texts]), np.stack([tags_of(s, LENGTH) for s in spans]), steps)
 
 
+def stored(spark: SparkSession) -> Tagger:
+    """The trained tagger. Its weights are kept in the shared folder under a hash of what shapes them, so sessions that share
+    the folder train once."""
+    setup = repr((VERSION, EXAMPLES, LENGTH, STEPS, tagger.HIDDEN, tagger.EMBED, tagger.SEED, KINDS))
+    path = f"{shared_dir(spark)}/tagger-{hashlib.sha256(setup.encode()).hexdigest()[:16]}"
+    try:
+        rows = spark.read.parquet(path).collect()
+    except AnalysisException as e:  # none yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = []
+    if rows:
+        return Tagger({r.name: np.frombuffer(bytes(r.cells), np.float32).reshape(r["shape"]) for r in rows})
+    model = trained()
+    kept = [(k, list(v.shape), v.astype(np.float32).tobytes()) for k, v in model.w.items()]
+    spark.createDataFrame(kept, "name string, shape array<int>, cells binary").coalesce(1).write.mode("ignore").parquet(path)
+    return model
+
+
 # --- windows
 
 
@@ -195,24 +219,26 @@ def window_spans(tags: np.ndarray, margin: np.ndarray, first: int, last: int) ->
 
 
 def reconcile(found: dict[Span, float]) -> list[Span]:
-    """The spans without overlap that weigh most together."""
-    spans = sorted((s for s in found if found[s] > 0), key=lambda s: s[2])
-    best: list[tuple[float, list[Span] | None, int]] = [(0.0, None, 0)]  # weight, chosen last, before it
-    ends = [s[2] for s in spans]
-    for k, s in enumerate(spans):
-        j = int(np.searchsorted(ends[:k], s[0], "right"))
-        best.append(max(best[k], (best[j][0] + found[s], s, j), key=lambda x: x[0]) if best[j][0] + found[s] > best[k][0] else (best[k][0], None, k))
+    """The spans without overlap that weigh most together: one pass in the order of their ends, with a bisection for each."""
+    spans = sorted((s for s in found if found[s] > 0), key=lambda s: (s[2], s))
+    ends: list[int] = []
+    best: list[tuple[float, bool, int]] = [(0.0, False, 0)]  # weight; whether the last span is chosen; how many come before it
+    for s in spans:
+        j = bisect_right(ends, s[0])
+        with_it = best[j][0] + found[s]
+        best.append((with_it, True, j) if with_it > best[-1][0] else (best[-1][0], False, len(ends)))
+        ends.append(s[2])
     out, k = [], len(spans)
     while k:
-        _, s, before = best[k]
-        if s is not None:
-            out.append(s)
-        k = before if s is not None else k - 1
+        _, chosen, before = best[k]
+        if chosen:
+            out.append(spans[k - 1])
+        k = before
     return out[::-1]
 
 
-def tagger_spans(texts: list[str], model: Tagger) -> list[list[Span]]:
-    """The tagger's spans of each text, reconciled over its windows."""
+def tagged_spans(texts: list[str], model: Tagger) -> list[dict[Span, float]]:
+    """The tagger's spans of each text with their weights, summed over its windows."""
     where: list[tuple[int, int]] = []
     for i, text in enumerate(texts):
         half = WINDOW // 2
@@ -231,7 +257,38 @@ def tagger_spans(texts: list[str], model: Tagger) -> list[list[Span]]:
             i, at = part[r]
             for start, kind, stop, weight in window_spans(tags[r], margin[r], at == 0, at + WINDOW >= len(texts[i])):
                 found[i][at + start, kind, at + stop] += weight
-    return [reconcile(f) if f else [] for f in found]
+    return found
+
+
+def free_of(base: list[Span]) -> Callable[[int, int], bool]:
+    """Whether a span touches none of the base spans, which are sorted by start."""
+    merged: list[list[int]] = []
+    for a, _, b in base:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    starts = [a for a, _ in merged]
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_left(starts, b)
+        return not k or merged[k - 1][1] <= a
+
+    return free
+
+
+def added(text: str, found: dict[Span, float], base: list[Span]) -> list[Span]:
+    """The tagger's spans that count beside the base ones. Marks at their ends are cut off, and what is implausible or touches a
+    base span is gone before spans are reconciled, so that it can't displace a good one."""
+    free, good = free_of(base), defaultdict(float)
+    for (a, k, b), weight in found.items():
+        while a < b and text[a] in " \n\t,;:":
+            a += 1
+        while b > a and text[b - 1] in " \n\t,;:.":
+            b -= 1
+        if a < b and free(a, b) and plausible(k, text[a:b]):
+            good[a, k, b] += weight
+    return reconcile(good)
 
 
 def find_all(texts: list[str | None], model: Tagger) -> list[list[dict]]:
@@ -239,18 +296,9 @@ def find_all(texts: list[str | None], model: Tagger) -> list[list[dict]]:
     texts = [t or "" for t in texts]
     some = [i for i, t in enumerate(texts) if ANCHOR.search(t)]
     out: list[list[dict]] = [[] for _ in texts]
-    for i, added in zip(some, tagger_spans([texts[i] for i in some], model), strict=True):
+    for i, found in zip(some, tagged_spans([texts[i] for i in some], model), strict=True):
         base = base_spans(texts[i])
-        ends = sorted((a, b) for a, _, b in base)
-        more = []
-        for a, k, b in added:
-            while a < b and texts[i][a] in " \n\t,;:":
-                a += 1
-            while b > a and texts[i][b - 1] in " \n\t,;:.":
-                b -= 1
-            j = int(np.searchsorted([x for x, _ in ends], b))
-            if plausible(k, texts[i][a:b]) and all(y <= a for _, y in ends[:j]):
-                more.append((a, k, b))
+        more = added(texts[i], found, base)
         out[i] = [{"kind": KINDS[k], "start": a, "stop": b, "base": is_base} for a, k, b, is_base in sorted([(*s, True) for s in base] + [(*s, False) for s in more])]
     return out
 
@@ -270,12 +318,12 @@ def find(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
 
     Null and empty texts have none; repeated rows are searched each; an empty table gives an empty table; an input column
     pii is replaced."""
-    return docs.withColumn("pii", finder(model or trained())(F.col("text")))
+    return docs.withColumn("pii", finder(model or stored(docs.sparkSession))(F.col("text")))
 
 
 def masked(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     """docs with [KIND] in place of personal data in `text`; overlapping spans become one mask. Null stays null."""
-    weights = (model or trained()).w
+    weights = (model or stored(docs.sparkSession)).w
 
     @F.pandas_udf("string")
     def mask(text: pd.Series) -> pd.Series:

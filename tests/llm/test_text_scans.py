@@ -1,5 +1,7 @@
 import hashlib
+import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -80,6 +82,46 @@ def test_windows_cover_long_texts(model):
     assert pii.find_all([filler, None, ""], model) == [[], [], []]
 
 
+def test_reconcile_takes_the_heaviest_choice():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        spans = {(a := int(rng.integers(0, 20)), int(rng.integers(4)), a + int(rng.integers(1, 8))): float(rng.integers(1, 9)) for _ in range(8)}
+        got = pii.reconcile(spans)
+        assert all(x[2] <= y[0] for x, y in zip(got, got[1:], strict=False))
+        best = max(sum(spans[s] for s in pick) for n in range(4 + 1) for pick in itertools.combinations(spans, n) if all(x[2] <= y[0] or y[2] <= x[0] for x, y in itertools.combinations(pick, 2)))
+        assert sum(spans[s] for s in got) >= best
+
+
+def test_implausible_spans_displace_nothing():
+    text = "call 415-555-0132 now please"
+    assert pii.added(text, {(5, 3, 17): 1.0, (0, 2, 28): 50.0, (3, 0, 17): 9.0}, []) == [(5, 3, 17)]
+    assert pii.added(text, {(5, 3, 17): 1.0}, [(16, 1, 20)]) == []
+
+
+def test_many_spans_in_one_text_are_fast():
+    text = "415-555-0132 " * 16_000
+    found = {(13 * k, 3, 13 * k + 12): 1.0 for k in range(16_000)}
+    began = time.process_time()
+    assert len(pii.added(text, found, [])) == 16_000 and len(pii.added(text, found, sorted(found))) == 0
+    assert time.process_time() - began < 4
+
+
+def test_weights_are_stored(spark, model):
+    again, third = pii.stored(spark), pii.stored(spark)
+    assert all((again.w[k] == model.w[k]).all() and (third.w[k] == model.w[k]).all() for k in model.w)
+
+
+def test_windows_without_a_digit_or_at_hold_nothing(spark, model):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text][:60]
+    want = [pii.tagged_spans([t], model)[0] for t in texts]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pii, "ANCHOR", re.compile(".", re.S))
+        all_ = [pii.tagged_spans([t], model)[0] for t in texts]
+    for t, a, b in zip(texts, want, all_, strict=True):
+        base = pii.base_spans(t)
+        assert pii.added(t, a, base) == pii.added(t, b, base)
+
+
 def test_find_and_mask(edge, empty, model):
     for r in pii.find(edge, model).collect():
         base = [(s.start, s.kind, s.stop) for s in r.pii if s.base]
