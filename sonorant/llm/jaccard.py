@@ -27,7 +27,7 @@ from sonorant.llm.components import components
 SHINGLE, PERCENT = 5, 75
 #: Counters of the sketch (fixed, so its broadcast is), of how many single shingles one is counted, shingles counted at once, and
 #: the size up to which a group's pairs are all tried at once.
-SKETCH, SAMPLED, COUNTED, SMALL = 1 << 24, 64, 1 << 22, 8
+SKETCH, SAMPLED, COUNTED, SMALL = 1 << 24, 64, 1 << 21, 8
 #: Members of a large group that one task compares with one another.
 TILE = 512
 #: Ranges of the hash space that a set's members are counted in: a quarter of them, a power of two within these.
@@ -41,7 +41,7 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 class WordHashes(dict):
     """64-bit hashes of words, kept for repeats; emptied when full, so its memory is bounded."""
 
-    KEPT = 200_000
+    KEPT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -290,10 +290,12 @@ def groups(rows: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int8)), *p, *(pa.nulls(k).cast(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names)
         m = (own > SMALL) | hot
         k = int(m.sum())
+        pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), *(pa.nulls(k).cast(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())), pa.array(token[m]), pa.array(cls[m]), pa.array(n[m].astype(np.int32)), pa.array(at[m].astype(np.int32))], names)
 
     names = ["kind", "a", "b", "na", "nb", "token", "cls", "n", "at"]
-    return rows.repartition(n_partitions(rows.sparkSession), "token", "salt").mapInArrow(join, f"kind byte, {PAIR}, {MEMBER}")
+    # A task holds its share of the rows in numpy, so the shares are made smaller than a shuffle's usual ones.
+    return rows.repartition(3 * n_partitions(rows.sparkSession), "token", "salt").mapInArrow(join, f"kind byte, {PAIR}, {MEMBER}")
 
 
 def second_candidates(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
