@@ -30,7 +30,7 @@ RECORD = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("le
 
 #: Documents whose ids train the dictionary, characters of each that it sees, and the dictionary's size.
 TRAIN_DOCS, TRAIN_CHARS, DICTIONARY_BYTES = 1000, 4096, 65536
-FILE_BYTES = 4 << 20
+FILE_BYTES = 16 << 20
 
 
 def vocabulary_path() -> str:
@@ -40,7 +40,7 @@ def vocabulary_path() -> str:
 
 
 #: ASCII marks that end a word without touching its ids, letters beyond which composition may matter, bytes of text cut at once.
-ENDS, COMBINING, SLICE = ".,;:!?)", re.compile("[\u0300-\U0010ffff]"), 4 << 20
+ENDS, COMBINING, SLICE = ".,;:!?)", re.compile("[\u0300-\U0010ffff]"), 8 << 20
 #: How the vocabulary spells bytes: printable ones of Latin-1 by themselves, the others by the next letters from U+0100 on.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in PRINTABLE)}
@@ -55,7 +55,7 @@ class Encoder:
     that end it: marks are a token of their own, so words repeat more than pieces do. Two generations of known words bound the
     memory: a word that returns moves to the younger one."""
 
-    KEPT = 150_000
+    KEPT = 300_000
 
     def __init__(self, path: str):
         import os
