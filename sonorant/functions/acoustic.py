@@ -33,65 +33,78 @@ def most_frequent(emissions: DataFrame, column: str = "ids") -> DataFrame:
     return counts.agg(F.max_by("token", F.struct("n", -F.col("token"))).alias("blank"))
 
 
-def viterbi(log_probs: np.ndarray, targets: list[int], blank: int) -> list[tuple[int, int]]:
-    """(first, last) frame of each target on the best CTC path; ends on the final blank where it ties. Raises when there are
-    too few frames."""
-    t, n = len(log_probs), len(targets)
-    if t < n + sum(a == b for a, b in zip(targets, targets[1:], strict=False)):
-        raise ValueError("too few frames")
-    labels = np.full(2 * n + 1, blank)
-    labels[1::2] = targets
-    skip = np.zeros(2 * n + 1, bool)
-    skip[3::2] = labels[3::2] != labels[1:-2:2]
-    score = np.full(2 * n + 1, -np.inf)
-    score[: min(2, len(labels))] = log_probs[0, labels[:2]]
-    back = np.zeros((t, 2 * n + 1), np.int32)
+def best_states(log_probs: np.ndarray, targets: np.ndarray, blank: int) -> np.ndarray:
+    """The best CTC path of each utterance of equal shape: (n, frames, tokens) and (n, places) -> states (n, frames). State 2k + 1
+    is the k-th target, even states are blanks; a path that could end on the last blank or the last target at the same score
+    ends on the blank."""
+    n, t, _ = log_probs.shape
+    labels = np.full((n, 2 * targets.shape[1] + 1), blank)
+    labels[:, 1::2] = targets
+    emitted = np.take_along_axis(log_probs, np.broadcast_to(labels[:, None, :], (n, t, labels.shape[1])), 2)
+    # What a step from one or two states before costs beyond its score: nothing, or no such step. Both are by the state reached.
+    steps = np.zeros((3, *labels.shape))
+    steps[1, :, 0] = steps[2, :, :2] = -np.inf
+    steps[2, :, 2:][labels[:, 2:] == labels[:, :-2]] = -np.inf
+    before = lambda row: np.stack([row, np.roll(row, 1, 1), np.roll(row, 2, 1)]) + steps
+    scores = np.full((t, *labels.shape), -np.inf)
+    scores[0, :, :2] = emitted[:, 0, :2]
     for k in range(1, t):
-        one = np.r_[-np.inf, score[:-1]]
-        two = np.where(skip, np.r_[-np.inf, -np.inf, score[:-2]][: len(score)], -np.inf)
-        choice = np.stack([score, one, two])
-        back[k] = choice.argmax(0)
-        score = choice.max(0) + log_probs[k, labels]
-    s = len(labels) - 1 if n == 0 or score[-1] >= score[-2] else len(labels) - 2
-    path = [s]
-    for k in range(t - 1, 0, -1):
-        s -= back[k, s]
-        path.append(s)
-    path = np.array(path[::-1])
-    return [(int(f[0]), int(f[-1])) for f in (np.flatnonzero(path == 2 * k + 1) for k in range(n))]
-
-
-def pronunciation(log_probs: np.ndarray, targets: list[int], spans: list[tuple[int, int]]) -> list[tuple[float, float, int]]:
-    """(mean log-posterior, log-likelihood ratio, token heard) of each target: the ratio is the best frame's own value less
-    the best other token's; the target is heard where it is above 0, else that frame's rival."""
-    out = []
-    for token, (a, b) in zip(targets, spans, strict=True):
-        own = log_probs[a : b + 1, token]
-        rest = log_probs[a : b + 1].copy()
-        rest[:, token] = -np.inf
-        ratio = own - rest.max(1)
-        k = int(ratio.argmax())
-        out.append((float(own.mean()), float(ratio[k]), token if ratio[k] > 0 else int(rest[k].argmax())))
-    return out
+        scores[k] = before(scores[k - 1]).max(0) + emitted[:, k]
+    rows, states = np.arange(n), np.empty((n, t), np.int64)
+    states[:, -1] = labels.shape[1] - 1 - scores[-1, :, ::-1][:, :2].argmax(1)
+    for k in range(t - 1, 0, -1):  # the scores tell which step was best; none of them needs to be kept
+        states[:, k - 1] = states[:, k] - before(scores[k - 1])[:, rows, states[:, k]].argmax(0)
+    return states
+
+
+def spans_of(states: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) frames (n, places) of each target."""
+    own = states[:, :, None] == 2 * np.arange(places) + 1
+    return own.argmax(1), states.shape[1] - 1 - own[:, ::-1].argmax(1)
+
+
+def scores_of(log_probs: np.ndarray, targets: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean log-posterior, log-likelihood ratio, token heard), each (n, places): the ratio is the best frame's own value less the
+    best other token's; the target is heard where it is above 0, else that frame's rival. Two best tokens of each frame suffice:
+    a target's rival is the best of all, or the second where the target is the best."""
+    n, t, _ = log_probs.shape
+    padded = np.concatenate([log_probs, np.full((n, t, 1), -np.inf)], 2)
+    two = np.argsort(-padded, 2, kind="stable")[:, :, :2]
+    rival = np.where(two[:, None, :, 0] == targets[:, :, None], two[:, None, :, 1], two[:, None, :, 0])
+    values = padded.transpose(0, 2, 1)
+    own = np.take_along_axis(values, targets[:, :, None], 1)
+    other = np.take_along_axis(padded[:, None], rival[..., None], 3)[..., 0]
+    frame = np.arange(t)
+    inside = (frame >= first[:, :, None]) & (frame <= last[:, :, None])
+    gap = np.where(inside, own - other, -np.inf)
+    at = gap.argmax(2)[:, :, None]
+    ratio = np.take_along_axis(gap, at, 2)[..., 0]
+    heard = np.where(ratio > 0, targets, np.take_along_axis(rival, at, 2)[..., 0])
+    return np.where(inside, own, 0).sum(2) / inside.sum(2), ratio, heard
 
 
 def align(emissions: DataFrame, blank: int = 0) -> DataFrame:
     """emissions (utt_id, log_probs, targets) -> a row for each target: place, token, first, last, gop, llr, heard; utterances
-    too short for their targets give none."""
+    without targets or too short for them give none. Utterances of a batch that have equal shapes are aligned together."""
     schema = "array<struct<place:int,token:int,first:int,last:int,gop:double,llr:double,heard:int>>"
+    names = ("place", "token", "first", "last", "gop", "llr", "heard")
 
     @F.pandas_udf(schema)
     def run(log_probs: pd.Series, targets: pd.Series) -> pd.Series:
-        out = []
-        for lp, tg in zip(log_probs, targets, strict=True):
-            x, t = np.stack(lp).astype(float), [int(v) for v in tg]
-            try:
-                spans = viterbi(x, t, blank)
-            except ValueError:
-                out.append([])
-                continue
-            out.append([(k, t[k], *spans[k], *p) for k, p in enumerate(pronunciation(x, t, spans))])
-        return pd.Series([[dict(zip(("place", "token", "first", "last", "gop", "llr", "heard"), r, strict=True)) for r in rows] for rows in out])
+        out: list[list[dict]] = [[] for _ in log_probs]
+        alike: dict[tuple[int, int], list[int]] = {}
+        for k, (lp, tg) in enumerate(zip(log_probs, targets, strict=True)):
+            tg = np.asarray(tg)
+            if 0 < len(tg) and len(tg) + int((tg[1:] == tg[:-1]).sum()) <= len(lp):
+                alike.setdefault((len(lp), len(tg)), []).append(k)
+        for (_, n), members in alike.items():
+            x = np.stack([np.stack(log_probs.iloc[k]) for k in members]).astype(float)
+            t = np.stack([np.asarray(targets.iloc[k], np.int64) for k in members])
+            first, last = spans_of(best_states(x, t, blank), n)
+            columns = [c.tolist() for c in (t, first, last, *scores_of(x, t, first, last))]
+            for row, k in enumerate(members):
+                out[k] = [dict(zip(names, (place, *(c[row][place] for c in columns)), strict=True)) for place in range(n)]
+        return pd.Series(out)
 
     return emissions.select("utt_id", F.explode(run("log_probs", "targets")).alias("t")).select("utt_id", "t.*")
 

@@ -80,6 +80,11 @@ def test_devanagari_is_idempotent_and_names_are_known(spark):
         devanagari.profile("xx")
 
 
+def aligned(lp, targets):
+    first, last = acoustic.spans_of(acoustic.best_states(lp[None], np.array([targets]), 0), len(targets))
+    return list(zip(first[0].tolist(), last[0].tolist(), strict=True))
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     for _ in range(40):
@@ -91,10 +96,9 @@ def test_viterbi_is_the_best_path():
             if kept == targets:
                 best = max(best, sum(lp[k, p] for k, p in enumerate(path)))
         if best == -np.inf:
-            with pytest.raises(ValueError):
-                acoustic.viterbi(lp, targets, 0)
+            assert len(targets) + sum(a == b for a, b in zip(targets, targets[1:], strict=False)) > t
             continue
-        spans = acoustic.viterbi(lp, targets, 0)
+        spans = aligned(lp, targets)
         frames = np.zeros(t, int)
         for token, (a, b) in zip(targets, spans, strict=True):
             frames[a : b + 1] = token
@@ -103,7 +107,7 @@ def test_viterbi_is_the_best_path():
 
 def test_many_tokens_fit():
     lp = np.log(np.full((250, 4), 0.25))
-    assert len(acoustic.viterbi(lp, [1, 2, 3] * 40, 0)) == 120
+    assert len(aligned(lp, [1, 2, 3] * 40)) == 120
 
 
 def test_nearest_rank_of_small_groups(spark):
