@@ -78,7 +78,16 @@ def _canonical_column(text: Column) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(canonical)
 
-    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(text)
+    return F.pandas_udf(run, "string")(text)
+
+
+def romanised(text: Column) -> Column:
+    """The words that `canonical` makes of Latin ones, as they stand in its result."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: sorted({from_latin(w) for w in LATIN.findall(t or "")} - {""}))
+
+    return F.pandas_udf(run, "array<string>")(text)
 
 
 def per_word(text: Column, rule) -> Column:

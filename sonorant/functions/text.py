@@ -21,7 +21,7 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 def nfkc(text: Column) -> Column:
     """Unicode compatibility form. Spark has no such function: an Arrow UDF, only for texts that hold more than ASCII."""
-    return F.pandas_udf(_nfkc, "string", F.PandasUDFType.SCALAR)(text)
+    return F.pandas_udf(_nfkc, "string")(text)
 
 
 def normalize(text: Column, compatibility: bool = False) -> Column:

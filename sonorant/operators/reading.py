@@ -72,7 +72,7 @@ def letter_confusions(letters: DataFrame) -> DataFrame:
     """letters (expected, heard), a row for each aligned letter -> expected, heard, count, seen, rate of each wrong pair."""
     all_ = letters.groupBy("expected", "heard").agg(F.count("*").alias("count"))
     seen = all_.groupBy("expected").agg(F.sum("count").alias("seen"))
-    return all_.where("expected <> heard").join(F.broadcast(seen), "expected").select("expected", "heard", F.col("count").cast("long").alias("count"), F.col("seen").cast("long").alias("seen"), (F.col("count") / F.col("seen")).alias("rate"))
+    return all_.where("expected <> heard").join(seen, "expected").select("expected", "heard", F.col("count").cast("long").alias("count"), F.col("seen").cast("long").alias("seen"), (F.col("count") / F.col("seen")).alias("rate"))
 
 
 def top_confusions(confusions: DataFrame, k: int = 4, least: int = 2) -> DataFrame:

@@ -64,3 +64,13 @@ def worst_clip(rows: DataFrame) -> DataFrame:
 def comparison(values: DataFrame, providers: list[str]) -> DataFrame:
     """values (metric, provider, value) as a table of metrics by providers."""
     return values.groupBy("metric").pivot("provider", providers).agg(F.first("value"))
+
+
+def podium(values: DataFrame) -> DataFrame:
+    """values (metric, provider, value), one row for each pair -> each metric's winner, its runner-up (null without one) and the
+    lead, by goodness, ties by name. Two small aggregations over one row for each provider."""
+    good = F.when(F.col("metric").isin(*ERROR_METRICS), F.greatest(F.lit(0.0), 1 - F.col("value"))).otherwise(F.col("value"))
+    best = F.array_sort(F.collect_list(F.struct((-good).alias("v"), "provider")))
+    by = values.where("value IS NOT NULL").groupBy("metric").agg(best.alias("b"))
+    first, second = F.get("b", F.lit(0)), F.get("b", F.lit(1))
+    return by.select("metric", first["provider"].alias("winner"), second["provider"].alias("runner_up"), (second["v"] - first["v"]).alias("lead"))

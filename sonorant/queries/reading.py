@@ -103,6 +103,16 @@ def comparison_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(usecase.comparison(v, ["A", "N", "R"]))
 
 
+@query(f"""WITH {FIELDS}, v AS (SELECT provider, category AS metric, avg(preserved::INT) AS a FROM f GROUP BY ALL
+  UNION ALL SELECT l_returnflag, 'wer', avg(l_linenumber % 4) / 2 FROM lineitem GROUP BY ALL),
+r AS (SELECT *, CASE WHEN metric = 'wer' THEN greatest(0, 1 - a) ELSE a END AS g, row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'wer' THEN greatest(0, 1 - a) ELSE a END DESC, provider) AS n FROM v)
+SELECT metric, max(provider) FILTER (n = 1) AS winner, max(provider) FILTER (n = 2) AS runner_up, round(max(g) FILTER (n = 1) - max(g) FILTER (n = 2), 6) AS lead FROM r GROUP BY metric""")
+def category_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = usecase.category_accuracy(fields(spark, sf_dir)).select(F.col("category").alias("metric"), "provider", F.col("accuracy").alias("value"))
+    wer = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("provider")).agg((F.avg(F.col("l_linenumber") % 4) / 2).alias("value"))
+    return rounded(usecase.podium(v.unionByName(wer.select(F.lit("wer").alias("metric"), "provider", "value"))))
+
+
 @query(f"""WITH {FIELDS}, c AS (SELECT provider, category AS metric, avg(preserved::INT) AS kept FROM f GROUP BY ALL),
 t AS (SELECT provider, metric, CASE WHEN kept < 0.8 THEN 'primary' ELSE 'secondary' END AS tier FROM c
   UNION ALL SELECT DISTINCT provider, m, 'baseline' FROM c CROSS JOIN (VALUES ('wer'), ('cer')) b(m)
