@@ -115,3 +115,26 @@ def log_softmax(log_probs: Column) -> Column:
         return F.transform(f, lambda x: x.cast("double") - total)
 
     return F.transform(log_probs, frame)
+
+
+def standardized(samples: Column) -> Column:
+    """Samples less their mean, over the root of their variance plus 1e-7. The mean and the root are bound as elements of
+    one-element arrays, so each is computed once for an array."""
+    bound = lambda v, f: F.get(F.transform(F.array(v), f), F.lit(0))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
+    centred = bound(total(samples) / F.size(samples), lambda m: F.transform(samples, lambda x: x - m))
+
+    def scaled(c: Column) -> Column:
+        root = F.sqrt(total(F.transform(c, lambda x: x * x)) / F.size(c) + 1e-7)
+        return bound(root, lambda r: F.transform(c, lambda x: x / r))
+
+    return bound(centred, scaled)
+
+
+def windows(spans: Column, frames: Column) -> Column:
+    """spans (start, end), one for each letter in order -> lo and hi of each: from the middle between it and the one before to
+    the middle between it and the next, the first from 0 and the last to the end."""
+    middle = lambda a, b: F.floor((a["end"] + b["start"]) / 2).cast("int")
+    lo = lambda x, k: F.coalesce(middle(F.get(spans, k - 1), x), F.lit(0))
+    hi = lambda x, k: F.coalesce(middle(x, F.get(spans, k + 1)), frames)
+    return F.transform(spans, lambda x, k: F.struct(lo(x, k).alias("lo"), hi(x, k).alias("hi")))

@@ -38,3 +38,25 @@ def language_mix(clips: DataFrame) -> DataFrame:
     """clips (lang, size) -> n and size of each language, and the share of all clips."""
     by = clips.groupBy("lang").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     return by.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def overview(clips: DataFrame, by: str, run_language: str, named: int = 5) -> DataFrame:
+    """clips (by, clip_id, language: an override or null, duration_seconds, upsampled, error: or null) -> of each dataset its
+    clips and minutes, the languages it is transcribed in, whether it has more than one override, how many clips are shorter than
+    0.2 s, its first upsampled clips by name, with the number of more, and whether it can run: it has clips and no errors."""
+    override = F.when(F.col("language") != "", F.col("language"))
+    out = clips.groupBy(by).agg(
+        F.count_if(F.col("error").isNull()).alias("clips"),
+        (F.coalesce(F.sum(F.when(F.col("error").isNull(), F.col("duration_seconds"))), F.lit(0.0)) / 60).alias("minutes"),
+        F.count_distinct(F.coalesce(override, F.lit(run_language))).alias("languages"),
+        (F.count_distinct(override) > 1).alias("multilingual"),
+        F.count_if(F.col("duration_seconds") < 0.2).alias("too_short"),
+        F.count_if("upsampled").alias("n_upsampled"),
+        F.count_if(F.col("error").isNotNull()).alias("errors"),
+    )
+    # The rank's filter keeps `named` rows for each task before the shuffle.
+    first = clips.where("upsampled").select(by, "clip_id", F.row_number().over(Window.partitionBy(by).orderBy("clip_id")).alias("n")).where(F.col("n") <= named)
+    names = first.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(F.col("clip_id").cast("string"))), ", ").alias("names"))
+    more = F.when(F.col("n_upsampled") > named, F.concat(F.lit(" and "), (F.col("n_upsampled") - named).cast("string"), F.lit(" more"))).otherwise("")
+    runs = (F.col("clips") > 0) & (F.col("errors") == 0)
+    return out.join(names, by, "left").select(by, "clips", "minutes", "languages", "multilingual", "too_short", F.concat("names", more).alias("upsampled"), runs.alias("runnable"))

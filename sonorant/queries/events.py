@@ -13,7 +13,7 @@ from sonorant.streaming import latency
 RESULTS = """raw AS (
   SELECT event_id, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
 ), v AS (
-  SELECT 'run' || (user_id % 3) AS run_id, 'clip' || (event_id % 400) AS clip_id, event_type AS provider,
+  SELECT 'run' || (user_id % 3) AS run_id, 'clip' || (event_id // 40) AS clip_id, event_type AS provider,
     CASE WHEN event_id % 17 = 0 THEN 'failed' ELSE 'ok' END AS status, value / 100 AS latency_seconds,
     CAST(CASE WHEN event_id % 97 = 0 THEN 0 ELSE 1 + event_id % 30 END AS DOUBLE) AS duration_seconds,
     event_id % 4 <> 0 AS sampled, CAST(k % 7 AS DOUBLE) AS wer_errors,
@@ -55,12 +55,12 @@ def latest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(read(spark, sf_dir).select("run_id", "clip_id", "provider", "status", "updated_at", ops.value("wer").alias("wer")))
 
 
-@query(f"""WITH {RESULTS}, clips AS (SELECT 'clip' || i AS clip_id FROM range(410) t(i)), providers AS (SELECT DISTINCT provider FROM r)
+@query(f"""WITH {RESULTS}, clips AS (SELECT DISTINCT 'clip' || (event_id // 40) AS clip_id FROM events), providers AS (SELECT DISTINCT provider FROM r)
 SELECT clip_id, provider FROM clips CROSS JOIN providers
 WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.clip_id = clips.clip_id AND r.provider = providers.provider AND status = 'ok' AND semantic_match IS NOT NULL AND run_id = 'run0')""")
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = read(spark, sf_dir)
-    clips = spark.range(410).select(F.concat(F.lit("clip"), F.col("id").cast("string")).alias("clip_id"))
+    clips = views.results(spark, sf_dir).select("clip_id").distinct()
     return ops.pending(clips, r.select("provider").distinct(), r.where("run_id = 'run0'"), ["wer", "semantic_match"])
 
 

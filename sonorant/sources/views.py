@@ -11,7 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result versions from events; keys collide on purpose, seq orders the versions."""
+    """Result versions from events; forty events share a clip, so keys collide and grow with the events."""
     k = F.get_json_object("props", "$.k").cast("long")
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", k.alias("k"))
     errors, length = (F.col("k") % 7).cast("double"), F.when(F.col("event_id") % 53 == 0, 0).otherwise(5 + F.col("k") % 20).cast("double")
@@ -21,7 +21,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     match = F.when(F.col("event_id") % 5 == 0, None).when(F.col("k") % 3 == 0, 0.0).otherwise(1.0)
     return e.select(
         F.concat(F.lit("run"), (F.col("user_id") % 3).cast("string")).alias("run_id"),
-        F.concat(F.lit("clip"), (F.col("event_id") % 400).cast("string")).alias("clip_id"),
+        F.concat(F.lit("clip"), F.expr("event_id div 40").cast("string")).alias("clip_id"),
         F.col("event_type").alias("provider"),
         F.when(F.col("event_id") % 17 == 0, "failed").otherwise("ok").alias("status"),
         (F.col("value") / 100).alias("latency_seconds"),
