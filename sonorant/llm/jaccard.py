@@ -28,8 +28,9 @@ SHINGLE, PERCENT = 5, 75
 #: Counters of the sketch (fixed, so its broadcast is), of how many single shingles one is counted, shingles counted at once, and
 #: the size up to which a group's pairs are all tried at once.
 SKETCH, SAMPLED, COUNTED, SMALL = 1 << 24, 64, 1 << 21, 8
-#: Members of a large group that one task compares with one another.
-TILE = 512
+#: Members of a large group that one task compares with one another, and into how many parts a token's members are dealt while
+#: they are joined with what is known of the token (a group has more than SMALL members, so the copies are no more than these).
+TILE, DEALT = 512, 8
 #: Ranges of the hash space that a set's members are counted in: a quarter of them, a power of two within these.
 LEAST_RANGES, MOST_RANGES = 32, 8192
 #: Up to how many ids are looked up by a broadcast join instead of a bit table, and the least bytes of sets in a part of a home.
@@ -303,12 +304,17 @@ def second_candidates(members: DataFrame, comps: DataFrame, classes: DataFrame)
     cut into bands of set size (linked sets lie in one band or neighbouring ones) and tiles of a bounded number of members."""
     m = members.join(comps.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     open_ = m.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    m = materialize(m.join(open_, "token"), "open-members")
+    # A common token's members would meet in one task of this join; parts of them do not.
+    open_ = open_.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    m = m.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(DEALT)).cast("int"))
+    m = materialize(m.join(open_, ["token", "part"]).drop("part"), "open-members")
     shapes = classes.join(m.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("shape").alias("shape"))
     m = m.join(shapes, "cls").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int"))
     both = m.withColumn("upper", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") - F.col("upper"))
     tiles = both.groupBy("token", "band").agg(F.count("*").alias("c")).select("token", "band", F.ceil(F.col("c") / TILE).cast("int").alias("k"))
-    dealt = both.join(tiles, ["token", "band"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    tiles = tiles.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    both = both.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(DEALT)).cast("int"))
+    dealt = both.join(tiles, ["token", "band", "part"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select("token", "band", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "cls", "n", "at", "root", "upper", "chunk", "shape")
 
     def compare(batches):
