@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -109,6 +109,65 @@ def align(emissions: DataFrame, blank: int = 0) -> DataFrame:
     return emissions.select("utt_id", F.explode(run("log_probs", "targets")).alias("t")).select("utt_id", "t.*")
 
 
+def path_scores(log_probs: Column, forms: Column, blank: int = 0) -> Column:
+    """The score of the best path that emits each form, an array of tokens; null for a null or empty form and one that is too
+    long for the frames. Forms of equal shape of a batch are scored together."""
+
+    @F.pandas_udf("array<double>")
+    def run(log_probs: pd.Series, forms: pd.Series) -> pd.Series:
+        out, alike = [[None] * len(own) for own in forms], {}
+        for k, (frames_, own) in enumerate(zip(log_probs, forms, strict=True)):
+            for place, form in enumerate(own):
+                form = np.asarray([] if form is None else form, np.int64)
+                if 0 < len(form) and len(form) + int((form[1:] == form[:-1]).sum()) <= len(frames_):
+                    alike.setdefault((len(frames_), len(form)), []).append((k, place))
+        for members in alike.values():
+            x = np.stack([np.stack(log_probs.iloc[k]) for k, _ in members]).astype(float)
+            targets = np.stack([np.asarray(forms.iloc[k][place], np.int64) for k, place in members])
+            states = best_states(x, targets, blank)
+            padded = np.concatenate([targets, np.full((len(members), 1), blank)], 1)
+            tokens = np.where(states % 2 == 1, np.take_along_axis(padded, states // 2, 1), blank)
+            total = np.take_along_axis(x, tokens[:, :, None], 2).sum((1, 2))
+            for (k, place), score in zip(members, total.tolist(), strict=True):
+                out[k][place] = score
+        return pd.Series(out)
+
+    return run(log_probs, forms)
+
+
+def closed_set(emissions: DataFrame, blank: int = 0) -> DataFrame:
+    """emissions with log_probs, expected and candidates, an array of struct(name, form: tokens, null if the model has not all of
+    them), the expected one's first -> the other columns, expected, best, margin. A name with several forms counts by its best
+    one. Ties go to the earlier candidate; the margin is infinite without a rival; best and margin are null where the expected
+    name has no score."""
+    scored = F.arrays_zip(F.col("candidates.name").alias("name"), path_scores(F.col("log_probs"), F.col("candidates.form"), blank).alias("score"))
+    e = emissions.withColumn("scored", F.filter(scored, lambda x: x["score"].isNotNull())).drop("candidates", "log_probs")
+    best = F.aggregate("scored", F.element_at("scored", 1), lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
+    most = lambda own: F.array_max(F.transform(F.filter("scored", lambda x: (x["name"] == F.col("expected")) == own), lambda x: x["score"]))
+    margin = F.when(most(True).isNotNull(), F.coalesce(most(True) - most(False), F.lit(float("inf"))))
+    found = F.when(F.size("scored") > 0, best["name"])
+    return e.withColumns({"best": F.when(most(True).isNotNull(), found), "margin": margin}).drop("scored")
+
+
+def target_rows(words: DataFrame, by: list[str], vocabulary: dict[str, int], delimiter: str | None = "|") -> DataFrame:
+    """words (by, word: its place from 0, text) -> by, word, start, end, ids, unknown: the tokens of each word's letters, the
+    letters that the vocabulary lacks, and the word's range among all of an utterance's tokens. A delimiter that the vocabulary
+    has stands before each word but the first, also next to words without tokens."""
+    known = F.create_map(*(F.lit(x) for kv in vocabulary.items() for x in kv))
+    letters = F.filter(F.split("text", ""), lambda c: c != "")
+    ids = F.transform(F.filter(letters, lambda c: F.map_contains_key(known, c)), lambda c: known[c])
+    rows = words.select(*by, "word", ids.alias("ids"), F.filter(letters, lambda c: ~F.map_contains_key(known, c)).alias("unknown"))
+    end = F.sum(F.size("ids")).over(Window.partitionBy(*by).orderBy("word")) + (F.col("word") if delimiter in vocabulary else F.lit(0))
+    return rows.select(*by, "word", (end - F.size("ids")).alias("start"), end.alias("end"), "ids", "unknown")
+
+
+def word_evidence(words: DataFrame, units: DataFrame, by: list[str], frame_seconds: float) -> DataFrame:
+    """words (by, word), units (by, word, first, last, gop, llr), a row for each aligned unit -> by, word, start_s, end_s, and the
+    gop and llr of the weakest unit; a word without units has nulls."""
+    per = units.groupBy(*by, "word").agg((F.min("first") * frame_seconds).alias("start_s"), ((F.max("last") + 1) * frame_seconds).alias("end_s"), F.min("gop").alias("gop"), F.min("llr").alias("llr"))
+    return words.join(per, [*by, "word"], "left")
+
+
 def log_softmax(log_probs: Column) -> Column:
     def frame(f: Column) -> Column:
         total = F.log(F.aggregate(f, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double"))))

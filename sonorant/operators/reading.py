@@ -96,3 +96,36 @@ def level_benchmark(pairs: DataFrame, by: str) -> DataFrame:
     """pairs (by, word_errors, word_length, char_errors, char_length, exact) -> pooled rates and the share that is exact."""
     ratio = lambda e, n: (F.sum(e) / F.greatest(F.sum(n), F.lit(1)))
     return pairs.groupBy(by).agg(F.count("*").alias("samples"), ratio("word_errors", "word_length").alias("wer"), ratio("char_errors", "char_length").alias("cer"), F.avg(F.col("exact").cast("double")).alias("exact"))
+
+
+def level_report(pairs: DataFrame, by: str, expected: DataFrame) -> DataFrame:
+    """level_benchmark's pairs with mistakes (those that no rule forgives) and neutral (words that were read) -> for each of the
+    expected groups (by) its pooled rates, the share of exact samples and mistakes per word, or `missing`, without samples."""
+    more = pairs.groupBy(by).agg((F.sum("mistakes") / F.greatest(F.sum("neutral"), F.lit(1))).alias("forgiving"))
+    found = level_benchmark(pairs, by).join(more, by)
+    return expected.join(found, by, "left").withColumn("missing", F.col("samples").isNull()).na.fill({"samples": 0})
+
+
+def letter_partners(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, ordinal) of letters that are taken for one another -> letter, partners: those of both places in the order in
+    which they first appear, each once. A group is a letter's partners, after each pair has been reduced to one row."""
+    both = pairs.select(F.col("a").alias("letter"), F.col("b").alias("partner"), "ordinal").unionByName(pairs.select(F.col("b").alias("letter"), F.col("a").alias("partner"), "ordinal"))
+    first = both.where("letter <> partner").groupBy("letter", "partner").agg(F.min("ordinal").alias("ordinal"))
+    return first.groupBy("letter").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "partner"))), lambda x: x["partner"]).alias("partners"))
+
+
+def letter_events(readings: DataFrame, by: str, threshold: float, silent: list[str]) -> DataFrame:
+    """readings (by, checks: array of letter, heard, margin; ops: array of ref, kind, units: array of letter, gop, heard; wrong:
+    letters) -> by, word, letter, score, ok, source: a row for each letter that a reader tried.
+
+    A reading with checks of letters counts by these alone. Else each word counts by the scores of its units, or, without units,
+    by its letters, of which the `wrong` ones are not ok. Words that were left out and silent letters say nothing."""
+    event = lambda word, letter, score, ok, source: F.struct(word.alias("word"), letter.alias("letter"), score.cast("double").alias("score"), ok.alias("ok"), F.lit(source).alias("source"))
+    checks = F.transform("checks", lambda c: event(c["letter"], c["letter"], c["margin"], c["heard"] == c["letter"], "letter_check"))
+    sounding = lambda c: ~c.isin(*silent)
+    units = lambda o: F.transform(F.filter(o["units"], lambda u: sounding(u["letter"])), lambda u: event(o["ref"], u["letter"], u["gop"], u["gop"] >= threshold, "gop"))
+    letters = lambda o: F.filter(F.split(o["ref"], ""), lambda c: (c != "") & sounding(c))
+    spelled = lambda o: F.transform(letters(o), lambda c: event(o["ref"], c, F.lit(None), ~F.array_contains(F.coalesce(o["wrong"], F.array().cast("array<string>")), c), "text"))
+    tried = F.filter("ops", lambda o: (F.coalesce(o["ref"], F.lit("")) != "") & (o["kind"] != "deletion"))
+    of_ops = F.flatten(F.transform(tried, lambda o: F.when(F.coalesce(F.size(o["units"]), F.lit(0)) > 0, units(o)).otherwise(spelled(o))))
+    return readings.select(by, F.explode(F.when(F.coalesce(F.size("checks"), F.lit(0)) > 0, checks).otherwise(of_ops)).alias("e")).select(by, "e.*")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonorant.functions import acoustic, verdicts
-from sonorant.operators import dataset, plans, results, staging, tasks, usecase
+from sonorant.operators import dataset, plans, reading, results, staging, tasks, usecase
 from sonorant.queries.events import PLAN, RESULTS, plan, read
 from sonorant.queries.reading import EMISSIONS, emissions
 from sonorant.queries.registry import query, rounded
@@ -105,6 +105,27 @@ def clip_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(plans.clip_winners(by.agg(status.alias("status"), F.avg((F.col("l_quantity") > 10).cast("double")).alias("score"), lost.alias("lost"))))
 
 
+SAID = {k: v.replace("'", "''") for k, v in plans.SENTENCES.items()}
+LISTED = "CASE len({0}) WHEN 0 THEN 'nothing' WHEN 1 THEN '**' || {0}[1] || '**' ELSE '**' || array_to_string({0}[:-2], '**, **') || '** and **' || {0}[-1] || '**' END"
+PERCENT = "round_even({0} * 100, 0)::BIGINT::VARCHAR"
+TENTHS = "(round_even({0} * 100 * 10, 0)::BIGINT // 10)::VARCHAR || '.' || (round_even({0} * 100 * 10, 0)::BIGINT % 10)::VARCHAR"
+
+
+@query(f"""WITH s AS (SELECT l_orderkey AS clip_id, l_returnflag AS provider, max(l_suppkey % 11) < 9 AS ok, avg((l_quantity > 10)::INT) AS score, avg(l_linenumber % 4) / 4 AS wer, list_sort(coalesce(list(DISTINCT 'f' || l_linenumber) FILTER (l_quantity <= 10), [])) AS lost FROM lineitem GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY clip_id, ok ORDER BY score DESC, provider) AS n FROM s),
+c AS (SELECT clip_id, max(provider) FILTER (ok AND n = 1) AS p1, max(provider) FILTER (ok AND n = 2) AS p2, max(score) FILTER (ok AND n = 1) AS s1, max(score) FILTER (ok AND n = 2) AS s2, max(wer) FILTER (ok AND n = 1) AS w1, max(wer) FILTER (ok AND n = 2) AS w2,
+  any_value(lost) FILTER (ok AND n = 1) AS l1, any_value(lost) FILTER (ok AND n = 2) AS l2, list_sort(list(provider) FILTER (NOT ok)) AS f FROM r GROUP BY clip_id)
+SELECT clip_id, p1 AS winner, p2 AS runner_up, CASE WHEN p1 IS NULL THEN '{SAID["none"]}' ELSE concat_ws(' ', printf('{SAID["winner"]}', p1, 'this use case', {PERCENT.format("s1")}),
+  CASE WHEN p2 IS NULL THEN NULL WHEN w1 > w2 AND len(l2) > 0 THEN printf('{SAID["higher"]}', p2, {TENTHS.format("w1")}, {TENTHS.format("w2")}, p2, {LISTED.format("l2")})
+    WHEN len(l2) > 0 THEN printf('{SAID["lost"]}', p2, {PERCENT.format("s2")}, {LISTED.format("l2")}) ELSE printf('{SAID["close"]}', p2, {PERCENT.format("s2")}) END,
+  CASE WHEN len(l1) > 0 THEN printf('{SAID["note"]}', p1, {LISTED.format("l1")}) END, CASE WHEN len(f) > 0 THEN printf('{SAID["failed"]}', {LISTED.format("f")}) END) END AS explanation FROM c""")
+def winner_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.max(F.col("l_suppkey") % 11) < 9, "ok").otherwise("failed")
+    lost = F.array_sort(F.collect_set(F.when(F.col("l_quantity") <= 10, F.concat(F.lit("f"), F.col("l_linenumber").cast("string")))))
+    by = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("clip_id"), F.col("l_returnflag").alias("provider"))
+    return plans.explained(by.agg(status.alias("status"), F.avg((F.col("l_quantity") > 10).cast("double")).alias("score"), (F.avg(F.col("l_linenumber") % 4) / 4).alias("wer"), lost.alias("lost")))
+
+
 # --- tasks of readers: a customer's orders are a reader's tasks
 
 @query("""SELECT o_custkey AS reader, sum(o_orderkey % 4)::BIGINT AS mistakes, sum(20 + o_orderkey % 9)::BIGINT AS correct, sum(20 + o_orderkey % 9 + o_orderkey % 4)::BIGINT AS ref_len,
@@ -166,6 +187,79 @@ def standardized_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(w.select("vec_id", F.array_min("x").alias("least"), F.array_max("x").alias("most")), 5)
 
 
+CHOICES = """g AS (SELECT vec_id, k, f, sum(embedding[f * 4 + 1 + k]::DOUBLE - embedding[f * 4 + 1]::DOUBLE) OVER (PARTITION BY vec_id, k ORDER BY f) AS d FROM embeddings CROSS JOIN range(16) t(f) CROSS JOIN range(1, 4) u(k)),
+m AS (SELECT vec_id, k, d - least(0, coalesce(min(d) OVER (PARTITION BY vec_id, k ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS s FROM g), s AS (SELECT vec_id, k, max(s) AS s FROM m GROUP BY ALL)"""
+
+
+@query(f"""WITH {CHOICES} SELECT vec_id AS utt_id, chr((97 + vec_id % 3)::INT) AS expected, chr((96 + arg_max(k, s))::INT) AS best, round(max(s) FILTER (k = 1 + vec_id % 3) - max(s) FILTER (k <> 1 + vec_id % 3), 6) AS margin FROM s GROUP BY vec_id""")
+def letter_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three letters of one token each and one that the model cannot emit. In SQL the best path of a letter is the stretch of
+    frames where it gains most over the blank."""
+    e, other = emissions(spark, sf_dir), lambda k: ((F.col("utt_id") + k) % 3).cast("int")
+    one = lambda k: F.struct(F.char(97 + other(k)).alias("name"), F.array(1 + other(k)).alias("form"))
+    none = F.struct(F.lit("z").alias("name"), F.lit(None).cast("array<int>").alias("form"))
+    asked = e.select("utt_id", acoustic.log_softmax(F.col("log_probs")).alias("log_probs"), F.char(97 + other(0)).alias("expected"), F.array(one(0), one(1), none, one(2)).alias("candidates"))
+    return rounded(acoustic.closed_set(asked))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, generate_subscripts(x, 1) - 1 AS word, unnest(x) AS text FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x <> '') AS x FROM conversations)),
+k AS (SELECT conv_id, turn, word, regexp_replace(text, '[yz]', '', 'g') AS kept, regexp_replace(text, '[^yz]', '', 'g') AS unknown FROM w),
+e AS (SELECT *, sum(length(kept)) OVER (PARTITION BY conv_id, turn ORDER BY word)::BIGINT + word AS e FROM k)
+SELECT conv_id, turn, word, e - length(kept) AS first_id, e AS end_id, kept AS ids, unknown FROM e""")
+def word_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole turns as tokens of letters; the vocabulary lacks y and z. Ids are written as their letters again."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda x: x != "")
+    rows = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(words).alias("word", "text"))
+    out = acoustic.target_rows(rows, ["conv_id", "turn"], {chr(97 + k): k for k in range(24)} | {"|": 24})
+    letters = F.array_join(F.transform("ids", lambda k: F.char(97 + k)), "")
+    return out.select("conv_id", "turn", F.col("word").cast("long").alias("word"), F.col("start").cast("long").alias("first_id"), F.col("end").cast("long").alias("end_id"), letters.alias("ids"), F.array_join("unknown", "").alias("unknown"))
+
+
+@query("""WITH u AS (SELECT vec_id, f // 3 AS word, f, embedding[f * 4 + 1]::DOUBLE AS gop, embedding[f * 4 + 2]::DOUBLE AS llr FROM embeddings CROSS JOIN range(16) t(f) WHERE (f // 3 + vec_id) % 4 <> 0)
+SELECT e.vec_id AS utt_id, w AS word, round(min(f) * 0.02::DOUBLE, 6) AS start_s, round((max(f) + 1) * 0.02::DOUBLE, 6) AS end_s, round(min(gop), 6) AS gop, round(min(llr), 6) AS llr FROM embeddings e CROSS JOIN range(6) t(w) LEFT JOIN u ON u.vec_id = e.vec_id AND word = w GROUP BY ALL""")
+def word_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of three units; of every fourth word the model knows no letter."""
+    e = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("utt_id"), F.transform(F.slice("embedding", 1, 64), lambda x: x.cast("double")).alias("x"))
+    f = F.col("first")
+    units = e.select("utt_id", "x", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("first")).select("utt_id", F.expr("first div 3").alias("word"), "first", f.alias("last"), F.get("x", f * 4).alias("gop"), F.get("x", f * 4 + 1).alias("llr"))
+    words = e.select("utt_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("word"))
+    return rounded(acoustic.word_evidence(words, units.where((F.col("word") + F.col("utt_id")) % 4 != 0), ["utt_id"], 0.02))
+
+
+@query("""WITH p AS (SELECT chr((97 + l_partkey % 9)::INT) AS a, chr((97 + l_suppkey % 7)::INT) AS b, l_orderkey * 10 + l_linenumber AS o FROM lineitem WHERE l_quantity < 5),
+f AS (SELECT letter, partner, min(o) AS o FROM (SELECT a AS letter, b AS partner, o FROM p UNION ALL SELECT b, a, o FROM p) WHERE letter <> partner GROUP BY ALL)
+SELECT letter, string_agg(partner, '' ORDER BY o, partner) AS partners FROM f GROUP BY letter""")
+def letter_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "lineitem").where("l_quantity < 5")
+    pairs = e.select(F.char(97 + F.col("l_partkey") % 9).alias("a"), F.char(97 + F.col("l_suppkey") % 7).alias("b"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"))
+    return reading.letter_partners(pairs).select("letter", F.array_join("partners", "").alias("partners"))
+
+
+@query("""WITH p AS (SELECT (l_linenumber % 6)::BIGINT AS level, l_suppkey % 4 AS we, 8 + l_partkey % 9 AS wn, l_suppkey % 6 AS ce, 40 + l_partkey % 50 AS cn, l_suppkey % 12 = 0 AS exact, l_suppkey % 3 AS m, 6 + l_partkey % 7 AS n FROM lineitem),
+a AS (SELECT level, count(*) AS samples, sum(we) / sum(wn) AS wer, sum(ce) / sum(cn) AS cer, avg(exact::INT) AS exact, sum(m) / sum(n) AS forgiving FROM p GROUP BY level)
+SELECT i AS level, coalesce(samples, 0) AS samples, round(wer, 6) AS wer, round(cer, 6) AS cer, round(exact, 6) AS exact, round(forgiving, 6) AS forgiving, samples IS NULL AS missing FROM range(1, 8) g(i) LEFT JOIN a ON level = i""")
+def level_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the levels 1 to 7 that are expected two have no samples; level 0 is not asked for."""
+    s, p = F.col("l_suppkey"), F.col("l_partkey")
+    pairs = views.table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") % 6).cast("long").alias("level"), (s % 4).alias("word_errors"), (8 + p % 9).alias("word_length"), (s % 6).alias("char_errors"), (40 + p % 50).alias("char_length"), (s % 12 == 0).alias("exact"), (s % 3).alias("mistakes"), (6 + p % 7).alias("neutral"))
+    return rounded(reading.level_report(pairs, "level", spark.range(1, 8).select(F.col("id").alias("level"))))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS k, l_linenumber AS n, chr((97 + l_partkey % 5)::INT) || chr((97 + l_suppkey % 5)::INT) || 'q' AS ref, l_suppkey % 4 AS form, l_orderkey % 5 = 0 AS checked, l_quantity / 10 - 3 AS gop, chr((97 + l_suppkey % 5)::INT) AS wrong FROM lineitem),
+e AS (SELECT k AS reading, n, ref[1] AS word, ref[1] AS letter, gop AS score, ref[1] = wrong AS ok, 'letter_check' AS source FROM r WHERE checked
+  UNION ALL SELECT k, n, ref, ref[1], gop, gop >= -1, 'gop' FROM r WHERE NOT checked AND form = 1 UNION ALL SELECT k, n, ref, ref[i::BIGINT], NULL, ref[i::BIGINT] <> wrong, 'text' FROM r CROSS JOIN range(1, 3) t(i) WHERE NOT checked AND form > 1)
+SELECT reading, word, letter, round(score, 6)::DOUBLE AS score, ok, source, count(*) AS times FROM e GROUP BY ALL""")
+def letter_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as words of a reading: left out, scored by a unit, or spelled; q is silent; some readings were checked."""
+    e, c = views.table(spark, sf_dir, "lineitem"), lambda name: F.char(97 + F.col(name) % 5)
+    form, gop = F.col("l_suppkey") % 4, F.col("l_quantity").cast("double") / 10 - 3
+    units = F.when(form == 1, F.array(F.struct(c("l_partkey").alias("letter"), gop.alias("gop"), F.lit("").alias("heard")), F.struct(F.lit("q").alias("letter"), gop.alias("gop"), F.lit("").alias("heard"))))
+    op = F.struct(F.concat(c("l_partkey"), c("l_suppkey"), F.lit("q")).alias("ref"), F.when(form == 0, "deletion").otherwise("substitution").alias("kind"), units.alias("units"), F.array(c("l_suppkey")).alias("wrong"))
+    check = F.when(F.col("l_orderkey") % 5 == 0, F.struct(c("l_partkey").alias("letter"), c("l_suppkey").alias("heard"), gop.alias("margin")))
+    readings = e.groupBy(F.col("l_orderkey").alias("reading")).agg(F.collect_list(check).alias("checks"), F.collect_list(op).alias("ops"))
+    return rounded(reading.letter_events(readings, "reading", -1.0, ["q"])).groupBy("reading", "word", "letter", "score", "ok", "source").agg(F.count("*").alias("times"))
+
+
 # --- datasets and text
 
 @query("""WITH c AS (SELECT source, doc_id AS clip_id, CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 3 = 1 THEN '' END AS language, n_chars / 1000.0::DOUBLE AS duration, doc_id % 10 = 0 AS upsampled, doc_id % 401 = 400 AS bad FROM documents),
