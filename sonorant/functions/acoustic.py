@@ -149,6 +149,23 @@ def closed_set(emissions: DataFrame, blank: int = 0) -> DataFrame:
     return e.withColumns({"best": F.when(most(True).isNotNull(), found), "margin": margin}).drop("scored")
 
 
+def letter_decisions(emissions: DataFrame, blank: int = 0) -> DataFrame:
+    """emissions (utt_id, log_probs, letters: array of struct(expected, candidates) as closed_set takes them) -> utt_id, place,
+    expected, best, margin: the letters are aligned by the first form of each, and each one's window, out to the middle between it
+    and its neighbours, decides. Utterances that cannot be aligned, or with a letter that has no first form, give no rows."""
+    first = F.transform("letters", lambda x: F.get(x["candidates"], F.lit(0))["form"])
+    able = emissions.where(F.forall(first, lambda f: F.coalesce(F.size(f) > 0, F.lit(False)))).withColumn("targets", F.flatten(first))
+    # The targets' places of each letter: running sums of the sizes of the first forms.
+    sizes = F.transform(first, F.size)
+    stop = F.transform(sizes, lambda n, k: F.aggregate(F.slice(sizes, 1, k + 1), F.lit(0), lambda a, x: a + x))
+    placed = align(able, blank).groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("place", "first", "last"))).alias("units"))
+    spans = F.transform("stop", lambda e, k: F.struct(F.get("units", e - F.get("sizes", k))["first"].alias("start"), (F.get("units", e - 1)["last"] + 1).alias("end")))
+    e = able.withColumns({"sizes": sizes, "stop": stop}).join(placed, "utt_id").withColumn("windows", windows(spans, F.size("log_probs")))
+    each = e.select("utt_id", "log_probs", F.posexplode(F.arrays_zip("letters", "windows")).alias("place", "x"))
+    cut = F.slice("log_probs", F.col("x.windows.lo") + 1, F.col("x.windows.hi") - F.col("x.windows.lo"))
+    return closed_set(each.select("utt_id", "place", cut.alias("log_probs"), "x.letters.expected", "x.letters.candidates"), blank)
+
+
 def target_rows(words: DataFrame, by: list[str], vocabulary: dict[str, int], delimiter: str | None = "|") -> DataFrame:
     """words (by, word: its place from 0, text) -> by, word, start, end, ids, unknown: the tokens of each word's letters, the
     letters that the vocabulary lacks, and the word's range among all of an utterance's tokens. A delimiter that the vocabulary

@@ -34,6 +34,21 @@ def supporting_all(support: DataFrame, in_use: DataFrame) -> DataFrame:
     return have.join(F.broadcast(used.agg(F.count("*").alias("n"))), "n", "left_semi").select("provider")
 
 
+def supported(asked: DataFrame, support: DataFrame) -> DataFrame:
+    """asked (provider, language), support (provider, languages: an array) -> asked with `supported`: a provider without any
+    language takes all, one that is not known takes none."""
+    known = asked.join(support, "provider", "left")
+    takes = (F.size("languages") == 0) | F.array_contains("languages", F.col("language"))
+    return known.withColumn("supported", F.coalesce(takes, F.lit(False))).drop("languages")
+
+
+def preferred(rows: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """rows, a dimension of distinct names, with `place`: the names of the order first, the others after them by name."""
+    at = F.array_position(F.array(*map(F.lit, order)), F.col(column))
+    place = F.row_number().over(Window.orderBy(F.when(at == 0, len(order) + 1).otherwise(at), column))
+    return rows.withColumn("place", place.cast("long"))
+
+
 def language_mix(clips: DataFrame) -> DataFrame:
     """clips (lang, size) -> n and size of each language, and the share of all clips."""
     by = clips.groupBy("lang").agg(F.count("*").alias("n"), F.sum("size").alias("size"))

@@ -134,6 +134,12 @@ def leaderboard(results: DataFrame, metric: str = "wer") -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.orderBy(key, "first_clip", "provider")).cast("long")).drop("first_clip")
 
 
+def leaderboard_rows(board: DataFrame, metric: str = "wer") -> DataFrame:
+    """A leaderboard as it is shown: minutes, latencies and the real-time factor to 3 places, costs and the metric to 4."""
+    places = {"audio_minutes": 3, "cost_usd": 4, metric: 4} | {c: 3 for c in ("rtf", "p50", "p95", "p99")}
+    return board.withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
 def winners(values: DataFrame) -> DataFrame:
     """Of (provider, metric, value): the best provider of each metric, ties by name. min_by keeps one candidate for each task."""
     spec = F.broadcast(dims.metrics(values.sparkSession).select("metric", "lower_is_better"))

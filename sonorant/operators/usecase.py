@@ -56,6 +56,11 @@ def scores(values: DataFrame, plan: DataFrame, by: list[str]) -> DataFrame:
     return held.select(*by, F.when(weight > 0, total / weight).otherwise(0.0).alias("score"), F.array_join(missing, ",").alias("missing"))
 
 
+def dataset_scores(rows: DataFrame) -> DataFrame:
+    """rows (provider, clip_id, score, lost: how many fields) -> each provider's clips, mean score and fields lost in all."""
+    return rows.groupBy("provider").agg(F.count("*").alias("clips"), F.avg("score").alias("score"), F.sum("lost").alias("lost"))
+
+
 def worst_clip(rows: DataFrame) -> DataFrame:
     """rows (provider, clip_id, score) -> each provider's clip of the least score, ties by clip."""
     return rows.groupBy("provider").agg(F.min_by("clip_id", F.struct("score", "clip_id")).alias("clip_id"), F.min("score").alias("score"))

@@ -182,3 +182,10 @@ SELECT utterance, words, round(CASE WHEN words >= 2 AND b - a > 0 THEN 60 * word
 def pauses_wpm(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = views.stream(spark, sf_dir).select("utterance", "seq", F.col("arrival").alias("start"), (F.col("arrival") + (F.col("seq") % 5) / F.lit(10.0)).alias("stop"))
     return rounded(latency.pauses(t), 4)
+
+
+@query(f"""WITH {RESULTS}, {TIMES}, {COUNTS}, {POOLED} SELECT provider, round(audio_minutes, 3) AS audio_minutes, round(rtf, 3) AS rtf, round(value, 4) AS wer, round(p50, 3) AS p50, round(p95, 3) AS p95, round(p99, 3) AS p99
+FROM counts LEFT JOIN (SELECT provider, value FROM pooled WHERE metric = 'wer') USING (provider) LEFT JOIN times USING (provider)""")
+def leaderboard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    board = ops.leaderboard_rows(ops.leaderboard(read(spark, sf_dir)))
+    return board.select("provider", "audio_minutes", "rtf", "wer", "p50", "p95", "p99")

@@ -11,6 +11,7 @@ from sonorant.queries.events import PLAN, RESULTS, plan, read
 from sonorant.queries.reading import EMISSIONS, emissions
 from sonorant.queries.registry import query, rounded
 from sonorant.sources import views
+from sonorant.streaming import latency
 
 JUDGED = ("semantic_match", "intent_entity")
 
@@ -289,6 +290,34 @@ def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "documents").groupBy(code.alias("code"), verdicts.bare_code(code).alias("bare")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH s AS (SELECT p_brand AS provider, list(DISTINCT p_type) FILTER (p_size <= 5 AND p_partkey % 4 <> 0) AS languages FROM part WHERE p_brand <> 'Brand#11' GROUP BY p_brand)
+SELECT DISTINCT p_brand AS provider, p_type AS language, coalesce(p_brand <> 'Brand#11' AND (languages IS NULL OR list_contains(languages, p_type)), false) AS supported FROM part LEFT JOIN s ON provider = p_brand""")
+def language_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One brand is not known; those without a small part name no language."""
+    p = views.table(spark, sf_dir, "part").select(F.col("p_brand").alias("provider"), F.col("p_type").alias("language"), ((F.col("p_size") <= 5) & (F.col("p_partkey") % 4 != 0)).alias("named"))
+    support = p.where("provider <> 'Brand#11'").groupBy("provider").agg(F.collect_set(F.when(F.col("named"), F.col("language"))).alias("languages"))
+    return dataset.supported(p.select("provider", "language").distinct(), support)
+
+
+@query("""WITH b AS (SELECT DISTINCT source AS provider FROM documents) SELECT provider, row_number() OVER (ORDER BY CASE provider WHEN 'web' THEN 1 WHEN 'books' THEN 2 ELSE 3 END, provider) AS place FROM b""")
+def provider_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.preferred(views.table(spark, sf_dir, "documents").select(F.col("source").alias("provider")).distinct(), "provider", ["web", "books"])
+
+
+@query("""SELECT user_id AS utterance, round(CASE WHEN user_id % 3 <> 0 AND sum(event_id % 5) > 0 THEN sum(value) / sum(event_id % 5) END, 6) AS rtf FROM events GROUP BY user_id""")
+def stream_real_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pacing = F.when(F.col("user_id") % 3 == 0, "realtime").otherwise("fast")
+    s = views.table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.col("event_id") % 5).alias("audio_seconds"), F.sum("value").alias("wall_seconds"))
+    return rounded(latency.real_time(s.select(F.col("user_id").alias("utterance"), pacing.alias("pacing"), "audio_seconds", "wall_seconds")).select("utterance", "rtf"))
+
+
+@query("""WITH c AS (SELECT l_returnflag AS provider, l_orderkey AS clip_id, avg((l_quantity > 10)::INT) AS score, count(*) FILTER (l_quantity <= 10) AS lost FROM lineitem GROUP BY ALL)
+SELECT provider, count(*) AS clips, round(avg(score), 6) AS score, sum(lost)::BIGINT AS lost FROM c GROUP BY provider""")
+def usecase_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("provider"), F.col("l_orderkey").alias("clip_id"))
+    return rounded(usecase.dataset_scores(by.agg(F.avg((F.col("l_quantity") > 10).cast("double")).alias("score"), F.count_if(F.col("l_quantity") <= 10).alias("lost"))))
+
+
 @query("SELECT page_id, sha1(html) AS content_id FROM pages")
 def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "pages").select("page_id", F.sha1("html").alias("content_id"))

@@ -25,6 +25,20 @@ def read_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason IS NULL").select("id", "text"), marked.where("reason IS NOT NULL").select("id", F.col("ordinal").alias("line"), "reason")
 
 
+#: The columns of the tables of assessments, any of which a file may be.
+ASSESSMENTS = (("human_level", "system_level"), ("level", "reference", "hypothesis"), ("expected", "heard"))
+
+
+def read_assessments(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV of assessments as the columns of its layout, all of them strings with null as empty; other columns are dropped."""
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    names = {c.replace("\ufeff", "").strip().lower(): c for c in raw.columns}
+    layout = next((a for a in ASSESSMENTS if set(a) <= names.keys()), None)
+    if layout is None:
+        raise ValueError("the table has the columns of no layout of assessments")
+    return raw.select(*(F.coalesce(F.col(f"`{names[c]}`"), F.lit("")).alias(c) for c in layout))
+
+
 def export_csv(tables: list[DataFrame], path: str) -> None:
     """Tables one under the other as CSV; columns are the union, in order of first appearance."""
     reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).write.mode("overwrite").option("header", True).csv(path)

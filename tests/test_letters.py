@@ -40,6 +40,17 @@ def test_a_closed_choice_takes_the_best_form_and_tells_what_is_missing(spark):
     assert acoustic.closed_set(spark.createDataFrame([], asked)).count() == 0
 
 
+def test_letters_decide_within_their_windows(spark):
+    # Tokens: blank, a, b, c. Two letters at frames 1 and 4; the second sounds like c, by its form of two tokens too.
+    frame = lambda best: [-0.1 if k == best else -5.0 for k in range(4)]
+    x = [frame(k) for k in (0, 1, 0, 0, 3, 0)]
+    letters = [("a", [("a", [1]), ("b", [2])]), ("b", [("b", [2]), ("b", [2, 1]), ("c", [3])])]
+    schema = "utt_id long, log_probs array<array<double>>, letters array<struct<expected string, candidates array<struct<name string, form array<int>>>>>"
+    rows = [(1, x, letters), (2, x[:1], letters), (3, x, [("z", [("z", None), ("a", [1])])]), (4, x, [])]
+    got = {(r.utt_id, r.place): (r.expected, r.best, round(r.margin, 6)) for r in acoustic.letter_decisions(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(1, 0): ("a", "a", 4.9), (1, 1): ("b", "c", -4.9)}
+
+
 def test_targets_without_a_delimiter_and_words_without_letters(spark):
     words = spark.createDataFrame([(1, 0, "ab"), (1, 1, "zz"), (1, 2, "a")], "u long, word int, text string")
     rows = lambda d: [(r.start, r.end, r.ids, r.unknown) for r in acoustic.target_rows(words, ["u"], {"a": 1, "b": 2, "|": 3}, d).orderBy("word").collect()]
@@ -71,3 +82,18 @@ def test_events_of_letters_follow_the_best_source(spark):
     want = [(1, "a", "a", 0.5, True, "letter_check"), (1, "b", "b", -0.5, False, "letter_check")]
     want += [(2, w, c, None, ok, "text") for w, c, ok in text] + [(2, "ab", "a", -2.0, False, "gop"), (2, "ab", "b", -1.0, True, "gop")]
     assert got == want
+
+
+def test_assessments_of_each_layout(spark, tmp_path):
+    import pytest
+
+    from sonorant.sources.truth import read_assessments
+
+    texts = {"levels": '\ufeffHuman_Level, system_level,note\n3,4,"a ""b"""\n,2,\n', "pairs": "heard,expected\nb,a\n", "asr": 'level,reference,hypothesis\n1,"one\ntwo",one\n', "other": "a,b\n1,2\n", "none": "expected,heard\n"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    rows = lambda name: [tuple(r) for r in read_assessments(spark, f"{tmp_path}/{name}.csv").collect()]
+    assert rows("levels") == [("3", "4"), ("", "2")]
+    assert rows("pairs") == [("a", "b")] and rows("asr") == [("1", "one\ntwo", "one")] and rows("none") == []
+    with pytest.raises(ValueError):
+        rows("other")
