@@ -118,6 +118,18 @@ def test_embedding_links_against_brute_force(spark):
     assert embeddings.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embedding_edge_cases(spark):
+    v = [1.0, 0.5] * 8
+    near = [*v[:-1], 0.51]
+    rows = [(1, v), (1, v), (2, near), (3, None), (4, [0.0] * 16), (5, [float("nan"), *v[1:]]), (6, [None, *v[1:]]), (7, v[:8]), (None, v), (8, []), (9, [float("inf"), *v[1:]]), (10, [-x for x in v])]
+    schema = "vec_id long, embedding array<double>, cid string, w string, cap string, key string, component_id string"
+    out = embeddings.link(spark.createDataFrame([(*r, *"abcde") for r in rows], schema))
+    assert out.columns == ["vec_id", "n_links", "component_id"]
+    alone = [(k, 0, k) for k in (3, 4, 5, 6, 7, 8, 9, 10)]
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([(1, 3, 1), (1, 3, 1), (2, 3, 1), (None, 3, 1), *alone], key=str)
+    assert embeddings.link(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_list_decoding_is_complete():
     rng = np.random.default_rng(4)
     x = embeddings.unit(rng.standard_normal((50, 64)))
