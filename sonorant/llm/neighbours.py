@@ -28,8 +28,8 @@ NEAREST, TABLES, MEAN, SEED = 20, 4, 256, 17
 SAMPLE, RECALL = 100, 0.97
 #: Members and queries of a bucket that one tile has.
 TILE = 1024
-#: Rows that a task works on at once.
-SLICE = 256
+#: Rows that a task works on at once; answers that it holds before it hands them on.
+SLICE, HELD = 256, 1 << 19
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -171,8 +171,22 @@ def groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(parts)
 
 
+def best_held(held: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """Of answers (qid, cid, least, same, score), each query's k nearest, each member once."""
+    qid, cid, least, same, score = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((cid, least, -score, qid))
+    q, c = qid[order], cid[order]
+    order = order[np.r_[True, (q[1:] != q[:-1]) | (c[1:] != c[:-1])]]
+    q = qid[order]
+    order = order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+    return qid[order], cid[order], least[order], same[order], score[order]
+
+
 def tile_neighbours(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """For each query of a tile (kind 1) its k nearest members (kind 0): qid, cid, least, same, score. One tile is held at a time."""
+    """For each query (kind 1) its k nearest of the members (kind 0) that share a tile of this task with it: qid, cid, least, same,
+    score. One tile and HELD answers are held at a time; a query's answers of several tiles are merged before the shuffle."""
+    held, n_held = [], 0
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["qid", "cid", "least", "same", "score"])
     for tile in groups(batches, ("size", "key", "x", "y")):
         kind = tile.column("kind").to_numpy()
         members, queries = (tile.take(pa.array(np.flatnonzero(kind == v))) for v in (0, 1))
@@ -186,7 +200,17 @@ def tile_neighbours(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Re
             n = np.array([len(at) for at, _ in found])
             at, row = np.concatenate([a for a, _ in found]), np.repeat(np.arange(lo, lo + len(n)), n)
             same = np.array([place.get(v, -1) for v in asked[lo : lo + SLICE]])[row - lo] == at
-            yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(cid[at]), pa.array(least[at]), pa.array(same), pa.array(np.nan_to_num(np.concatenate([s for _, s in found]), nan=-np.inf, posinf=np.inf, neginf=-np.inf))], ["qid", "cid", "least", "same", "score"])
+            held.append((qid[row], cid[at], least[at], same, np.nan_to_num(np.concatenate([s for _, s in found]), nan=-np.inf, posinf=np.inf, neginf=-np.inf)))
+            n_held += len(row)
+            if n_held > HELD:
+                held = [best_held(held, k)]
+                n_held = len(held[0][0])
+                if n_held > HELD // 2:
+                    yield out()
+                    held, n_held = [], 0
+    if held:
+        held = [best_held(held, k)]
+        yield out()
 
 
 def met(members: DataFrame, queries: DataFrame, k: int) -> DataFrame:
