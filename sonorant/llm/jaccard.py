@@ -309,13 +309,15 @@ def second_candidates(members: DataFrame, comps: DataFrame, classes: DataFrame)
     m = m.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(DEALT)).cast("int"))
     m = materialize(m.join(open_, ["token", "part"]).drop("part"), "open-members")
     shapes = classes.join(m.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("shape").alias("shape"))
-    m = m.join(shapes, "cls").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int"))
+    m = m.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int"))
     both = m.withColumn("upper", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") - F.col("upper"))
     tiles = both.groupBy("token", "band").agg(F.count("*").alias("c")).select("token", "band", F.ceil(F.col("c") / TILE).cast("int").alias("k"))
     tiles = tiles.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
     both = both.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(DEALT)).cast("int"))
     dealt = both.join(tiles, ["token", "band", "part"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("token", "band", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "cls", "n", "at", "root", "upper", "chunk", "shape")
+    dealt = dealt.select("token", "band", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "cls", "n", "at", "root", "upper", "chunk")
+    # Shapes join last: they are wide, and rows are dealt by narrow ones.
+    dealt = dealt.join(shapes, "cls")
 
     def compare(batches):
         token, band, x, y, cls, n, at, root, upper, chunk, shape = columns_of(batches, ["token", "band", "x", "y", "cls", "n", "at", "root", "upper", "chunk", "shape"])
@@ -401,7 +403,7 @@ def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "tokens"])
 
     sets = hashed.mapInArrow(read, "cls long, tokens binary")
-    return materialize(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "shingle-sets")
+    return sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
