@@ -19,20 +19,27 @@ def value(metric: str) -> Column:
     return F.try_element_at("metrics", F.lit(metric))["value"]
 
 
-def latest(results: DataFrame, keys: Sequence[str] = ("run_id", "clip_id", "provider"), version: str = "updated_at") -> DataFrame:
-    """The newest version of each key; versions of a key differ. The newest numbers are found by a hash aggregate over narrow
-    rows, combined before the shuffle, and the rows that have them are kept by a semi-join, so no row is sorted for its key."""
-    newest = results.groupBy(*(F.col(k).alias(f"k_{k}") for k in keys)).agg(F.max(version).alias("k_version"))
-    same = F.col(version) == F.col("k_version")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"k_{k}"))
-    return results.join(newest, same, "left_semi")
+def newness(rows: DataFrame, version: Sequence[str]) -> Column:
+    """What the newest row of a key is the largest in: the version columns, nulls oldest, then a hash of the row, so that rows of
+    one version have an order of their own, the same on every run."""
+    hashed = (F.map_entries(c) if t.startswith("map<") else F.col(c) for c, t in rows.dtypes)
+    return F.struct(*version, F.xxhash64(*hashed))
 
 
-def latest_run(runs: DataFrame) -> DataFrame:
+def latest(results: DataFrame, keys: Sequence[str] = ("run_id", "clip_id", "provider"), version: str | Sequence[str] = "updated_at") -> DataFrame:
+    """One row for each key: the newest version. A null version is the oldest; of rows that share a version one stays, so a row
+    that is written twice is read once. One scan and one aggregation that combines before the shuffle, so a key with many versions
+    costs a row for each task. Columns that aren't selected before are carried along."""
+    rest = [c for c in results.columns if c not in keys]
+    picked = results.groupBy(*keys).agg(F.max_by(F.struct(*rest), newness(results, [version] if isinstance(version, str) else version)).alias("r"))
+    return picked.select(*keys, "r.*").select(*results.columns)
+
+
+def latest_run(runs: DataFrame, version: str | Sequence[str] = "updated_at") -> DataFrame:
     """The newest attributes of each run, with the creation time that it first had."""
     rest = [c for c in runs.columns if c not in ("run_id", "created_at")]
-    return runs.groupBy("run_id").agg(F.max_by(F.struct(*rest), "updated_at").alias("r"), F.min("created_at").alias("created_at")).select("run_id", "created_at", "r.*")
+    picked = runs.groupBy("run_id").agg(F.max_by(F.struct(*rest), newness(runs, [version] if isinstance(version, str) else version)).alias("r"), F.min("created_at").alias("created_at"))
+    return picked.select("run_id", "created_at", "r.*")
 
 
 def complete(required: Sequence[str]) -> Column:
