@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sonorant.operators import results as ops
 from sonorant.queries.registry import query, rounded
 from sonorant.sources import views
-from sonorant.streaming import latency
+from sonorant.streaming import latency, utterances
 
 RESULTS = """raw AS (
   SELECT event_id, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
@@ -170,6 +170,16 @@ def stream_latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(latency.summary(views.stream(spark, sf_dir)), 4)
 
 
+@query(f"""WITH {STREAM}, p AS (SELECT utterance, list_sort(list(latency))[CAST(greatest(1, least(count(*), round_even(0.95 * count(*) + 0.5, 0))) AS INT)] AS final_p95,
+  string_agg(text, ' ' ORDER BY arrival, seq) AS transcript FROM e WHERE is_final GROUP BY utterance)
+SELECT utterance, count(*) FILTER (NOT is_final) AS partials, count(*) FILTER (is_final) AS finals, round(min(arrival) FILTER (NOT is_final), 4) AS first_partial,
+  round(median(latency) FILTER (NOT is_final), 4) AS partial_median, round(median(latency) FILTER (is_final), 4) AS final_median, round(any_value(final_p95), 4) AS final_p95, any_value(transcript) AS transcript
+FROM e LEFT JOIN p USING (utterance) GROUP BY utterance""")
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events replayed through keyed state in several micro-batches, late and repeated ones among them."""
+    return rounded(utterances.replayed(spark, views.stream(spark, sf_dir)).drop("closed"), 4)
+
+
 @query(f"WITH {STREAM} SELECT utterance, string_agg(text, ' ' ORDER BY arrival, seq) AS transcript FROM e WHERE is_final GROUP BY utterance")
 def transcript_from_finals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latency.transcripts(views.stream(spark, sf_dir))

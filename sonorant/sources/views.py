@@ -56,9 +56,9 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """utterance, seq, arrival, audio_end, is_final, text: a transcription stream from events."""
+    """utterance, seq, arrival, audio_end, is_final, text, ts: a transcription stream from events."""
     e = table(spark, sf_dir, "events").withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
     begun = e.groupBy("user_id").agg(F.min("micros").alias("begun"))
     end = F.col("arrival") - F.col("value") / 100 + F.when(F.col("event_id") % 10 == 0, 10.0).otherwise(0.0)
     out = e.join(begun, "user_id").withColumn("arrival", (F.col("micros") - F.col("begun")) / 1e6).withColumn("audio_end", end)
-    return out.select(F.col("user_id").alias("utterance"), F.col("event_id").alias("seq"), "arrival", "audio_end", F.col("event_type").isin("purchase", "signup").alias("is_final"), F.concat(F.lit("w"), (F.col("event_id") % 50).cast("string")).alias("text"))
+    return out.select(F.col("user_id").alias("utterance"), F.col("event_id").alias("seq"), "arrival", "audio_end", F.col("event_type").isin("purchase", "signup").alias("is_final"), F.concat(F.lit("w"), (F.col("event_id") % 50).cast("string")).alias("text"), F.timestamp_micros("micros").alias("ts"))
