@@ -4,25 +4,28 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonorant.operators.dataset import accepted_rows
 
 
 def read_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted rows id, text; rejected rows id, line, reason) of a CSV with a header that has `id` and `text` or
-    `transcript`, in any case and with spaces around. Ids are reduced to file stems; lines count records from 2."""
+    """(accepted rows id, text; rejected rows id, file, line, reason) of a CSV, or a folder of them, with a header that has `id` and
+    `text` or `transcript`, in any case and with spaces around. Ids are reduced to file stems; lines count a file's records from 2,
+    and of rows that share an id the first one in the order of files and lines is accepted."""
     raw = spark.read.option("header", True).option("multiLine", True).option("ignoreLeadingWhiteSpace", True).csv(path)
     names = {c.replace("\ufeff", "").strip().lower(): c for c in raw.columns}
     text = names.get("text", names.get("transcript"))
     if "id" not in names or text is None:
         raise ValueError("the table needs the columns id and text (or transcript)")
     stem = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(f"`{names['id']}`"), F.lit("")), r"^.*[/\\]", ""), r"(?<=.)\.[^.]*$", ""))
-    # One record is one row in file order: the ordinal is made where the file is read.
-    rows = raw.select(stem.alias("id"), F.trim(F.col(f"`{text}`")).alias("text"), (F.monotonically_increasing_id() + 2).alias("ordinal"))
+    # A file that may have breaks in its fields is read by one task, in order; its rows are numbered from the first of them.
+    rows = raw.select(stem.alias("id"), F.trim(F.col(f"`{text}`")).alias("text"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    line = F.col("at") - F.min("at").over(Window.partitionBy("file")) + 2
+    rows = rows.select("id", "text", F.struct(F.col("file"), line.alias("line")).alias("ordinal"))
     marked = accepted_rows(rows)
-    return marked.where("reason IS NULL").select("id", "text"), marked.where("reason IS NOT NULL").select("id", F.col("ordinal").alias("line"), "reason")
+    return marked.where("reason IS NULL").select("id", "text"), marked.where("reason IS NOT NULL").select("id", "ordinal.file", "ordinal.line", "reason")
 
 
 #: The columns of the tables of assessments, any of which a file may be.

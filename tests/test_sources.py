@@ -17,6 +17,15 @@ def test_truth_table(spark, tmp_path):
         truth.read_truth(spark, str(tmp_path / "u.csv"))
 
 
+def test_lines_of_several_files(spark, tmp_path):
+    for name, rows in (("a", "x,\ny,yes\nz,\"two\nlines\"\n,none\n"), ("b", "y,again\nw,\nv,ok\nz,again\n"), ("c", "w,late\nx,\n")):
+        (tmp_path / f"{name}.csv").write_text("id,text\n" + rows)
+    good, bad = truth.read_truth(spark, str(tmp_path))
+    assert sorted(r.id for r in good.collect()) == ["v", "w", "y", "z"]
+    got = sorted((r.file[-5:], r.line, r.reason) for r in bad.collect())
+    assert got == [("a.csv", 2, "empty_text"), ("a.csv", 5, "empty_id"), ("b.csv", 2, "duplicate_id"), ("b.csv", 3, "empty_text"), ("b.csv", 5, "duplicate_id"), ("c.csv", 3, "empty_text")]
+
+
 def test_export_has_all_columns(spark, tmp_path):
     a, b = spark.createDataFrame([(1, "x")], "a int, b string"), spark.createDataFrame([(2, 3.0)], "a int, c double")
     truth.export_csv([a, b], str(tmp_path / "out"))
