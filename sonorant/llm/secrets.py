@@ -47,21 +47,46 @@ def let(x: Column, body) -> Column:
     return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
+#: Matches of a text whose places are summed up in one fold; an array that grows is copied with each match of its block only.
+BLOCK = 256
+
+
+def places(parts: Column) -> Column:
+    """parts, an array of struct(gap, m, n): the pieces of a text by their lengths in order -> array<struct<start, stop, n>>. Running
+    sums block by block, then over the blocks: a text of many matches costs what they are, not their square."""
+    rows = F.expr("filter(array(named_struct('start', 0, 'stop', 0, 'n', 0)), x -> false)")
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + x["gap"]
+        return F.struct((start + x["m"]).alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), (start + x["m"]).alias("stop"), x["n"].alias("n")))).alias("out"))
+
+    def joined(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        before = F.aggregate(blocks, start, lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        shifted = lambda x, at: F.transform(x["out"], lambda y: F.struct((y["start"] + at).alias("start"), (y["stop"] + at).alias("stop"), y["n"].alias("n")))
+        return F.flatten(F.zip_with(blocks, before, shifted))
+
+    def blocks(p: Column) -> Column:
+        last = F.floor((F.size(p) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(p, k * BLOCK + 1, BLOCK), F.struct(F.lit(0).alias("at"), rows.alias("out")), step))
+
+    return let(let(parts, blocks), joined)
+
+
 def spans(text: Column, rule: Rule, rank: int) -> Column:
     """array<struct<start, rank, stop, kind, tag>> of a rule's matches in code points, stop exclusive. Matches and the pieces
     between them alternate, so running sums of their lengths give the places."""
 
-    def places(found: Column) -> Column:
+    def placed(found: Column) -> Column:
         pieces = F.split(text, rule.pattern, -1)
         tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-        parts = F.arrays_zip(found.alias("m"), tested.alias("g"), F.transform(F.slice(pieces, 1, F.size(found)), F.length).alias("gap"))
-        row = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (at + x["gap"] + F.length(x["m"])).alias("stop"), F.lit(rule.kind).alias("kind"), F.lit(rule.tag).alias("tag"), F.length(x["g"]).alias("n"))
-        start = F.struct(F.lit(0).alias("at"), F.expr("filter(array(named_struct('start', 0, 'rank', 0, 'stop', 0, 'kind', '', 'tag', '', 'n', 0)), x -> false)").alias("out"))
-        all_ = F.aggregate(parts, start, lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(row(a["at"], x))).alias("out")), lambda a: a["out"])
-        return F.transform(F.filter(all_, lambda x: x["n"] >= rule.least), lambda x: F.struct(x["start"], x["rank"], x["stop"], x["kind"], x["tag"]))
+        lengths = lambda c: F.transform(c, F.length)
+        parts = F.arrays_zip(lengths(F.slice(pieces, 1, F.size(found))).alias("gap"), lengths(found).alias("m"), lengths(tested).alias("n"))
+        row = lambda x: F.struct(x["start"], F.lit(rank).alias("rank"), x["stop"], F.lit(rule.kind).alias("kind"), F.lit(rule.tag).alias("tag"))
+        return F.transform(F.filter(places(parts), lambda x: x["n"] >= rule.least), row)
 
     none = F.expr(NO_FINDING)
-    return let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, none).otherwise(places(m)))
+    return let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, none).otherwise(placed(m)))
 
 
 def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -69,7 +94,8 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataF
     of struct(start, rank, stop, kind) sorted by start, then by the rules' order. `ledger` is a folder in shared storage; what
     it lacks is scanned and appended to it, and a rule counts as seen in its version only.
 
-    Null texts are empty; repeated rows are paths of one blob; an empty table gives an empty table and leaves the ledger."""
+    Null texts are empty; texts of any length are scanned whole, in time that follows their matches; matches of equal start come in
+    the rules' order; repeated rows are paths of one blob; an empty table gives an empty table and leaves the ledger."""
     spark = docs.sparkSession
     tags = [r.tag for r in rules]
     paths = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"))

@@ -210,3 +210,19 @@ def test_license_phrases_and_templates(spark, edge, empty):
 
 def test_base_hash_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_a_text_of_very_many_secrets_takes_time_by_its_matches(spark, tmp_path):
+    import time
+
+    from sonorant.llm import secrets
+
+    took = []
+    for n in (1000, 100_000):
+        text = "é token=abcdefgh " * n
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        t = time.time()
+        found = secrets.scan(docs, str(tmp_path / f"ledger-{n}")).first().findings
+        took.append(time.time() - t)
+        assert [(x.start, x.stop) for x in found] == [(2 + 17 * k, 16 + 17 * k) for k in range(n)]
+    assert took[1] - took[0] < 20
