@@ -46,16 +46,27 @@ def targets(sources: list[Source], most: int = MOST) -> list[float]:
     return out
 
 
-#: Units that the generator can draw among.
-MOST_UNITS = 10**9 - 1
+#: Standard deviations from the mode beyond which chances vanish in double precision.
+REACH = 12
+
+
+def hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of n draws without replacement are good, for counts of any size: inversion over the chances relative to the mode's,
+    by their ratios, as far from it as they count. Arrays are as long as some standard deviations."""
+    low, high, total = max(0, n - bad), min(good, n), good + bad
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    spread = int(REACH * (n * (good / total) * (bad / total) * ((total - n) / max(total - 1, 1))) ** 0.5) + 40
+    up, down = np.arange(mode, min(high, mode + spread), dtype=np.float64), np.arange(mode, max(low, mode - spread), -1, dtype=np.float64)
+    above = np.cumprod((good - up) * (n - up) / ((up + 1) * (bad - n + up + 1)))
+    below = np.cumprod(down * (bad - n + down) / ((good - down + 1) * (n - down + 1)))
+    chances = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    at = int(np.searchsorted(chances, rng.random() * chances[-1], "right"))
+    return min(mode - len(below) + at, high)
 
 
 def cuts_of(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """(shards, sources): draws of each source before each shard ends. More draws than the generator can tell apart are dealt in
-    units of equal numbers of draws, so the law stays exact; a source's last unit may be smaller."""
-    unit = -(-int(quotas.sum()) // (MOST_UNITS - len(quotas))) if len(quotas) else 1
-    units = -(-quotas // max(unit, 1))
-    return np.minimum(np.cumsum(split(units, shards, rng), axis=0) * max(unit, 1), quotas)
+    """(shards, sources): draws of each source before each shard ends."""
+    return np.cumsum(split(quotas, shards, rng), axis=0)
 
 
 def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -67,7 +78,7 @@ def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarr
     got = np.zeros_like(quotas)
     rest, need = total, take
     for k, q in enumerate(map(int, quotas)):  # the multivariate draw, one margin at a time
-        got[k] = rng.hypergeometric(q, rest - q, need) if need and q else 0
+        got[k] = hypergeometric(q, rest - q, need, rng) if need and q else 0
         rest, need = rest - q, need - int(got[k])
     return np.vstack([split(got, left, rng), split(quotas - got, shards - left, rng)])
 

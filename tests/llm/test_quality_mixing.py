@@ -45,15 +45,28 @@ def test_splitting_tree_is_exact():
     assert (out.sum(0) == quotas).all() and (out >= 0).all() and np.ptp(out.sum(1)) <= 1
 
 
-def test_units_keep_the_quotas():
-    quotas = np.array([4 * 10**9 + 7, 3, 10**12, 0])
+def test_large_quotas_are_dealt_draw_by_draw():
+    quotas = np.array([4 * 10**10 + 7, 3, 10**12, 0])
     cuts = mixing.cuts_of(quotas, 8, np.random.default_rng(1))
     assert (cuts[-1] == quotas).all() and (np.diff(cuts, axis=0) >= 0).all()
     share = np.diff(np.vstack([np.zeros(4, np.int64), cuts]), axis=0).sum(1)
-    assert np.ptp(share) < 1e-4 * share.mean()
+    assert np.ptp(share) <= 1
     assert mixing.cuts_of(np.array([9, 4]), 2, np.random.default_rng(1))[-1].tolist() == [9, 4]
 
 
+def test_draws_follow_the_law():
+    from math import comb
+
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((7, 5, 6), (1, 30, 4), (20, 3, 21), (4, 0, 2), (5, 9, 14)):
+        got = Counter(mixing.hypergeometric(good, bad, n, rng) for _ in range(20_000))
+        want = {k: comb(good, k) * comb(bad, n - k) / comb(good + bad, n) for k in range(max(0, n - bad), min(good, n) + 1)}
+        assert set(got) <= set(want) and all(abs(got[k] / 20_000 - p) < 0.015 for k, p in want.items())
+    good, bad, n = 10**11, 3 * 10**11, 10**11
+    z = np.array([mixing.hypergeometric(good, bad, n, rng) - n / 4 for _ in range(200)]) / (n * 0.25 * 0.75 * 0.75) ** 0.5
+    assert abs(z.mean()) < 0.3 and 0.8 < z.std() < 1.2 and len({round(x, 9) for x in z}) == 200
+
+
 def test_permutations_of_large_sources_stay_within_a_long():
     row = mixing.plan([mixing.Source("a", 10**13, 10**9)], 256, 4, 1, 3)[0]
     n, a, c = row[3], row[6], row[7]
