@@ -118,6 +118,13 @@ def traced(rows: DataFrame, text: str, language: str, codes: Sequence[str] | Non
     return out.withColumns({"normalized": F.col(state[-1]), "trace": changed}).drop(*state)
 
 
-def firings(traces: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def entries(traces: DataFrame, *keys: str) -> DataFrame:
+    """keys, rule, before, after: a row for each entry of traced rows. An inner explode would push a filter on the trace's size
+    down through the stages, each of which it would then compute many times over; an outer one has nothing to push."""
+    steps = traces.select(*keys, F.explode_outer("trace").alias("__step"))
+    return steps.where("__step IS NOT NULL").select(*keys, "__step.*")
+
+
+def firings(traces: DataFrame, *by: str) -> DataFrame:
     """Of traced rows: how many rows each rule changed."""
-    return traces.select(*by, F.explode("trace.rule").alias("rule")).groupBy(*by, "rule").agg(F.count("*").alias("rows"))
+    return entries(traces, *by).groupBy(*by, "rule").agg(F.count("*").alias("rows"))

@@ -69,8 +69,8 @@ def normalized_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {READINGS}, {STAGES} SELECT doc_id, s.rule AS rule, md5(s.old) AS before_md5, md5(s.new) AS after_md5 FROM steps WHERE s.old <> s.new")
 def rule_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each rule that changed a reading, with the texts before and after it as hashes."""
-    steps = traces(spark, sf_dir).select("doc_id", F.explode("trace").alias("s"))
-    return steps.select("doc_id", "s.rule", F.md5("s.before").alias("before_md5"), F.md5("s.after").alias("after_md5"))
+    steps = rulebooks.entries(traces(spark, sf_dir), "doc_id")
+    return steps.select("doc_id", "rule", F.md5("before").alias("before_md5"), F.md5("after").alias("after_md5"))
 
 
 @query(f"WITH {READINGS}, {STAGES} SELECT s.rule AS rule, count(*) AS rows FROM steps WHERE s.old <> s.new GROUP BY s.rule")

@@ -63,3 +63,8 @@ def test_books_and_their_neutral_rules(spark):
 def test_every_rule_fires_over_the_tables(spark):
     fired = {r.rule: r.rows for r in QUERIES["rule_firings"](spark, SF).collect()}
     assert set(fired) == {i for b in rulebooks.BOOKS.values() for i in b.ids()} and min(fired.values()) > 0
+
+
+def test_stages_stay_apart_in_the_plan(spark):
+    plan = QUERIES["rule_trace"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000
