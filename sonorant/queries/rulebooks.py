@@ -28,13 +28,15 @@ _tokens = "|".join(sorted([*dv.CONSONANTS, *dv.VOWELS], key=len, reverse=True))
 READINGS = f"""raw AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'hi' WHEN 1 THEN 'mr' ELSE 'xx' END AS code,
   list_extract([{", ".join(f"'{o}'" for o in OPENINGS)}], (doc_id % {len(OPENINGS)})::INT + 1) || ' ' || array_to_string(list_transform(string_split(coalesce(text, ''), ' '), lambda w, i: CASE WHEN i % 3 = 1 THEN w ELSE translate(w, '{PLAIN}', '{SCRIPT}') END), ' ') AS text FROM documents)"""
 
-# In the tables no consonant stands four times in a row, so the two before it tell whether it is joined to the one before.
+# Of a run of one consonant every second one is joined to the one before it.
 STAGES = f"""s1 AS (SELECT *, nfc_normalize(text) AS t1 FROM raw),
 tok AS (SELECT doc_id, lower(u.tok) AS tok, u.raw AS raw, u.i AS i FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(t1, '(?is){_tokens}|[^A-Za-z]'), lambda x, i: struct_pack(tok := x, raw := x, i := i))) AS u FROM s1 WHERE code <> 'xx')),
 mapped AS (SELECT *, {_map(dv.CONSONANTS.items())}[tok] AS c, {_map((k, v[0]) for k, v in dv.VOWELS.items())}[tok] AS letter, {_map((k, v[1] or "-") for k, v in dv.VOWELS.items())}[tok] AS sign FROM tok),
-near AS (SELECT *, lag(c) OVER w AS c1, lag(c, 2) OVER w AS c2, lag(coalesce(c, letter), 2) OVER w AS any2, lead(coalesce(c, letter)) OVER w AS next FROM mapped WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-spelt AS (SELECT doc_id, string_agg(CASE WHEN c IS NOT NULL THEN CASE WHEN c = c1 AND c IS DISTINCT FROM c2 THEN '{dv.VIRAMA}' ELSE '' END || c
-    WHEN letter IS NULL THEN raw WHEN c1 IS NULL THEN letter WHEN tok = 'a' AND next IS NULL AND any2 IS NOT NULL THEN 'ा' ELSE replace(sign, '-', '') END, '' ORDER BY i) AS t2 FROM near GROUP BY doc_id),
+near AS (SELECT *, lag(c) OVER w AS c1, lag(coalesce(c, letter), 2) OVER w AS any2, lead(coalesce(c, letter)) OVER w AS next FROM mapped WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT *, sum((c IS DISTINCT FROM c1)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM near),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS k FROM runs),
+spelt AS (SELECT doc_id, string_agg(CASE WHEN c IS NOT NULL THEN CASE WHEN k % 2 = 0 THEN '{dv.VIRAMA}' ELSE '' END || c
+    WHEN letter IS NULL THEN raw WHEN c1 IS NULL THEN letter WHEN tok = 'a' AND next IS NULL AND any2 IS NOT NULL THEN 'ा' ELSE replace(sign, '-', '') END, '' ORDER BY i) AS t2 FROM placed GROUP BY doc_id),
 s2 AS (SELECT s1.*, coalesce(t2, t1) AS t2 FROM s1 LEFT JOIN spelt USING (doc_id)),
 s3 AS (SELECT *, CASE WHEN code = 'xx' THEN t2 ELSE translate(t2, '०१२३४५६७८९', '0123456789') END AS t3 FROM s2),
 s4 AS (SELECT *, CASE WHEN code = 'xx' THEN trim(regexp_replace(translate(t3, '{rulebooks.PLAIN_INVISIBLE}', ''), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g'))
