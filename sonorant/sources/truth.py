@@ -28,6 +28,38 @@ def read_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason IS NULL").select("id", "text"), marked.where("reason IS NOT NULL").select("id", "ordinal.file", "ordinal.line", "reason")
 
 
+#: A record of a CSV, breaks within quotes included, and a field with the comma before it and its quotes. Possessive: linear, without recursion.
+RECORD = r'((?:[^"\r\n]++|"[^"]*+(?:""[^"]*+)*+")++)'
+FIELD = r',((?:[^,"]++|"[^"]*+(?:""[^"]*+)*+")*+)'
+
+
+def read_truth_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """As `read_truth`, for a folder whose files differ in encoding, in the order of their columns or in their health. A file is UTF-8,
+    with or without a mark, where its bytes are valid; any other is read as latin-1 and noted (reason `latin-1`, no line). A file
+    without a record (`empty`) or without the columns (`no_columns`) is noted too and gives no row; the rest of the folder is
+    read. Lines count records from 2, blank ones left out. A file is held whole, which binary scans allow to 2 GB."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "content")
+    plain = F.col("content").cast("string")
+    valid = F.is_valid_utf8(plain)
+    text = F.regexp_replace(F.when(valid, plain).otherwise(F.decode("content", "ISO-8859-1")), "^\ufeff", "")
+    unquoted = lambda f: F.trim(F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
+    fields = lambda record: F.transform(F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(FIELD)), unquoted)
+    files = raw.select("file", valid.alias("valid"), F.regexp_extract_all(text, F.lit(RECORD)).alias("records"))
+    names = F.transform(fields(F.get("records", F.lit(0))), F.lower)
+    at = lambda n: F.array_position("names", n).cast("int")
+    files = files.withColumn("names", F.coalesce(names, F.array().cast("array<string>")))
+    files = files.withColumns({"id_at": at("id"), "text_at": F.coalesce(F.nullif(at("text"), F.lit(0)), at("transcript"))})
+    whole = (F.col("id_at") > 0) & (F.col("text_at") > 0)
+    told = F.filter(F.array(F.when(~F.col("valid"), "latin-1"), F.when(F.size("records") == 0, "empty").when(~whole, "no_columns")), lambda r: r.isNotNull())
+    notes = files.select(F.lit(None).cast("string").alias("id"), "file", F.lit(None).cast("long").alias("line"), F.explode(told).alias("reason"))
+    rows = files.where(whole).select("file", "id_at", "text_at", F.posexplode("records").alias("k", "record")).where("k > 0")
+    part = lambda c: F.coalesce(F.get(fields(F.col("record")), F.col(c) - 1), F.lit(""))
+    stem = F.trim(F.regexp_replace(F.regexp_replace(part("id_at"), r"^.*[/\\]", ""), r"(?<=.)\.[^.]*$", ""))
+    marked = accepted_rows(rows.select(stem.alias("id"), part("text_at").alias("text"), F.struct("file", (F.col("k") + 1).cast("long").alias("line")).alias("ordinal")))
+    bad = marked.where("reason IS NOT NULL").select("id", "ordinal.file", "ordinal.line", "reason")
+    return marked.where("reason IS NULL").select("id", "text"), bad.unionByName(notes)
+
+
 #: The columns of the tables of assessments, any of which a file may be.
 ASSESSMENTS = (("human_level", "system_level"), ("level", "reference", "hypothesis"), ("expected", "heard"))
 
