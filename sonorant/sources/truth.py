@@ -37,7 +37,7 @@ def read_truth_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     """As `read_truth`, for a folder whose files differ in encoding, in the order of their columns or in their health. A file is UTF-8,
     with or without a mark, where its bytes are valid; any other is read as latin-1 and noted (reason `latin-1`, no line). A file
     without a record (`empty`) or without the columns (`no_columns`) is noted too and gives no row; the rest of the folder is
-    read. Lines count records from 2, blank ones left out. A file is held whole, which binary scans allow to 2 GB."""
+    read; Spark's scans pass over files of no bytes. Lines count records from 2, blank ones left out. A file is held whole, which binary scans allow to 2 GB."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "content")
     plain = F.col("content").cast("string")
     valid = F.is_valid_utf8(plain)

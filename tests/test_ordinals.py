@@ -29,7 +29,7 @@ def test_no_window_over_the_rows(spark):
 def test_a_folder_of_both_encodings(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿id,text\r\nx.wav,café\r\n\r\ny,\"two\r\nlines, \"\"so\"\"\"\r\n".encode())
     (tmp_path / "b.csv").write_bytes(" Transcript , ID,more\nnaïve,z,1\n,w\nlater,dir/x.mp3\n".encode("latin-1"))
-    (tmp_path / "c.csv").write_bytes(b"")
+    (tmp_path / "c.csv").write_bytes(b"\n\n")
     (tmp_path / "d.csv").write_bytes(b"name,text\nq,r\n")
     good, bad = truth.read_truth_files(spark, str(tmp_path))
     assert sorted(map(tuple, good.collect())) == [("x", "café"), ("y", 'two\r\nlines, "so"'), ("z", "naïve")]
