@@ -5,11 +5,13 @@ assessment does not count. A new language is one entry of `BOOKS`."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,18 @@ def in_devanagari(text: Column) -> Column:
     return F.pandas_udf(run, "string")(text)
 
 
+def _composed_and_spelt(texts: pa.Array) -> pa.Array:
+    spelt = lru_cache(65_536)(dv.from_latin)
+    first = [unicodedata.normalize("NFC", t.as_py()) if t.is_valid else None for t in texts]
+    first, second = pa.array(first, pa.string()), pa.array([t if t is None else dv.LATIN.sub(lambda m: spelt(m[0]), t) for t in first], pa.string())
+    return pa.StructArray.from_arrays([first, second], ["composed", "spelt"])
+
+
+def composed_and_spelt(text: Column) -> Column:
+    """struct(composed, spelt): what `composed` makes of a text and `in_devanagari` of that, by one call of Python."""
+    return F.arrow_udf(_composed_and_spelt, "composed string, spelt string")(text)
+
+
 #: The characters without a sound that the plain rulebook drops.
 PLAIN_INVISIBLE = "\u200c\u200d\u200b\ufeff"
 
@@ -103,6 +117,12 @@ def traced(rows: DataFrame, text: str, language: str, codes: Sequence[str] | Non
     state = [f"__stage{k}" for k in range(len(numbers) + 1)]
     out = rows.withColumn(state[0], F.coalesce(F.col(text), F.lit("")))
     code, steps = F.coalesce(F.col(language), F.lit("")), []
+    # The rules that need Python come first where a book has them both, so one call serves both stages.
+    leads = lambda b: [r.apply for r in b.rules[:2]] == [composed, in_devanagari] and (not neutral or all(r.neutral for r in b.rules[:2]))
+    joint: dict[Callable, Column] = {}
+    if any(map(leads, used)):
+        out = out.withColumn("__lead", composed_and_spelt(F.col(state[0])))
+        joint = {composed: F.col("__lead.composed"), in_devanagari: F.col("__lead.spelt")}
     for before, after, number in zip(state, state[1:], numbers, strict=False):
         shared: dict[Callable, list[Rulebook]] = {}
         for b in used:
@@ -110,12 +130,13 @@ def traced(rows: DataFrame, text: str, language: str, codes: Sequence[str] | Non
                 if r.number == number and (r.neutral or not neutral):
                     shared.setdefault(r.apply, []).append(b)
         pick = lambda bs: code.isin([b.code for b in bs])
-        result = reduce(lambda c, kv: c.when(pick(kv[1]), kv[0](F.col(before))), shared.items(), F.when(F.lit(False), F.col(before)))
+        made = lambda f, bs: joint[f] if f in joint and all(leads(b) or (f is composed and b.rules[0].apply is f) for b in bs) else f(F.col(before))
+        result = reduce(lambda c, kv: c.when(pick(kv[1]), made(*kv)), shared.items(), F.when(F.lit(False), F.col(before)))
         rule = F.concat(F.upper(code), F.lit(f"-{number:02d}"))
         out = out.withColumn(after, result.otherwise(F.col(before)))
         steps.append(F.struct(rule.alias("rule"), F.col(before).alias("before"), F.col(after).alias("after")))
     changed = F.filter(F.array(*steps), lambda s: s["before"] != s["after"])
-    return out.withColumns({"normalized": F.col(state[-1]), "trace": changed}).drop(*state)
+    return out.withColumns({"normalized": F.col(state[-1]), "trace": changed}).drop(*state, "__lead")
 
 
 def entries(traces: DataFrame, *keys: str) -> DataFrame:
