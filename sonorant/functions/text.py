@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sonorant.functions.align import distance
+from sonorant.functions import batched
 
 
 def let(x: Column, body) -> Column:
@@ -42,7 +43,7 @@ def characters(normalized: Column) -> Column:
 
 
 def _distances(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-    return pa.array([distance(r.as_py(), h.as_py()) if r.is_valid and h.is_valid else None for r, h in zip(ref, hyp, strict=True)], pa.int64())
+    return pa.array(batched.distances(ref, hyp), mask=~(pc.is_valid(ref).to_numpy(zero_copy_only=False) & pc.is_valid(hyp).to_numpy(zero_copy_only=False)))
 
 
 def edit_count(ref: Column, hyp: Column) -> Column:
