@@ -6,15 +6,20 @@ exceeds CAP; because the product splits into the halves, the caps are listed by
 directions. Vectors join on the caps that they share, and each pair is verified in double precision, in the first cap that it
 shares only, so it counts once.
 
+The number of directions grows with the number of vectors, and caps get higher, so that the pairs compared grow by about the
+power 1.5 of the vectors, not by their square.
+
 Expected recall: a cap of height 3 / sqrt(d) takes 0.00135 of the sphere, and two vectors at cosine 0.9 share one with
 probability 0.0007 or more; over 128 * 128 caps that is 11 shared caps on average, and more for closer pairs. Products with
 two codewords vary more than with one random direction, so some vectors exceed few or no caps; such a vector lowers its own
-height to that of its FEWEST best caps. Close vectors have close heights and still meet."""
+height to that of its `fewest` best caps. Close vectors have close heights and still meet. Among higher caps close vectors share a
+smaller part of theirs, so each takes more of them."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +29,9 @@ from pyspark.sql import functions as F
 from sonorant.llm.common import materialize, n_partitions, read_table
 from sonorant.llm.components import components
 
-COSINE, SIZE, HEIGHT, FEWEST, SEED = 0.9, 128, 3.0, 32, 11
+COSINE, SIZE, SIZED_FOR, HEIGHT, FEWEST, SEED = 0.9, 128, 2000, 3.0, 32, 11
+#: Sums of two products that are tried at a time.
+DECODED = 1 << 22
 #: Vectors of a cap that one task compares with one another.
 TILE = 1024
 
@@ -40,22 +47,45 @@ def codes(d: int, size: int = SIZE, seed: int = SEED) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def caps(x: np.ndarray, size: int = SIZE, height: float = HEIGHT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def code_size(n: int) -> int:
+    """Codewords in each code for n vectors: directions grow as n to 0.8."""
+    return max(SIZE, round(SIZE * (n / SIZED_FOR) ** 0.4))
+
+
+def fewest(size: int) -> int:
+    """Caps that a vector takes at least: more where directions are many, as close vectors then share fewer of their best ones."""
+    return FEWEST + round(FEWEST / 3 * np.log2(size / SIZE)) if size > SIZE else FEWEST
+
+
+def height(size: int) -> float:
+    """How many spreads high a cap of size * size directions is: HEIGHT for SIZE, then so that the mean number of caps of a vector
+    keeps its proportion to the fewest."""
+    if size <= SIZE:
+        return HEIGHT
+    beyond = NormalDist().cdf(-HEIGHT) * (SIZE / size) ** 2 * fewest(size) / FEWEST
+    return -NormalDist().inv_cdf(beyond)
+
+
+def caps(x: np.ndarray, size: int = SIZE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(row, cap) of all caps that hold the unit rows of x: list decoding. A vector's products with the first code are taken
     while they and its best product with the second code still reach the height."""
-    d = x.shape[1]
+    d, few = x.shape[1], fewest(size)
     first, second = codes(d, size, seed)
     # Directions are (c1, c2) / sqrt(2); the inner product has a spread of 1 / sqrt(d).
-    least = min(height / np.sqrt(d), 0.8) * np.sqrt(2)
+    least = min(height(size) / np.sqrt(d), 0.8) * np.sqrt(2)
     a, b = x[:, : d // 2] @ first, x[:, d // 2 :] @ second
     # The best sums come from the best products of each half.
-    best = [-np.sort(-v, 1)[:, :FEWEST] for v in (a, b)]
+    best = [-np.sort(-np.partition(v, size - few, 1)[:, -few:], 1) for v in (a, b)]
     sums = (best[0][:, :, None] + best[1][:, None, :]).reshape(len(x), -1)
-    least = np.minimum(least, -np.partition(-sums, FEWEST - 1, 1)[:, FEWEST - 1])[:, None] - 1e-12
+    least = np.minimum(least, -np.partition(-sums, few - 1, 1)[:, few - 1])[:, None] - 1e-12
     row, i = np.nonzero(a + b.max(1, keepdims=True) >= least)
-    fits = a[row, i][:, None] + b[row] >= least[row]
-    k, j = np.nonzero(fits)
-    return row[k], i[k] * size + j
+    found = []
+    for at in range(0, len(row), max(1, DECODED // size)):
+        r, c = row[at : at + DECODED // size], i[at : at + DECODED // size]
+        k, j = np.nonzero(a[r, c][:, None] + b[r] >= least[r])
+        found.append((r[k], c[k] * size + j))
+    rows, cap = (np.concatenate(v) for v in zip(*found, strict=True))
+    return rows, cap
 
 
 def finite_rows(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -75,9 +105,24 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def cap_rows(vectors: DataFrame) -> DataFrame:
-    """vectors (cid, w, embedding) -> (cap, cid, w, vector, others): a row for each cap that holds a vector; `others` are all
-    its caps, sorted. Vectors of different lengths never meet: a cap's number carries the length."""
+def packed(x: np.ndarray) -> list[bytes]:
+    """The rows' bytes, as single precision where that loses nothing."""
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    return [(s if same else v).tobytes() for v, s, same in zip(x, short, (short == x).all(1), strict=True)]
+
+
+def unpacked(raw: bytes, d: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * d else np.float64).astype(np.float64)
+
+
+def cap_type(size: int) -> str:
+    return "<u4" if size**2 < 2**32 else "<i8"
+
+
+def cap_rows(vectors: DataFrame, size: int = SIZE) -> DataFrame:
+    """vectors (cid, w, embedding) -> (cap, cid, w, vector, others): a row for each cap that holds a vector; `others` are the
+    smaller ones of its caps, sorted. Vectors of different lengths never meet: a cap's number carries the length."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,78 +133,87 @@ def cap_rows(vectors: DataFrame) -> DataFrame:
                 for d in {len(r) for r in rows}:
                     pick = [k for k, r in enumerate(rows) if len(r) == d]
                     x = np.stack([rows[k] for k in pick])
-                    r, cap = caps(unit(x))
-                    cap = cap + d * SIZE * SIZE
-                    start = np.searchsorted(r, np.arange(len(pick) + 1))
-                    lists = [cap[start[k] : start[k + 1]].astype("<i8").tobytes() for k in range(len(pick))]
-                    raw = [v.tobytes() for v in x]
-                    own = where[pick][r]
+                    r, cap = caps(unit(x), size)
+                    order = np.lexsort((cap, r))
+                    r, cap = r[order], cap[order]
+                    raw, held = packed(x), cap.astype(cap_type(size))
+                    start, own = np.searchsorted(r, np.arange(len(pick))), where[pick][r]
+                    smaller = [held[start[k] : n].tobytes() for n, k in enumerate(r)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cap), pa.array(cid[own]), pa.array(w[own]), pa.array([raw[k] for k in r], pa.binary()), pa.array([lists[k] for k in r], pa.binary())],
+                        [pa.array(cap + d * size**2), pa.array(cid[own]), pa.array(w[own]), pa.array([raw[k] for k in r], pa.binary()), pa.array(smaller, pa.binary())],
                         ["cap", "cid", "w", "vector", "others"],
                     )
 
     return vectors.mapInArrow(emit, "cap long, cid long, w long, vector binary, others binary")
 
 
-def first_shared(lists: list[np.ndarray], cap: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Of the pairs i, j of sorted cap lists that all hold `cap`, those that share no smaller one."""
-    smaller = [x[: np.searchsorted(x, cap)] for x in lists]
-    if len(i) > 4 * len(lists):  # many pairs: products of the lists' incidence rows
+def first_shared(smaller: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of the pairs i, j of vectors that share a cap, those that share none of their sorted smaller ones."""
+    if len(i) > 4 * len(smaller):  # many pairs: products of the lists' incidence rows
         known, place = np.unique(np.concatenate(smaller), return_inverse=True)
-        rows = np.zeros((len(lists), len(known)), np.float32)
-        rows[np.repeat(np.arange(len(lists)), [len(x) for x in smaller]), place] = 1
+        rows = np.zeros((len(smaller), len(known)), np.float32)
+        rows[np.repeat(np.arange(len(smaller)), [len(x) for x in smaller]), place] = 1
         return (rows @ rows.T)[i, j] == 0
     return np.array([not len(np.intersect1d(smaller[a], smaller[b], True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
 
 
-def tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's tiles: for each vector that links, (cid, root, n): n, the weight of the vectors that it links with where
-    their pair counts here; root, a vector of its group of links in the tile."""
-    names = ["cap", "x", "y", "chunk", "cid", "w", "vector", "others"]
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
-        return
-    cap, x, y, chunk, cid, w = (table.column(n).to_numpy() for n in names[:6])
-    vector, others = table.column("vector"), table.column("others")
-    order = np.lexsort((chunk, y, x, cap))
-    key = np.stack([cap[order], x[order], y[order]])
-    cut = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
-    out: list[tuple] = []
-    for s, e in zip(cut, [*cut[1:], len(order)], strict=True):
-        if e - s < 2:
-            continue
-        rows = order[s:e]
-        v = unit(np.stack([np.frombuffer(vector[int(k)].as_py()) for k in rows]))
-        lists = [np.frombuffer(others[int(k)].as_py(), "<i8") for k in rows]
-        c, ids, weight = chunk[rows], cid[rows], w[rows]
-        across = x[rows[0]] != y[rows[0]]
-        n, root, links = np.zeros(len(rows), np.int64), np.arange(len(rows)), []
-        for lo in range(0, len(rows), TILE):
-            near = v[lo : lo + TILE] @ v.T >= COSINE
-            i, j = np.nonzero(near)
-            i = i + lo
-            fit = (i < j) & ((c[i] != c[j]) | (not across))
-            i, j = i[fit], j[fit]
-            links.append((i, j))
-        i, j = (np.concatenate(v) for v in zip(*links, strict=True))
-        if not len(i):
-            continue
-        while True:  # a link joins its ends in whatever cap it is seen; it counts in the first one
-            before = root.copy()
-            np.minimum.at(root, i, root[j])
-            np.minimum.at(root, j, root[i])
-            root = root[root]
-            if (root == before).all():
-                break
-        once = first_shared(lists, int(cap[rows[0]]), i, j)
-        np.add.at(n, i[once], weight[j[once]])
-        np.add.at(n, j[once], weight[i[once]])
-        for k in np.flatnonzero((n > 0) | (root != np.arange(len(rows)))).tolist():
-            out.append((int(ids[k]), int(ids[root[k]]), int(n[k])))
-    if out:
-        a, b, m = zip(*out, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.int64())], ["cid", "root", "n"])
+def tile_links(tile: pa.Table, size: int = SIZE) -> list[tuple[int, int, int]]:
+    """Of one tile's vectors: for each that links, (cid, root, n): n, the weight of the vectors that it links with where their
+    pair counts here; root, a vector of its group of links in the tile."""
+    if tile.num_rows < 2:
+        return []
+    d = tile.column("cap")[0].as_py() // size**2
+    ids, weight, c = (tile.column(n).to_numpy() for n in ("cid", "w", "chunk"))
+    v = unit(np.stack([unpacked(raw.as_py(), d) for raw in tile.column("vector")]))
+    across = tile.column("x")[0].as_py() != tile.column("y")[0].as_py()
+    links = []
+    for lo in range(0, len(v), TILE):
+        i, j = np.nonzero(v[lo : lo + TILE] @ v.T >= COSINE)
+        i = i + lo
+        fit = (i < j) & ((c[i] != c[j]) | (not across))
+        links.append((i[fit], j[fit]))
+    i, j = (np.concatenate(x) for x in zip(*links, strict=True))
+    if not len(i):
+        return []
+    n, root = np.zeros(len(v), np.int64), np.arange(len(v))
+    while True:  # a link joins its ends in whatever cap it is seen; it counts in the first one
+        before = root.copy()
+        np.minimum.at(root, i, root[j])
+        np.minimum.at(root, j, root[i])
+        root = root[root]
+        if (root == before).all():
+            break
+    once = first_shared([np.frombuffer(raw.as_py(), cap_type(size)) for raw in tile.column("others")], i, j)
+    np.add.at(n, i[once], weight[j[once]])
+    np.add.at(n, j[once], weight[i[once]])
+    return [(int(ids[k]), int(ids[root[k]]), int(n[k])) for k in np.flatnonzero((n > 0) | (root != np.arange(len(v))))]
+
+
+def sorted_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Table]]:
+    """The tiles of a task's rows, which are sorted by them; a batch's last tile waits for the next batch, so no more than a batch
+    and a tile are held."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        key = np.stack([table.column(n).to_numpy() for n in ("cap", "x", "y")])
+        cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()]
+        yield [table.slice(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
+        rest = table.slice(cut[-1])
+    if rest is not None:
+        yield [rest]
+
+
+def links_within(tiles: DataFrame, size: int = SIZE) -> DataFrame:
+    """(cid, root, n) of all tiles, rows (cap, x, y, chunk, cid, w, vector, others) of a partition sorted by the first three."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_tiles(b for b in batches if b.num_rows):
+            out = [row for tile in group for row in tile_links(tile, size)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["cid", "root", "n"])
+
+    return tiles.mapInArrow(run, "cid long, root long, n long")
 
 
 def link(vectors: DataFrame) -> DataFrame:
@@ -174,11 +228,13 @@ def link(vectors: DataFrame) -> DataFrame:
     good = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0)
     able = rows.where(good)
     classes = materialize(able.groupBy("embedding").agg(F.count("*").alias("w"), F.min("vec_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
-    held = materialize(cap_rows(classes.select("cid", "w", "embedding")), "caps")
+    size = code_size(classes.count())
+    held = materialize(cap_rows(classes.select("cid", "w", "embedding"), size), "caps")
     tiles = held.groupBy("cap").agg(F.ceil(F.count("*") / TILE).cast("int").alias("k")).where("k > 1")  # at most one row for each cap
     dealt = held.join(tiles, "cap", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("cap", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "cid", "w", "vector", "others")
-    links = materialize(dealt.repartition(n_partitions(spark), "cap", "x", "y").mapInArrow(tile_links, "cid long, root long, n long"), "cap-links")
+    placed = dealt.repartition(n_partitions(spark), "cap", "x", "y").sortWithinPartitions("cap", "x", "y")
+    links = materialize(links_within(placed, size), "cap-links")
     counts = links.groupBy("cid").agg(F.sum("n").alias("n"))
     comps = components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     keyed = classes.select("cid", "least", "w").join(comps.select(F.col("node").alias("cid"), "root"), "cid", "left").join(counts, "cid", "left").withColumn("key", F.coalesce("root", "cid"))

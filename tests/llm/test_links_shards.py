@@ -141,6 +141,50 @@ def test_list_decoding_is_complete():
     assert (row == want[0]).all() and (cap == want[1]).all()
 
 
+def near_pairs(n, cosine, seed=8, d=64):
+    rng = np.random.default_rng(seed)
+    x = embeddings.unit(rng.standard_normal((n, d)))
+    z = rng.standard_normal((n, d))
+    z = embeddings.unit(z - (z * x).sum(1, keepdims=True) * x)
+    return x, cosine * x + np.sqrt(1 - cosine**2) * z
+
+
+def test_caps_of_more_vectors_are_higher_and_keep_recall():
+    met, sizes = [], [embeddings.code_size(n) for n in (2_000, 32_000, 1_000_000)]
+    assert sizes[0] == embeddings.SIZE < sizes[1] < sizes[2]
+    for size in sizes:
+        x, y = near_pairs(1000, 0.9)
+        (r, c), (s, e) = embeddings.caps(x, size), embeddings.caps(y, size)
+        shared = np.intersect1d(r * size**2 + c, s * size**2 + e) // size**2
+        assert len(np.unique(shared)) >= 990
+        m = np.bincount(c, minlength=size**2).astype(float)
+        met.append((m * (m - 1)).sum() / (1000 * 999))
+    # Pairs compared: the share of all pairs times their number. 16 and 31 times the vectors, less than the power 1.65 of that.
+    assert met[1] / met[0] * 16**2 < 16**1.65 and met[2] / met[1] * 31.25**2 < 31.25**1.6
+
+
+def test_tiles_over_batches_of_any_size(spark):
+    x, y = near_pairs(60, 0.93)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y, y[:5] * 3]))]
+    v = embeddings.unit(np.array([r[1] for r in rows]))
+    near = v @ v.T >= embeddings.COSINE
+    np.fill_diagonal(near, False)
+    root = joined([p for p in np.argwhere(near).tolist()], range(len(rows)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {k: (int(near[k].sum()), root[k]) for k in range(len(rows))}
+
+
+def test_vectors_keep_their_double_values():
+    x = np.array([[0.1, 2.0], [0.5, 1e300], [0.25, -3.0]])
+    raw = embeddings.packed(x)
+    assert [len(r) for r in raw] == [16, 16, 8] and (np.stack([embeddings.unpacked(r, 2) for r in raw]) == x).all()
+
+
 def test_least_moves():
     rng = np.random.default_rng(6)
     for _ in range(20):
