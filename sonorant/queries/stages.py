@@ -10,6 +10,7 @@ from sonorant.operators import dataset, plans, reading, results, staging, tasks,
 from sonorant.queries.events import PLAN, RESULTS, plan, read
 from sonorant.queries.reading import EMISSIONS, emissions
 from sonorant.queries.registry import query, rounded
+from sonorant.session import tasks_for
 from sonorant.sources import views
 from sonorant.streaming import latency
 
@@ -70,9 +71,11 @@ i AS (SELECT agent, metric, 'primary' AS tier, 0 AS part, first, fields FROM g
 def agent_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.col("l_linenumber")
     kind = F.when(line == 1, "number").when(line == 2, "amount").when(line == 3, "date").when(line == 4, "time").otherwise("name")
-    fields = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("agent"), line.alias("ordinal"), kind.alias("kind"))
+    lines = views.table(spark, sf_dir, "lineitem")
+    fields = lines.select(F.col("l_orderkey").alias("agent"), line.alias("ordinal"), kind.alias("kind"))
     agents = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("agent"), (F.col("o_orderkey") % 2 == 0).alias("semantic"), (F.col("o_custkey") % 3 == 0).alias("exact"))
-    return plans.select_plan(agents, fields, "agent")
+    tasks = tasks_for(lines)
+    return plans.select_plan(agents.repartition(tasks, "agent"), fields.repartition(tasks, "agent"), "agent")
 
 
 @query(f"WITH {AGENT_PLAN} SELECT agent, metric, tier, row_number() OVER (PARTITION BY agent ORDER BY part, first, metric) AS place, fields FROM i")

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Rows of a wide table that one task of a shuffle takes.
+TASK_ROWS = 250_000
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -29,3 +32,9 @@ def scratch(spark: SparkSession, name: str) -> str:
         shared = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Into how many tasks a shuffle of df is dealt, so that a task's memory does not grow with the table: left to itself, Spark joins
+    small shuffle blocks until there are as many tasks as cores. Of a stored table, counting reads its footers alone."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
