@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sonorant.functions import acoustic
 from sonorant.operators import reading, usecase
 from sonorant.queries.registry import query, rounded
+from sonorant.session import tasks_for
 from sonorant.sources import views
 
 LEVELS = "p AS (SELECT l_returnflag AS grp, (l_linenumber % 5)::BIGINT AS h, greatest(0, least(4, l_linenumber % 5 + CAST(l_quantity AS BIGINT) % 3 - 1))::BIGINT AS s FROM lineitem)"
@@ -81,12 +82,13 @@ SELECT provider, clip_id, round(coalesce(sum(value * weight) / sum(CASE WHEN val
 FROM keys CROSS JOIN plan LEFT JOIN g USING (provider, clip_id, metric) GROUP BY provider, clip_id""")
 def usecase_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracies of fields, and error rates beyond 1 among the others, so that clipping shows."""
-    keys = ("provider", "clip_id")
-    v = fields(spark, sf_dir).groupBy(*keys, F.col("category").alias("metric")).agg(F.avg(F.col("preserved").cast("double")).alias("value"))
-    e = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("provider"), F.col("l_orderkey").alias("clip_id"))
-    e = e.agg((F.avg(F.col("l_linenumber") % 4) / 2).alias("wer"), F.when(F.count("*") > 1, F.avg(F.col("l_linenumber") % 3) / 2).alias("cer"))
+    keys, lines = ("provider", "clip_id"), views.table(spark, sf_dir, "lineitem")
+    tasks = tasks_for(lines)
+    v = fields(spark, sf_dir).repartition(tasks, *keys).groupBy(*keys, F.col("category").alias("metric")).agg(F.avg(F.col("preserved").cast("double")).alias("value"))
+    e = lines.select(F.col("l_returnflag").alias("provider"), F.col("l_orderkey").alias("clip_id"), "l_linenumber").repartition(tasks, *keys)
+    e = e.groupBy(*keys).agg((F.avg(F.col("l_linenumber") % 4) / 2).alias("wer"), F.when(F.count("*") > 1, F.avg(F.col("l_linenumber") % 3) / 2).alias("cer"))
     errors = e.unpivot(list(keys), ["wer", "cer"], "metric", "value").where("value IS NOT NULL")
-    return rounded(usecase.scores(v.unionByName(errors), plan(spark), list(keys)))
+    return rounded(usecase.scores(v.unionByName(errors).repartition(tasks, *keys), plan(spark), list(keys)))
 
 
 @query(f"""WITH {FIELDS}, v AS (SELECT provider, l_orderkey AS clip_id, avg(preserved::INT) AS score FROM f GROUP BY ALL)

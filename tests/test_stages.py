@@ -75,3 +75,14 @@ def test_weights_of_nothing_stay(spark):
     plan = spark.createDataFrame([("x", "wer", 0.5), ("x", "cer", 0.5), ("y", "wer", 1.0)], "agent string, metric string, weight double")
     got = {(r.agent, r.metric): r.weight for r in plans.set_weights(plan, {"wer": -3.0}, "agent").collect()}
     assert got == {("x", "wer"): 0.0, ("x", "cer"): 1.0, ("y", "wer"): 0.0}
+
+
+def test_tasks_of_plans_and_scores_follow_the_rows(spark, monkeypatch):
+    from sonorant import session
+    from sonorant.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    want = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500)
+    for name in ("plan_changed_weights", "plan_runnable", "usecase_score"):
+        assert QUERIES[name](spark, sf).rdd.getNumPartitions() == want, name
