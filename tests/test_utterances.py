@@ -51,3 +51,12 @@ def test_silent_utterances_close_and_late_events_are_dropped(spark, tmp_path):
 def test_ranks_of_short_runs():
     assert utterances.nearest_rank_of([], 0.95) is None
     assert [utterances.nearest_rank_of([1.0, 2.0, 3.0, 4.0], s) for s in (0.0, 0.5, 1.0)] == [1.0, 2.0, 4.0]
+
+
+def test_a_slice_is_written_by_several_tasks(spark, monkeypatch):
+    folders, scratch = {}, utterances.scratch
+    monkeypatch.setattr(utterances, "scratch", lambda spark, name: folders.setdefault(name, scratch(spark, name)))
+    rows = [event(u, u * 100 + k, k, k, k % 3 == 0) for u in range(8) for k in range(20)]
+    assert utterances.replayed(spark, spark.createDataFrame(rows, SCHEMA).repartition(4)).count() == 8
+    assert len(spark.read.parquet(folders["replay-in"]).inputFiles()) > 4  # one for each of the four batches before
+    assert spark.read.parquet(folders["replay-out"]).select("batch").distinct().count() >= 4
