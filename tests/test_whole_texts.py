@@ -152,6 +152,29 @@ def test_banded_word_paths_of_several_steps():
         assert wordops.path(r, h) == plain_path(r, h, wordops.swap_cost)
 
 
+def test_least_paths_are_the_tables_first():
+    rng, met = random.Random(8), 0
+    vocabularies = ["ab abx ba cab c abc a ax b".split(), "de dex del d en enx x".split(), "abcd abcdx abce abc bcd".split()]
+    for _ in range(600):
+        words = rng.choice(vocabularies)
+        r = [rng.choice(words) for _ in range(rng.randrange(14))]
+        h = [w + "x" * (rng.random() < 0.2) for w in r if rng.random() < 0.8] + [rng.choice(words) for _ in range(rng.randrange(3)) if rng.random() < 0.2]
+        for a, b in ((r, h), (h, r)):
+            got, want = wordops.least_path(a, b), plain_path(a, b, near)
+            met += got is not None
+            assert got in (None, want) and wordops.banded_path(a, b) == want
+    assert met > 600
+
+
+def test_long_readings_need_no_table(monkeypatch):
+    monkeypatch.setattr(wordops, "swap_costs", lambda *_: pytest.fail("a table of all pairs of words"))
+    r = [f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(17_000)]
+    h = [w + "x" if i % 5 == 0 else w for i, w in enumerate(r) if i % 7]
+    path = wordops.path(r, h)
+    assert [j for _, j in path if j is not None] == list(range(len(h)))
+    assert all((j is None) == (i % 7 == 0) for i, j in path)
+
+
 def test_more_distinct_tokens_than_code_points_of_a_plane(spark):
     from pyspark.sql import functions as F
 
