@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 from sonorant import dims
 from sonorant.functions.text import let
-from sonorant.functions.verdicts import json_object
+from sonorant.functions.verdicts import balanced
 
 #: The kinds of fields; any other is `other`.
 FIELD_KINDS = ("number", "quantity", "identifier", "amount", "date", "time", "location", "name", "action", "other")
 
 
+#: Unicode's white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def cut(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
 
 
 def said(v: Column, path: str) -> Column:
@@ -30,26 +34,32 @@ def listed(v: Column, path: str) -> Column:
 
 def not_a_list(v: Column, path: str) -> Column:
     """Whether there is a part that is neither a list nor null."""
-    part = F.try_variant_get(v, path, "variant")
-    return part.isNotNull() & ~F.is_variant_null(part) & F.try_variant_get(v, path, "array<variant>").isNull()
+    return let(F.try_variant_get(v, path, "variant"), lambda part: part.isNotNull() & ~F.is_variant_null(part) & ~F.schema_of_variant(part).startswith("ARRAY"))
 
 
 def truth(v: Column, path: str, default: bool) -> Column:
     """A part as a truth value: the default where it is missing; null, 0, and empty texts, lists and objects are false."""
-    part = F.try_variant_get(v, path, "variant")
-    kind, text = F.schema_of_variant(part), F.try_variant_get(v, path, "string")
-    filled = F.when(kind == "BOOLEAN", F.try_variant_get(v, path, "boolean")).when(kind == "STRING", text != "").when(kind.rlike("^(ARRAY|OBJECT)"), F.length(text) > 2).otherwise(F.try_variant_get(v, path, "double") != 0)
-    return F.when(part.isNull(), F.lit(default)).when(F.is_variant_null(part), F.lit(False)).otherwise(filled)
+    text = F.try_variant_get(v, path, "string")
+
+    def filled(kind: Column) -> Column:
+        return F.when(kind == "BOOLEAN", F.try_variant_get(v, path, "boolean")).when(kind == "STRING", text != "").when(kind.rlike("^(ARRAY|OBJECT)"), F.length(text) > 2).otherwise(F.try_variant_get(v, path, "double") != 0)
+
+    return let(F.try_variant_get(v, path, "variant"), lambda part: F.when(part.isNull(), F.lit(default)).when(F.is_variant_null(part), F.lit(False)).otherwise(let(F.schema_of_variant(part), filled)))
+
+
+def unless(error: Column, parts: dict[str, Column]) -> Column:
+    """struct(error, the parts), which are null where there is an error; the error is made once."""
+    return let(error, lambda e: F.struct(e.alias("error"), *(F.when(e.isNull(), c).alias(k) for k, c in parts.items())))
 
 
 def parsed(answer: Column) -> Column:
     """The first object of a loose text as VARIANT, or null."""
-    return F.try_parse_json(json_object(answer))
+    return F.try_parse_json(balanced(answer))
 
 
 def _field(x: Column) -> Column:
-    kind = F.lower(said(x, "$.type"))
-    return F.struct(said(x, "$.name").alias("name"), F.when(kind.isin(*FIELD_KINDS), kind).otherwise("other").alias("type"), said(x, "$.why").alias("why"))
+    kind = let(F.lower(said(x, "$.type")), lambda k: F.when(k.isin(*FIELD_KINDS), k).otherwise("other"))
+    return F.struct(said(x, "$.name").alias("name"), kind.alias("type"), said(x, "$.why").alias("why"))
 
 
 def requirements(answer: Column) -> Column:
@@ -61,12 +71,12 @@ def requirements(answer: Column) -> Column:
         error = F.when(v.isNull(), "no object").when(not_a_list(v, "$.fields"), "fields are no list").when(not_a_list(v, "$.user_actions"), "actions are no list")
         fields = F.filter(F.transform(listed(v, "$.fields"), _field), lambda x: x["name"] != "")
         actions = F.filter(F.transform(listed(v, "$.user_actions"), lambda x: said(x, "$")), lambda x: x != "")
-        use = said(v, "$.use_case")
+        use = let(said(v, "$.use_case"), lambda u: F.when(u == "", "Unclassified").otherwise(u))
         parts = {
-            "use_case": F.when(use == "", "Unclassified").otherwise(use), "objective": said(v, "$.objective"), "summary": said(v, "$.summary"), "user_actions": actions,
+            "use_case": use, "objective": said(v, "$.objective"), "summary": said(v, "$.summary"), "user_actions": actions,
             "critical_action": said(v, "$.critical_action"), "semantic_matters": truth(v, "$.semantic_matters", True), "exact_matters": truth(v, "$.exact_transcription_matters", False), "fields": fields,
         }
-        return F.struct(error.alias("error"), *(F.when(error.isNull(), c).alias(k) for k, c in parts.items()))
+        return unless(error, parts)
 
     return let(parsed(answer), made)
 
@@ -81,7 +91,7 @@ def scenario(answer: Column) -> Column:
         last = lambda ps, f: F.element_at(F.filter(ps, lambda p: p["field"] == f), -1)
         expected = let(pairs, lambda ps: F.transform(F.array_distinct(F.transform(ps, lambda p: p["field"])), lambda f: last(ps, f)))
         parts = {"sentence": said(v, "$.sentence"), "expected": expected, "notes": said(v, "$.notes")}
-        return F.struct(error.alias("error"), *(F.when(error.isNull(), c).alias(k) for k, c in parts.items()))
+        return unless(error, parts)
 
     return let(parsed(answer), made)
 
@@ -99,7 +109,7 @@ def reading_request(body: Column, threshold: float = -2.0) -> Column:
         error = F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), "no object").when(~level.isin(names), F.concat(F.lit("unknown level: "), asked)).when(wrong, "threshold is no number")
         raw = lambda p: F.coalesce(F.try_variant_get(v, p, "string"), F.lit(""))
         parts = {"level": F.lower(level), "text": raw("$.text"), "typed": raw("$.typed"), "engine": raw("$.engine"), "threshold": F.coalesce(number, F.lit(threshold)), "audio_decides": truth(v, "$.audio_decides", True)}
-        return F.struct(error.alias("error"), *(F.when(error.isNull(), c).alias(k) for k, c in parts.items()))
+        return unless(error, parts)
 
     return let(F.try_parse_json(body), made)
 

@@ -7,11 +7,24 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sonorant.functions.text import let
 
-def json_object(text: Column) -> Column:
-    """The JSON text of the first object in an answer whose braces balance, those in strings left out, or null without one that
-    parses; a code fence around it does no harm. One fold over tokens, so the work is linear."""
-    tail = F.regexp_extract(text, r"(?s)\{.*", 0)
+
+def _object_pattern(depth: int) -> str:
+    """An object of at most `depth` levels, anchored; outside of strings too a backslash goes with the character after it. All
+    repeats are possessive, so a text is read once and without recursion."""
+    out = ""
+    for _ in range(depth):
+        out = r'\{(?:[^"{}\\]++|\\.|"(?:[^"\\]++|\\.)*+"' + (f"|{out}" if out else "") + r")*+\}"
+    return f"(?s)^{out}"
+
+
+SHALLOW = _object_pattern(6)
+
+
+def balanced_end(tail: Column) -> Column:
+    """Where the braces of a text that begins with one balance, those in strings left out; 0 where they don't. One fold over
+    tokens, so the work is linear."""
     tokens = F.regexp_extract_all(tail, F.lit(r'((?s)\\.|["{}\\]|[^"{}\\]+)'))
 
     def step(s: Column, t: Column) -> Column:
@@ -22,9 +35,23 @@ def json_object(text: Column) -> Column:
         return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"), F.when(t == '"', ~quoted).otherwise(quoted).alias("quoted"))
 
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit(False).alias("quoted"))
-    end = F.aggregate(tokens, start, step)["end"]
-    balanced = F.when(end > 0, F.substring(tail, F.lit(1), end))
-    return F.when(F.try_parse_json(balanced).isNotNull(), balanced)
+    return F.aggregate(tokens, start, step)["end"]
+
+
+def balanced(text: Column) -> Column:
+    """The first object in an answer whose braces balance, or null; a code fence around it does no harm. One expression finds an
+    object of few levels, and only a text without one is folded."""
+
+    def folded(tail: Column) -> Column:
+        return let(balanced_end(tail), lambda end: F.when(end > 0, F.substring(tail, F.lit(1), end)))
+
+    found = lambda tail: let(F.regexp_extract(tail, SHALLOW, 0), lambda o: F.when(o != "", o).when(F.instr(tail, "}") > 0, folded(tail)))
+    return let(F.regexp_extract(text, r"(?s)\{.*", 0), found)
+
+
+def json_object(text: Column) -> Column:
+    """The JSON text of `balanced`, or null where it does not parse."""
+    return let(balanced(text), lambda o: F.when(F.try_parse_json(o).isNotNull(), o))
 
 
 def language_code(language: Column, overrides: dict[str, str]) -> Column:

@@ -86,3 +86,37 @@ def test_tasks_of_plans_and_scores_follow_the_rows(spark, monkeypatch):
     want = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500)
     for name in ("plan_changed_weights", "plan_runnable", "usecase_score"):
         assert QUERIES[name](spark, sf).rdd.getNumPartitions() == want, name
+
+
+def test_objects_by_one_expression_are_those_of_the_fold(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice('{}{}"\\a:1 \n') for _ in range(rng.randrange(14))) for _ in range(3000)]
+    texts += ['{"a":' * n + "1" + "}" * m for n in (6, 7, 40) for m in (n - 1, n)] + ["x" * 50_000 + '{"a": "' + "{y\\\"" * 50_000 + '"} z', "{" + "[1] " * 50_000 + "}"]
+    tail = F.regexp_extract("t", r"(?s)\{.*", 0)
+    end = verdicts.balanced_end(tail)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", verdicts.balanced(F.col("t")).alias("got"), F.when(end > 0, F.substring(tail, F.lit(1), end)).alias("want"))
+    assert rows.where("NOT got <=> want").limit(3).collect() == []
+    assert rows.where("got IS NOT NULL").count() > 300
+
+
+def test_an_answer_is_searched_once(spark):
+    from pyspark.sql import functions as F
+
+    from sonorant.functions import payloads
+
+    plan = spark.range(1).select(payloads.requirements(F.col("id").cast("string")).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("parse_json") <= 2
+
+
+def test_white_space_of_any_kind_is_cut(spark):
+    from pyspark.sql import functions as F
+
+    from sonorant.functions import payloads
+
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F]
+    rows = spark.createDataFrame([(f"{c} a{c}b {c}",) for c in [*spaces, "\u200b", "\x1c", "é"]], "t string")
+    assert rows.select(payloads.cut(F.col("t")).alias("a"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("b")).where("a <> b").collect() == []
