@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,8 +43,16 @@ def characters(normalized: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(normalized, r"(?U)\s", ""), ""), lambda x: x != "")
 
 
+#: Tokens of the pairs whose distances are found together.
+TOKENS = 250_000
+
+
 def _distances(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-    return pa.array(batched.distances(ref, hyp), mask=~(pc.is_valid(ref).to_numpy(zero_copy_only=False) & pc.is_valid(hyp).to_numpy(zero_copy_only=False)))
+    size = pc.list_value_length if pa.types.is_list(ref.type) else pc.utf8_length
+    held = sum(pc.fill_null(size(c), 0).to_numpy(zero_copy_only=False).astype("int64") for c in (ref, hyp)).cumsum() // TOKENS
+    cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(held)]
+    counts = [batched.distances(ref[a:b], hyp[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return pa.array(np.concatenate(counts), mask=~(pc.is_valid(ref).to_numpy(zero_copy_only=False) & pc.is_valid(hyp).to_numpy(zero_copy_only=False)))
 
 
 def edit_count(ref: Column, hyp: Column) -> Column:

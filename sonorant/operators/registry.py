@@ -86,9 +86,10 @@ def evaluated(rows: DataFrame, asked: Sequence[str], registry: Sequence[Metric],
 
 
 def outcomes(scored: DataFrame, keys: Sequence[str], attempts: Column | None = None) -> DataFrame:
-    """keys, metric, value, error, errors, length, attempts: a row for each entry of evaluated rows."""
+    """keys, metric, value, error, errors, length, attempts: a row for each entry of evaluated rows. An inner explode would push a
+    filter on the map's size down to the scan, for which all metrics would be computed once more."""
     made = (F.lit(1) if attempts is None else attempts).cast("long").alias("attempts")
-    return scored.select(*keys, made, F.explode("metrics").alias("metric", "m")).select(*keys, "metric", "m.*", "attempts")
+    return scored.select(*keys, made, F.explode_outer("metrics").alias("metric", "m")).where("metric IS NOT NULL").select(*keys, "metric", "m.*", "attempts")
 
 
 def due(rows: DataFrame, keys: Sequence[str], asked: Sequence[str], registry: Sequence[Metric], past: DataFrame, most: int) -> DataFrame:

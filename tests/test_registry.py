@@ -65,3 +65,11 @@ def test_empty_tables(spark):
     none = pairs(spark, [])
     past = registry.outcomes(registry.evaluated(none, ["llm_wer"], REGISTRY), KEYS)
     assert past.count() == 0 and registry.again(none, KEYS, ["llm_wer"], REGISTRY, past).count() == 0
+
+
+def test_metrics_are_computed_once(spark, tmp_path):
+    from sonorant.queries import QUERIES
+
+    spark.createDataFrame([(1, 1, "user", "a b c")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    plan = QUERIES["metric_outcomes"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [_distances") == 1 and plan.count("ArrowEvalPython") == 2
