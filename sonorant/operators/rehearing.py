@@ -70,7 +70,8 @@ def reheard(readings: DataFrame, by: str, threshold: float, score: Callable[[Dat
     word = lambda o: normalize(heard_word(o["ref"], F.get("units", o["ref_index"]), threshold))
     doubt = F.transform("ops", lambda o, k: F.when((o["kind"] == "match") & (o["ref_index"] >= 0), F.struct(k.alias("k"), o["ref"].alias("ref"), word(o).alias("heard"))))
     doubts = F.filter(doubt, lambda d: d["heard"].isNotNull() & (d["heard"] != d["ref"]))
-    rows = readings.select(by, F.explode(doubts).alias("d")).select(by, "d.*")
+    # An inner explode would push a filter on the doubts' number down, for which they would be found once more.
+    rows = readings.select(by, F.explode_outer(doubts).alias("d")).where("d IS NOT NULL").select(by, "d.*")
     scored = score(rows.select("ref", "heard").distinct())
     # A reading's doubts are at most its words.
     new = rows.join(scored, ["ref", "heard"]).groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("heard", "kind", "mistake", "category")))).alias("new"))
