@@ -58,11 +58,18 @@ def in_devanagari(text: Column) -> Column:
     return F.pandas_udf(run, "string")(text)
 
 
+#: Texts that are held as Python's strings at a time.
+TEXTS = 200
+
+
 def _composed_and_spelt(texts: pa.Array) -> pa.Array:
     spelt = lru_cache(65_536)(dv.from_latin)
-    first = [unicodedata.normalize("NFC", t.as_py()) if t.is_valid else None for t in texts]
-    first, second = pa.array(first, pa.string()), pa.array([t if t is None else dv.LATIN.sub(lambda m: spelt(m[0]), t) for t in first], pa.string())
-    return pa.StructArray.from_arrays([first, second], ["composed", "spelt"])
+    parts = [[], []]
+    for k in range(0, max(len(texts), 1), TEXTS):
+        first = [t if t is None else unicodedata.normalize("NFC", t) for t in texts[k : k + TEXTS].to_pylist()]
+        parts[0].append(pa.array(first, pa.string()))
+        parts[1].append(pa.array([t if t is None else dv.LATIN.sub(lambda m: spelt(m[0]), t) for t in first], pa.string()))
+    return pa.StructArray.from_arrays(list(map(pa.concat_arrays, parts)), ["composed", "spelt"])
 
 
 def composed_and_spelt(text: Column) -> Column:

@@ -68,3 +68,14 @@ def test_every_rule_fires_over_the_tables(spark):
 def test_stages_stay_apart_in_the_plan(spark):
     plan = QUERIES["rule_trace"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 20_000
+
+
+def test_texts_in_parts_are_all_texts(monkeypatch):
+    import pyarrow as pa
+
+    from sonorant.functions import rulebooks
+
+    texts = pa.array(["é ka", None, "", "sita"] * 3)
+    whole = rulebooks._composed_and_spelt(texts)
+    monkeypatch.setattr(rulebooks, "TEXTS", 5)
+    assert rulebooks._composed_and_spelt(texts).equals(whole) and rulebooks._composed_and_spelt(texts[:0]).type == whole.type
