@@ -6,14 +6,18 @@ the aligned units of its audio (units: array of arrays of unit, llr, heard)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonorant.functions.align import with_result
+from sonorant.functions.align import token_lists
 from sonorant.operators import wordops
 
+#: Words of the rows that are counted before a task puts their counts out.
+COUNTED = 1_000_000
 OP = "struct<ref_index:int,ref:string,hyp:string,kind:string,mistake:boolean,category:string,note:string>"
 
 
@@ -98,17 +102,42 @@ def unrelated(ref: str, hyp: str) -> bool:
     return wordops.distance_ratio(ref, hyp) > 0.6
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of word arrays (r, h): each expected word and, with `hyp`, each pair of aligned words that differ, with how often
+    they occur; of a few rows at a time, so the same ones may come again."""
+    for batch in batches:
+        seen, swapped, held = Counter(), Counter(), 0
+        for k, (a, b) in enumerate(zip(token_lists(batch.column("r")), token_lists(batch.column("h")), strict=True), 1):
+            seen.update(a)
+            swapped.update([(a[i], b[j]) for i, j in wordops.path(a, b) if i is not None and j is not None and a[i] != b[j]])
+            held += len(a) + len(b)
+            if held >= COUNTED or k == batch.num_rows:
+                refs, hyps = [*seen, *(x for x, _ in swapped)], [*[None] * len(seen), *(x for _, x in swapped)]
+                yield pa.RecordBatch.from_arrays([pa.array(refs, pa.string()), pa.array(hyps, pa.string()), pa.array([*seen.values(), *swapped.values()], pa.int64())], ["ref", "hyp", "n"])
+                seen, swapped, held = Counter(), Counter(), 0
+
+
 def aligned_letters(pairs: DataFrame, r: str = "r", h: str = "h", apart: Callable[[str, str], bool] = unrelated) -> DataFrame:
     """pairs (arrays of words) -> expected, heard, count, seen, rate: letters of aligned words that differ, empty on one side where
     a letter is left out or put in; `seen` counts the letters of all expected words, those left out too.
 
-    Words are aligned row by row; the pairs of words that this gives become a dictionary with counts, and letters are aligned once
-    for each distinct pair, whose count multiplies what it gives. Words that are `apart` count as seen only."""
-    words = with_result(pairs.select(F.coalesce(F.col(r), F.array().cast("array<string>")).alias("r"), F.coalesce(F.col(h), F.array().cast("array<string>")).alias("h")), "path", "array<struct<ref:string,hyp:string>>", lambda a, b: [{"ref": a[i], "hyp": None if j is None else b[j]} for i, j in wordops.path(a, b) if i is not None])
-    known = words.select(F.explode("path").alias("p")).select("p.*").groupBy("ref", "hyp").agg(F.count("*").alias("n"))
-    letters = F.explode(F.filter(F.split("ref", ""), lambda c: c != "")).alias("expected")
-    seen = known.select(letters, "n").groupBy("expected").agg(F.sum("n").alias("seen"))
-    swapped = known.where("ref <> hyp").select(F.array("ref").alias("r"), F.array("hyp").alias("h"), "n")
-    diffs = with_result(swapped, "diffs", "array<struct<expected:string,heard:string>>", lambda a, b: [] if apart(a[0], b[0]) else [{"expected": e, "heard": x} for e, x in wordops.classify(a[0], b[0])[2]])
-    counts = diffs.select(F.explode("diffs").alias("d"), "n").select("d.*", "n").groupBy("expected", "heard").agg(F.sum("n").alias("count"))
-    return counts.join(seen, "expected", "left").select("expected", "heard", "count", "seen", F.when(F.col("seen") > 0, F.col("count") / F.col("seen")).alias("rate"))
+    Words are aligned row by row and counted where they are; the words and pairs of words that this gives become a dictionary with
+    counts, and letters are aligned once for each distinct pair, whose count multiplies what it gives. Words that are `apart` count
+    as seen only."""
+
+    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = Counter()
+            for ref, hyp, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for pair in ((c, None) for c in ref or "") if hyp is None else () if apart(ref, hyp) else wordops.classify(ref, hyp)[2]:
+                    counts[pair] += n
+            yield pa.RecordBatch.from_arrays([*(pa.array([p[k] for p in counts], pa.string()) for k in (0, 1)), pa.array([*counts.values()], pa.int64())], ["expected", "heard", "n"])
+
+    none = F.array().cast("array<string>")
+    words = pairs.select(F.coalesce(F.col(r), none).alias("r"), F.coalesce(F.col(h), none).alias("h")).mapInArrow(_word_counts, "ref string, hyp string, n long")
+    known = words.groupBy("ref", "hyp").agg(F.sum("n").alias("n")).select("ref", "hyp", "n")
+    # What is seen and what differs come from one table, for which the words would else be aligned twice.
+    counts = known.mapInArrow(letters, "expected string, heard string, n long").groupBy("expected", "heard").agg(F.sum("n").alias("count"))
+    seen = F.sum(F.when(F.col("heard").isNull(), F.col("count"))).over(Window.partitionBy("expected"))
+    both = counts.select("expected", "heard", "count", seen.alias("seen")).where("heard IS NOT NULL")
+    return both.withColumn("rate", F.when(F.col("seen") > 0, F.col("count") / F.col("seen")))

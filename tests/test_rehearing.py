@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sonorant.operators import rehearing, wordops
@@ -62,3 +63,14 @@ def test_letters_of_aligned_words(spark):
     got = {(r.expected, r["heard"]): (r["count"], r.seen) for r in rehearing.aligned_letters(df).collect()}
     assert got == {k: (n, seen[k[0]]) for k, n in counts.items()}
     assert got[("a", "u")][0] == 6 and ("s", "z") in got
+
+
+def test_words_are_aligned_once_and_counted_where_they_are(spark):
+    df = spark.createDataFrame([(k, ["cat", "sat"] * 50, ["cut", "sat"] * 50) for k in range(40)], "k int, r array<string>, h array<string>")
+    out = rehearing.aligned_letters(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    assert [(r.expected, r["heard"], r["count"], r.seen) for r in out.collect()] == [("a", "u", 2000, 4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([["cat", "sat"] * 50] * 40), pa.array([["cut", "sat"] * 50] * 40)], ["r", "h"])
+    rows = [r for b in rehearing._word_counts(iter([batch])) for r in b.to_pylist()]
+    assert sorted(rows, key=str) == sorted([{"ref": "cat", "hyp": None, "n": 2000}, {"ref": "sat", "hyp": None, "n": 2000}, {"ref": "cat", "hyp": "cut", "n": 2000}], key=str)

@@ -183,3 +183,22 @@ def test_more_distinct_tokens_than_code_points_of_a_plane(spark):
     df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(70_000)), lambda x: x.cast("string")).alias("r"))
     df = df.withColumn("h", F.transform("r", lambda x, i: F.when(i % 100 == 99, F.concat(x, F.lit("x"))).otherwise(x)))
     assert df.select(text.edit_count(F.col("r"), F.col("h")).alias("n")).first().n == 700
+
+
+def test_least_places_need_no_edit_table(monkeypatch):
+    rng, met = random.Random(9), 0
+    for _ in range(400):
+        r = [rng.choice("abcd") for _ in range(rng.randrange(12))]
+        h = [x if rng.random() < 0.8 else rng.choice("xyza") for x in r if rng.random() < 0.8]
+        for a, b in ((r, h), (h, r)):
+            places = align.least_places(*((b, a) if len(a) < len(b) else (a, b)))
+            met += places is not None
+            path = [(None if op == "ins" else i, None if op == "del" else j) for op, i, j in align.edit_path(a, b)]
+            assert path == plain_path(a, b, unit) and align.distance(a, b) == table(a, b, unit)[-1][-1]
+    assert met > 400
+    monkeypatch.setattr(align, "_sweep", lambda *_: pytest.fail("an edit table"))
+    r = [f"w{k}" for k in range(17_000)]
+    h = [w + "x" if i % 7 == 3 else w for i, w in enumerate(r) if i % 7]
+    ops = [op for op, _, _ in align.edit_path(r, h)]
+    assert ops == ["del" if i % 7 == 0 else "sub" if i % 7 == 3 else "equal" for i in range(len(r))]
+    assert align.distance(r, h) == align.distance(h, r) == len(ops) - ops.count("equal")
