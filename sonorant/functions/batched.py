@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from sonorant.functions.align import distance, edit_path
+from sonorant.functions.align import distance, edit_path, least_places
 
 #: Words of state (rows x words x pairs) that are held at a time, and how many pairs per word make side by side worth while.
 CELLS, LEAST_PAIRS = 1 << 22, 4
@@ -66,7 +66,22 @@ def trimmed(r: Side, h: Side, front: bool) -> np.ndarray:
     return out
 
 
-def groups(cut: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
+def least_ops(r: Side, h: Side, cut: np.ndarray) -> dict[int, np.ndarray]:
+    """The operations of the pairs that have tokens on both sides and whose path `least_places` finds."""
+    out = {}
+    for k, (a, b, c, d) in enumerate(cut.tolist()):
+        if a == b or c == d:
+            continue
+        turned = b - a < d - c
+        long, short = (h.codes[c:d], r.codes[a:b]) if turned else (r.codes[a:b], h.codes[c:d])
+        places = least_places(long.tolist(), short.tolist())
+        if places is not None:
+            out[k] = np.full(len(long), INS if turned else DEL, np.int8)
+            out[k][places] = np.where(long[places] == short, EQUAL, SUB)
+    return out
+
+
+def groups(cut: np.ndarray, least_pairs: int) -> Iterator[tuple[np.ndarray, bool]]:
     """The pairs that have tokens on both sides, as groups of like length, and whether a group is worth going side by side."""
     n, m = cut[:, 1] - cut[:, 0], cut[:, 3] - cut[:, 2]
     todo = np.flatnonzero((n > 0) & (m > 0))
@@ -80,7 +95,7 @@ def groups(cut: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
         wide = np.flatnonzero(m[part] > 2 * most)
         part = part[: wide[0]] if len(wide) else part
         words = -(-int(m[part].max()) // 64)
-        if len(part) >= LEAST_PAIRS * words:
+        if len(part) >= least_pairs * words:
             yield part, True
             at += len(part)
         else:
@@ -143,7 +158,11 @@ def distances(ref: pa.Array, hyp: pa.Array) -> np.ndarray:
     r, h = sides(ref, hyp)
     cut = trimmed(r, h, True)
     out = np.maximum(cut[:, 1] - cut[:, 0], cut[:, 3] - cut[:, 2])
-    for part, together in groups(cut):
+    for k, ops in least_ops(r, h, cut).items():
+        out[k] = np.count_nonzero(ops)
+        cut[k, 1] = cut[k, 0]
+    # The band that single pairs have is less than the words of many.
+    for part, together in groups(cut, 4 * LEAST_PAIRS):
         if together:
             out[part] = sweep(r, h, cut[part], False)[0]
         else:
@@ -178,7 +197,12 @@ def paths(ref: pa.Array, hyp: pa.Array) -> tuple[Side, Side, list[np.ndarray]]:
     for k in np.flatnonzero((cut[:, 1] == cut[:, 0]) | (cut[:, 3] == cut[:, 2])):
         a, b, c, d = cut[k]
         out[k] = np.repeat(np.array([DEL, INS], np.int8), [b - a, d - c])
-    for part, together in groups(cut):
+    found = least_ops(r, h, cut)
+    for k, ops in found.items():
+        out[k] = ops
+    left = cut.copy()
+    left[list(found), 1] = left[list(found), 0]
+    for part, together in groups(left, LEAST_PAIRS):
         if not together:
             a, b, c, d = cut[part[0]]
             out[part[0]] = np.array([_CODE[op] for op, _, _ in edit_path(r.codes[a:b].tolist(), h.codes[c:d].tolist())], np.int8)
@@ -209,3 +233,34 @@ def alignments(ref: pa.Array, hyp: pa.Array) -> pa.StructArray:
     runs = pa.StructArray.from_arrays([kind, *tokens], ["op", "ref", "hyp"])
     segments = pa.ListArray.from_arrays(pa.array(starts_of(np.bincount(row[at], minlength=len(ops))).astype(np.int32)), runs)
     return pa.StructArray.from_arrays([*(pa.array(t) for t in tally), segments], ["sub", "del", "ins", "segments"])
+
+
+def slices(ref: pa.Array, hyp: pa.Array, of_ref: np.ndarray, row: np.ndarray, starts: tuple[np.ndarray, np.ndarray], sizes: tuple[np.ndarray, np.ndarray], rows: int) -> pa.ListArray:
+    """Token arrays made of runs (start, size) of either column's tokens, those of a row one after the other."""
+    flat = pa.concat_arrays([ref.flatten(), hyp.flatten()])
+    start, size = np.where(of_ref, starts[0], starts[1] + len(ref.flatten())), np.where(of_ref, *sizes)
+    ends = starts_of(size)
+    taken = flat.take(pa.array(np.repeat(start - ends[:-1], size) + np.arange(ends[-1])))
+    return pa.ListArray.from_arrays(pa.array(starts_of(np.bincount(row, size, rows).astype(np.int64)).astype(np.int32)), taken)
+
+
+def rescored(ref: pa.Array, hyp: pa.Array, told: pa.Array) -> dict[str, np.ndarray]:
+    """Of each pair: the differing segments, how many of them are `told`, by their number from 0, and the edits of words and letters
+    once those have the reference's tokens; null tokens have no letters."""
+    runs = alignments(ref, hyp).field("segments")
+    row, parts = np.repeat(np.arange(len(runs)), pc.list_value_length(runs).to_numpy()), runs.flatten()
+    differs = pc.not_equal(parts.field("op"), "equal").to_numpy(zero_copy_only=False)
+    before = np.cumsum(differs) - differs
+    number = before - before[np.searchsorted(row, row)]
+    wide = np.int64(len(parts) + 1)
+    asked = np.repeat(np.arange(len(told)), pc.fill_null(pc.list_value_length(told), 0).to_numpy())
+    known = pc.fill_null(told.flatten(), -1).to_numpy()
+    fits = (known >= 0) & (known < wide)
+    forgiven = differs & np.isin(row * wide + number, asked[fits] * wide + known[fits])
+    lists = [parts.field(side) for side in ("ref", "hyp")]
+    starts, sizes = ([x.offsets.to_numpy()[:-1] - x.offsets[0].as_py() for x in lists], [pc.list_value_length(x).to_numpy() for x in lists])
+    fixed = slices(ref, hyp, forgiven, row, starts, sizes, len(runs))
+    whole = pa.ListArray.from_arrays(pa.array(starts_of(pc.fill_null(pc.list_value_length(ref), 0).to_numpy(zero_copy_only=False).astype(np.int64)).astype(np.int32)), ref.flatten())
+    letters = [pc.binary_join(pa.ListArray.from_arrays(x.offsets, pc.fill_null(x.values, "")), "") for x in (whole, fixed)]
+    tally = lambda which: np.bincount(row[which], minlength=len(runs))
+    return {"forgiven": tally(forgiven), "segments": tally(differs), "words": distances(whole, fixed), "letters": distances(*letters), "n": pc.list_value_length(whole).to_numpy(), "m": pc.utf8_length(letters[0]).to_numpy()}

@@ -54,3 +54,15 @@ def test_columns_of_slices_nulls_and_strings(spark):
     assert {r.k: r.n for r in df.select("k", count).collect()} == {0: 1, 1: None, 2: 0, 3: 1, 4: 1, 5: None}
     strings = spark.createDataFrame([("kitten", "sitting"), ("", "ab"), ("\U00010348a", "a"), (None, "a")], "r string, h string")
     assert [r.n for r in strings.select(text.edit_count(F.col("r"), F.col("h")).alias("n")).collect()] == [3, 2, 1, None]
+
+
+def test_least_paths_of_a_batch_need_no_edit_table(monkeypatch):
+    pairs = [([f"w{k}" for k in range(n)], [f"w{k}x" if k % 7 == 3 else f"w{k}" for k in range(n) if k % 7]) for n in (0, 1, 5, 40, 3000)]
+    pairs += [(h, r) for r, h in pairs]
+    for name in ("sweep", "edit_path", "distance"):
+        monkeypatch.setattr(batched, name, lambda *_: pytest.fail("an edit table"))
+    ref, hyp = (pa.array([p[k] for p in pairs], TOKENS) for k in (0, 1))
+    edits = [sum(k % 7 in (0, 3) for k in range(n)) for n in (0, 1, 5, 40, 3000)] * 2
+    assert batched.distances(ref, hyp).tolist() == edits
+    for (r, h), ops, n in zip(pairs, batched.paths(ref, hyp)[2], edits, strict=True):
+        assert (ops != batched.EQUAL).sum() == n and len(ops) == max(len(r), len(h))

@@ -202,3 +202,16 @@ def test_least_places_need_no_edit_table(monkeypatch):
     ops = [op for op, _, _ in align.edit_path(r, h)]
     assert ops == ["del" if i % 7 == 0 else "sub" if i % 7 == 3 else "equal" for i in range(len(r))]
     assert align.distance(r, h) == align.distance(h, r) == len(ops) - ops.count("equal")
+
+
+def test_banded_distances_are_the_whole_tables(monkeypatch):
+    rng = random.Random(10)
+    pairs = []
+    for n in (90, 300, 700, 1500):
+        r = "".join(rng.choice("abcdef") for _ in range(n))
+        pairs += [(r, "".join(c if rng.random() > q else rng.choice(["", c + "a", "b"]) for c in r)) for q in (0.02, 0.1, 0.5)] + [(r, r[: n // 3] + r[n // 2 :] + "ab")]
+    want = [len(h) - len(r) + sum(align._tiles(r, h, align.TILE)[1]) for r, h in pairs]
+    assert [align.distance(r, h) for r, h in pairs] == [align.distance(h, r) for r, h in pairs] == want
+    # Of a like pair no whole table is made.
+    monkeypatch.setattr(align, "_tiles", lambda *_: pytest.fail("a whole edit table"))
+    assert [align.distance(r, h) for r, h in pairs[12:14]] == want[12:14]
