@@ -66,3 +66,14 @@ def test_least_paths_of_a_batch_need_no_edit_table(monkeypatch):
     assert batched.distances(ref, hyp).tolist() == edits
     for (r, h), ops, n in zip(pairs, batched.paths(ref, hyp)[2], edits, strict=True):
         assert (ops != batched.EQUAL).sum() == n and len(ops) == max(len(r), len(h))
+
+
+def test_pairs_are_rescored_where_they_are():
+    ref = pa.array([["z"], ["a", "b", "c", "d"], ["a", "b", "c", "d"], None, ["cat", None], []], TOKENS)
+    hyp = pa.array([["z"], ["a", "x", "c", "yy"], ["a", "x", "c", "yy"], ["q"], ["cut"], None], TOKENS)
+    told = pa.array([[0], [1, 7, -1, None, 2**62], [0, 0], [], None, [0]], pa.list_(pa.int64()))
+    for at in (0, 1):  # slices too
+        got = batched.rescored(ref[at:], hyp[at:], told[at:])
+        rows = list(zip(*(got[c].tolist() for c in ("forgiven", "segments", "words", "letters", "m")), strict=True))
+        assert [tuple(r[:3]) for r in rows] == [(0, 0, 0), (1, 2, 1), (1, 2, 1), (0, 1, 1), (0, 1, 2), (0, 0, 0)][at:]
+        assert [r[3:] for r in rows] == [(0, 1), (1, 4), (2, 4), (1, 0), (1, 3), (0, 0)][at:]
