@@ -9,7 +9,8 @@ Position limits: with pivots p < q, an edit right of p leaves the word through p
 it was. So a pivot is looked up at its own distance from the unedited end, together with that end's letters. The edit lies in the
 first or second half of what remains, so one half of it is equal too and goes into the key. What shares a key is verified.
 
-The global order is a table of pairs of 90 letters, 8,100 rows at most; nothing else leaves the tasks."""
+The global order is a table of pairs of 90 letters, 8,100 rows at most; nothing else leaves the tasks. Spark takes a word's keys for one
+row and a stored table for as large as its compressed files, and would broadcast tables many times its limit: joins of those are merges."""
 
 from __future__ import annotations
 
@@ -134,7 +135,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """words (word of LENGTH letters or more, n), no word twice -> a, b, a_n, b_n with a < b: each pair one edit apart, once."""
     order = gram_order(words)
     one = keyed(words, order, True).select("key", F.col("word").alias("a"), F.col("n").alias("a_n"))
-    other = keyed(words, order, False).select("key", F.col("word").alias("b"), F.col("n").alias("b_n"))
+    other = keyed(words, order, False).select("key", F.col("word").alias("b"), F.col("n").alias("b_n")).hint("merge")
     fits = (F.col("a") != F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 1) == 1)
     found = one.alias("x").join(other.alias("y"), (F.col("x.key") == F.col("y.key")) & fits)
     first = F.col("a") < F.col("b")
@@ -147,7 +148,7 @@ def roots(forms: DataFrame) -> DataFrame:
     frequent, so steps are few and none returns; each round doubles those followed."""
     now = materialize(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
-        up = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
+        up = now.select(F.col("word").alias("root"), F.col("root").alias("next")).hint("merge")
         step = materialize(now.join(up, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         now = step.drop("moved")
         if step.where("moved").isEmpty():
@@ -169,7 +170,7 @@ def variants(docs: DataFrame) -> DataFrame:
     forms = words.join(best, "word", "left").select("word", F.when(far, F.col("best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(far, -F.col("best.less")).alias("form_n"))
     forms = materialize(forms, "forms")
     last = roots(forms.where("form IS NOT NULL").select("word", "form"))
-    return forms.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return forms.join(last.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,6 +168,21 @@ def test_roots_follow_chains(spark):
     assert got == {f"w{k}": "w11" for k in range(11)} | {"x": "y"}
 
 
+def test_variants_broadcast_no_table(spark, monkeypatch):
+    plans, store = [], spelling.materialize
+    explained = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def stored(df, name):
+        plans.extend([explained(df)] if name == "roots" else [])
+        return store(df, name)
+
+    monkeypatch.setattr(spelling, "materialize", stored)
+    rows = [(1, "variant " * 200 + "varient " * 15), (2, "variint variint")]
+    words = store(spelling.occurrences(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("word").agg(F.sum("n").alias("n")), "words")
+    plans += [explained(spelling.near_pairs(words)), explained(spelling.variants(spark.createDataFrame(rows, "doc_id long, text string")))]
+    assert len(plans) >= 4 and not [p for p in plans if "Broadcast" in p]
+
+
 def plain_nearest(rows, asked, k=20):
     """rows (vec_id, values) -> query_id -> [(vec_id, score)]."""
     able = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
