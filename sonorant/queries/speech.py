@@ -139,7 +139,7 @@ def language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordops.score(views.pairs(spark, sf_dir), "hi")
+    return wordops.score(views.pairs(spark, sf_dir), "hi", matches=False)
 
 
 @query()
